@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts per Arrow batch. Whole texts are long, so a batch of Spark's usual size could take gigabytes.
 BATCH_ROWS = 256
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds: from now on, Arrow batches have so many rows at most."""
+    """Bounds what a Python worker holds: from now on, Arrow batches have so many rows at most.
+
+    Also names this package's folder to the workers, which find it there if the cluster has no copy installed.
+    """
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
