@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import table
 from quillspark.llm.decontaminate import matches
 from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.near_join import near_join
 from quillspark.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(table(spark, sf_dir, "documents"))
