@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, warc
+from quillspark.llm import chat, quality, warc
 from quillspark.llm.common import shared_dir, table
 from quillspark.llm.decontaminate import matches
 from quillspark.llm.exact_dedup import exact_dedup
@@ -103,3 +103,9 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
