@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, quality, warc
+from quillspark.llm import chat, quality, warc, wrapper
 from quillspark.llm.common import shared_dir, table
 from quillspark.llm.decontaminate import matches
 from quillspark.llm.exact_dedup import exact_dedup
@@ -109,3 +109,8 @@ FROM c GROUP BY conv_id
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
