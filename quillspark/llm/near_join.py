@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import mix64, remove, saved, shared_dir, shingle_hashes, small_batches, utf8, word_hashes
 from quillspark.llm.components import components
 
+#: Members of a group of equal blocks that are compared at once with as many others.
+CHUNK = 512
 _BIT = mix64(np.arange(1000, 1256, dtype=np.uint64))
 
 
@@ -53,16 +55,21 @@ class Bands:
         """The most elements that linked sets of so many elements together can differ in."""
         return total * (self.q - self.p) // (self.q + self.p)
 
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        """Keys of the blocks of a set's sketches: for its band with the next, and for the one before with its own."""
-        own, out = self.of(len(members)), []
+    def sketches(self, members: np.ndarray) -> tuple[int, np.ndarray, list[bytes]]:
+        """The band of a set, its block keys, and its whole sketches: with the band before, and with the next.
+
+        The last bit of a key is that of the lower band, so it tells which of the two sketches it is of.
+        """
+        own, keys, whole = self.of(len(members)), [np.zeros(0, np.uint64)], []
         high, bit = members >> np.uint64(32), _BIT[(members & np.uint64(255)).astype(np.int64)]
         for low in (own - 1, own):
-            if low < 0:
-                continue
-            d = self.differ(self.bound(low + 1) - 1 + self.bound(low + 2) - 1)
+            d = self.differ(self.bound(low + 1) - 1 + self.bound(low + 2) - 1) if low >= 0 else 0
             if not d:
+                whole.append(b"")
                 continue  # only equal sets are linked, and these are one class
+            bits = 1 << max(8, self.bound(low + 2).bit_length())
+            odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            whole.append(np.packbits(odd.astype(np.uint8)).tobytes())
             spare = d // 16
             blocks = d + 1 + spare
             block = ((high * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)  # ascending, as the members are
@@ -73,8 +80,8 @@ class Bands:
             keep = count > 2 if np.count_nonzero(count <= 2) <= spare else np.ones(blocks, bool)
             with np.errstate(over="ignore"):
                 name = mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(low) * np.uint64(0x100000001B3) + np.uint64(1 << 40))
-                out.append(mix64(value + name)[keep])
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                keys.append((mix64(value + name)[keep] & ~np.uint64(1)) | np.uint64(low & 1))
+        return own, np.concatenate(keys).view(np.int64), whole
 
 
 def _sets(n: int, p: int, q: int, flush_bytes: int):
@@ -87,15 +94,15 @@ def _sets(n: int, p: int, q: int, flush_bytes: int):
         size = 0
 
         def out() -> pd.DataFrame:
-            rows = [(*k, ids, min(ids), keys) for k, (ids, keys) in held.items()] + loose
-            return pd.DataFrame(rows, columns=["sig", "n", "ids", "low", "keys"]).astype({"low": "Int64"})
+            rows = [(*k, ids, min(ids), *rest) for k, (ids, *rest) in held.items()] + loose
+            return pd.DataFrame(rows, columns=["sig", "n", "ids", "low", "band", "keys", "before", "next"]).astype({"low": "Int64"})
 
         for pdf in batches:
             words, at = word_hashes([utf8(t) for t in pdf["text"]])
             for k, i in enumerate(pdf["id"]):
                 members = np.unique(shingle_hashes(words[at[k] : at[k + 1]], n))
                 if pd.isna(i) or not len(members):
-                    loose.append((None, len(members), [None if pd.isna(i) else int(i)], None, np.zeros(0, np.int64)))
+                    loose.append((None, len(members), [None if pd.isna(i) else int(i)], None, 0, np.zeros(0, np.int64), b"", b""))
                     size += 200
                     continue
                 with np.errstate(over="ignore"):
@@ -104,9 +111,9 @@ def _sets(n: int, p: int, q: int, flush_bytes: int):
                     held[sig, len(members)][0].append(int(i))
                     size += 40
                 else:
-                    keys = bands.keys(members)
-                    held[sig, len(members)] = [[int(i)], keys]
-                    size += keys.nbytes + 300
+                    band, keys, whole = bands.sketches(members)
+                    held[sig, len(members)] = [[int(i)], band, keys, *whole]
+                    size += keys.nbytes + sum(map(len, whole)) + 300
             if size >= flush_bytes:
                 yield out()
                 held, loose, size = {}, [], 0
@@ -116,6 +123,47 @@ def _sets(n: int, p: int, q: int, flush_bytes: int):
     return run
 
 
+def _close(p: int, q: int):
+    """Units of groups, in order -> pairs of different components whose sketches don't tell them apart."""
+
+    def pairs(unit: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j, hub, rep, n, label, sketch, chunk = zip(*unit, strict=True)
+        rep, n, label, chunk = (np.array(x, np.int64) for x in (rep, n, label, chunk))
+        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(unit), -1)
+        out = []
+        left = np.flatnonzero((chunk == i[0]) & (rep != hub[0]))
+        right = np.flatnonzero((chunk == j[0]) & (rep != hub[0]))
+        for k in left.tolist():
+            other = right[label[right] != label[k]]
+            if i[0] == j[0]:
+                other = other[rep[other] > rep[k]]
+            total = n[other] + n[k]
+            other = other[np.abs(n[other] - n[k]) * (q + p) <= total * (q - p)]
+            if len(other):
+                differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                other = other[differ * (q + p) <= (n[other] + n[k]) * (q - p)]
+                out += [(min(rep[k], x), max(rep[k], x)) for x in rep[other].tolist()]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, unit, found = None, [], set()
+        for pdf in batches:
+            for row in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True):
+                if row[:3] != at:
+                    if len(unit) > 1:
+                        found.update(pairs(unit))
+                    at, unit = row[:3], []
+                unit.append(row)
+            if len(found) > 10_000:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+                found = set()
+        if len(unit) > 1:
+            found.update(pairs(unit))
+        yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def _verify(n: int, p: int, q: int):
     """Pairs with their texts -> links. Sets of the texts of a batch are made once each."""
 
@@ -148,7 +196,7 @@ def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col
     small_batches(spark)
     at = shared_dir(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = saved(slim.mapInPandas(_sets(words, p, q, flush_bytes), "sig binary, n long, ids array<long>, low long, keys array<long>"), f"{at}/sets")
+    sets = saved(slim.mapInPandas(_sets(words, p, q, flush_bytes), "sig binary, n long, ids array<long>, low long, band int, keys array<long>, before binary, next binary"), f"{at}/sets")
     # a class: documents of equal sets
     classes = sets.filter("sig is not null").groupBy("sig", "n").agg(F.min("low").alias("rep"))
     members = sets.select("sig", "n", "ids").join(classes, ["sig", "n"], "left")
@@ -168,14 +216,19 @@ def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col
     stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(stars, "stars")
     first = saved(components(links, f"{at}/cc1"), f"{at}/labels1")
-    # groups of equal blocks that still hold several components; a - b is compared once, unless it was above
+    # groups of equal blocks that still hold several components; of groups with the same members, one
     named = shared.join(first, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
-    rest = saved(named.filter("rep <> hub").join(split, "key"), f"{at}/rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    far = F.expr(f"abs(x.n - y.n) * {q + p} <= (x.n + y.n) * {q - p}")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & far)
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    members_of = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
+    split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size"), members_of.alias("s")).filter("l < h")
+    split = split.groupBy("size", "s", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    rest = named.join(split, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    whole = keyed.select("rep", "band", "before", "next")
+    rest = rest.join(whole, "rep").withColumn("sketch", F.when(F.expr("(band & 1) = (key & 1)"), F.col("next")).otherwise(F.col("before")))
+    # a unit: two chunks of a group, or one with itself
+    units = rest.select("key", "hub", "rep", "n", "label", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    units = units.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "hub", "rep", "n", "label", "sketch", "chunk")
+    pairs = dealt.mapInPandas(_close(p, q), "a long, b long").distinct()
     more = verified(pairs, "more")
     labels = saved(components(links.union(more), f"{at}/cc2"), f"{at}/labels2") if more.take(1) else first
     rows = members.join(labels, F.col("rep") == F.col("node"), "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("c"))
