@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, shared_dir
+from quillspark.llm.common import saved, shared_dir, shuffles_freed
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -56,7 +56,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _name(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).text(path)
+    with shuffles_freed(pages.sparkSession):
+        rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
