@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, quality, warc, wrapper
+from quillspark.llm import chat, licences, quality, warc, wrapper
 from quillspark.llm.common import shared_dir, table
 from quillspark.llm.decontaminate import matches
 from quillspark.llm.exact_dedup import exact_dedup
@@ -114,3 +114,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("paragraphs", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", F.size("paragraphs").alias("n_paragraphs"), F.size(sure).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.exists("paragraphs", lambda x: x["family"] == licences.UNKNOWN).alias("has_unknown"),
+        F.round(F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)), 4).alias("probability"),
+    )
