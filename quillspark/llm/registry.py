@@ -13,6 +13,7 @@ from quillspark.llm.decontaminate import matches
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.near_join import near_join
 from quillspark.llm.packing import pack
+from quillspark.llm.passages import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,8 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.exists("paragraphs", lambda x: x["family"] == licences.UNKNOWN).alias("has_unknown"),
         F.round(F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)), 4).alias("probability"),
     )
+
+
+@query
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
