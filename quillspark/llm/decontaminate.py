@@ -131,7 +131,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> l
     return [slim] if n == 1 else [slim.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, text, n_words, spans (array of word start and end, merged), items (ids, ascending).
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is
@@ -175,29 +175,41 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.5, **columns: str) -> DataFrame:
-    """doc_id, text without the spans of benchmark items, n_cut (words cut), dropped (the cut share exceeds max_share).
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
+    """docs, its text without the spans of benchmark items, plus n_cut (words cut) and dropped (the cut share exceeds max_share).
 
-    Spans of at least `window` words (or a whole shorter item) are cut from the text, from the start
-    of their first word to the start of the word after; the rest is unchanged. Null texts stay null.
+    Spans of at least `window` words (or a whole shorter item) are cut from the start of their first word
+    to the start of the word after; the rest is unchanged, as are all other columns. Null texts stay
+    null. docs mustn't have columns n_cut and dropped. Items in several blocks cut one after the other.
     """
+    small_batches(docs.sparkSession)
+    out = docs.withColumns({"n_cut": F.lit(0).cast("long"), "dropped": F.lit(False)})
+    for block in _blocks(items, item_col, item_text_col, block_chars):
+        automaton = docs.sparkSession.sparkContext.broadcast(Automaton([(r["id"], word_hashes([utf8(r["text"])], NO_WORD)[0]) for r in block.collect()], window))
+
+        cut = _cutter(automaton, max_share)
+        done = out.withColumn("_cut", cut(text_col))
+        out = done.withColumns({text_col: F.col("_cut.text"), "n_cut": F.col("n_cut") + F.col("_cut.n_cut"), "dropped": F.col("dropped") | F.col("_cut.dropped")}).drop("_cut")
+    return out
+
+
+def _cutter(held, max_share: float):
+    @F.pandas_udf("text string, n_cut long, dropped boolean")
+    def cut(text: pd.Series) -> pd.DataFrame:
+        words, at = word_hashes([utf8(t) for t in text], NO_WORD)
+        rows = [_cut(t, held.value.scan(words[at[k] : at[k + 1]])[0], int(at[k + 1] - at[k]), max_share) for k, t in enumerate(text)]
+        return pd.DataFrame(rows, columns=["text", "n_cut", "dropped"])
+
+    return cut
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, cut, dropped = [], [], []
-            for text, spans, n in zip(pdf["text"], pdf["spans"], pdf["n_words"], strict=True):
-                gone = 0
-                if len(spans):
-                    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-                    kept, at = [], 0
-                    for s in spans:
-                        kept.append(text[at : starts[s["start"]]])
-                        at = starts[s["end"]]
-                        gone += s["end"] - s["start"]
-                    text = "".join([*kept, text[at:]])
-                texts.append(text)
-                cut.append(gone)
-                dropped.append(gone > max_share * n)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": texts, "n_cut": cut, "dropped": dropped})
-
-    return matches(docs, items, window, **columns).mapInPandas(run, "doc_id long, text string, n_cut long, dropped boolean")
+def _cut(text: str | None, spans: list[tuple[int, int]], n_words: int, max_share: float) -> tuple[str | None, int, bool]:
+    if not spans:
+        return text, 0, False
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    kept, at, gone = [], 0, 0
+    for a, b in spans:
+        kept.append(text[at : starts[a]])
+        at = starts[b]
+        gone += b - a
+    return "".join([*kept, text[at:]]), gone, gone > max_share * n_words

@@ -177,3 +177,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = entries.select("sha", "ids").join(index, "sha").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
+
+
+def normalised_digest(text_col: str = "text"):
+    """The digest by which exact_dedup tells texts apart, as a column."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)

@@ -253,3 +253,13 @@ def score(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_col:
 
     scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def scorer(field: Field | None):
+    """A column function: text -> score, for a table whose other columns stay as they are."""
+
+    @F.pandas_udf("double")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series([0.5] * len(text) if field is None else [field.score(x) for x in field.quality(list(text))], dtype="float64")
+
+    return of
