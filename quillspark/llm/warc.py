@@ -22,6 +22,8 @@ from quillspark.llm.common import saved, shared_dir, shuffles_freed
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: Segments that aren't records, at most, to be broadcast; more are joined.
+BROADCAST_ROWS = 200_000
 
 
 def deduplicated(pages: DataFrame, id_col: str, body_col: str, least_bytes: int) -> DataFrame:
@@ -107,7 +109,7 @@ def _header(block: Column, name: str) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, offset, record_type, record_id, target_uri, payload_digest, refers_to, http_head, payload.
+    """One row per record: file, record_type, record_id, target_uri, payload_digest, refers_to, http_head, payload.
 
     Records are those that the chain of boundaries from a file's start reaches; a chain ends where no
     magic stands at the expected offset, so what follows damage in a file is not returned.
@@ -123,22 +125,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("split", "row")
     ends = F.sum(F.col("bytes") + len(MAGIC)).over(order)
     # a file's first segment stands before its first magic
-    placed = saved(slim.withColumn("off", ends - F.col("bytes") - 2 * len(MAGIC)).withColumn("succ", F.col("off") + len(MAGIC) + F.col("needs")).filter("off >= 0"), f"{at}/candidates")
-    true = saved(chain(placed.select("file", "split", "off", "succ"), at), f"{at}/chain")
+    placed = saved(slim.withColumn("off", ends - F.col("bytes") - 2 * len(MAGIC)).withColumn("succ", F.col("off") + len(MAGIC) + F.col("needs")), f"{at}/candidates")
+    true = saved(chain(placed.filter("off >= 0").select("file", "split", "off", "succ"), at), f"{at}/chain")
     # each segment belongs to the record begun last
     marked = placed.join(true.select("file", "off", F.col("off").alias("begun")), ["file", "off"], "left")
     marked = marked.withColumn("record", F.last("begun", ignorenulls=True).over(Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.filter("record is not null").select("row", "file", "off", "record", F.count("*").over(Window.partitionBy("file", "record")).alias("n"))
-    found = segments.select("row", "value").join(parts, "row")
-    whole = found.filter("n = 1").select("file", "record", "value")
-    cut = found.filter("n > 1").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v")).select("file", "record", F.array_join("v.value", MAGIC).alias("value"))
+    parts = marked.withColumn("n", F.count("*").over(Window.partitionBy("file", "record")))
+    # only what isn't a record by itself needs to be told: cut records, and what no chain reaches
+    odd = saved(parts.filter("record is null or n > 1").select("row", "off", "record", F.lit(True).alias("odd")), f"{at}/odd")
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    # a file's first segment stands before its first magic, and is empty or no record
+    found = segments.filter(F.contains("value", F.lit(END))).join(odd, "row", "left_anti").select("file", "value")
+    cut = segments.join(odd.filter("record is not null"), "row").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v")).select("file", F.array_join("v.value", MAGIC).alias("value"))
     block = F.substr("value", F.length(head) + len(END) + 1, F.length("value") - F.length(head) - 2 * len(END))
     http = F.substring_index("block", END, 1)
     return (
-        whole.union(cut)
-        .select("file", F.col("record").alias("offset"), head.alias("head"), block.alias("block"))
+        found.union(cut)
+        .select("file", head.alias("head"), block.alias("block"))
         .select(
-            "file", "offset", _header(F.col("head"), "WARC-Type").alias("record_type"), _header(F.col("head"), "WARC-Record-ID").alias("record_id"),
+            "file", _header(F.col("head"), "WARC-Type").alias("record_type"), _header(F.col("head"), "WARC-Record-ID").alias("record_id"),
             _header(F.col("head"), "WARC-Target-URI").alias("target_uri"), _header(F.col("head"), "WARC-Payload-Digest").alias("payload_digest"),
             F.nullif(_header(F.col("head"), "WARC-Refers-To"), F.lit("")).alias("refers_to"), http.alias("http_head"),
             F.substr("block", F.length(http) + len(END) + 1).alias("payload"),
