@@ -2,5 +2,508 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as cf
+from quillspark.functions import fixed as fx
+from quillspark.operators import dots, lint, normalize, review, spans, speech
+from quillspark.sources import files, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents")
+
+
+def q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+# --- lint ---------------------------------------------------------------------------------------
+
+_FIRST = "length(regexp_extract(text, '(?s)^(.*?)(?:' || p || ')', 1))"
+_DETECTORS = "(VALUES " + ", ".join(f"({q(n)}, {q(s)}, {q(p)})" for n, s, p in fx.DETECTORS) + ") d(detector, severity, p)"
+
+
+@query(f"SELECT lang, detector, severity, count(*) FILTER (regexp_matches(text, p)) AS findings FROM documents, {_DETECTORS} GROUP BY ALL")
+def lint_summary(spark, sf_dir):
+    return lint.summary(docs(spark, sf_dir), "lang")
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, text, detector, severity, regexp_extract(text, p) AS hit, {_FIRST} AS start FROM documents, {_DETECTORS} WHERE regexp_matches(text, p))
+SELECT doc_id, detector, severity,
+       '...' || replace(substr(text, greatest(start - 25, 0) + 1, start + length(hit) + 25 - greatest(start - 25, 0)), chr(10), ' ') || '...' AS evidence
+FROM f""")
+def lint_findings(spark, sf_dir):
+    return lint.lint(docs(spark, sf_dir), brackets=[])
+
+
+@query(f"""
+WITH t AS (SELECT page_id, html AS text FROM pages),
+f AS (SELECT page_id, text, detector, severity, regexp_extract(text, p) AS hit, {_FIRST} AS start FROM t, {_DETECTORS} WHERE regexp_matches(text, p))
+SELECT page_id, detector, severity,
+       '...' || replace(substr(text, greatest(start - 25, 0) + 1, start + length(hit) + 25 - greatest(start - 25, 0)), chr(10), ' ') || '...' AS evidence
+FROM f""")
+def lint_pages(spark, sf_dir):
+    return lint.lint(t(spark, sf_dir, "pages"), "page_id", "html", brackets=[])
+
+
+def _sql_count(c: str, phrase: str) -> str:
+    return f"(length({c}) - length(replace({c}, {q(phrase)}, ''))) // {len(phrase)}"
+
+
+@query(f"""
+SELECT doc_id, p[1] || ' x' || a || ' vs ' || p[2] || ' x' || b AS evidence FROM (
+  SELECT doc_id, p, (length(text) - length(replace(text, p[1], ''))) // length(p[1]) AS a, (length(text) - length(replace(text, p[2], ''))) // length(p[2]) AS b
+  FROM documents, (VALUES (['the ', 'of ']), (['.', ',']), (['de ', 'la '])) v(p)) WHERE a <> b""")
+def bracket_balance(spark, sf_dir):
+    found = lint.lint(docs(spark, sf_dir), detectors=[], brackets=[("the ", "of "), (".", ","), ("de ", "la ")])
+    return found.select("doc_id", "evidence")
+
+
+@query("SELECT lang, count(*) FILTER (n > 0) AS flagged, count(*) AS documents, sum(n)::BIGINT AS errors, sum(n) = 0 AS clean FROM (SELECT lang, " + " + ".join(f"regexp_matches(text, {q(p)})::INT" for _, _, p in fx.DETECTORS) + " AS n FROM documents) GROUP BY lang")
+def lint_totals(spark, sf_dir):
+    counted = docs(spark, sf_dir).select("lang", F.size(F.filter(lint.findings(F.col("text"), brackets=[]), lambda x: x["severity"] == "error")).alias("n"))
+    return counted.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("flagged"), F.count("*").alias("documents"), F.sum("n").cast("long").alias("errors"), (F.sum("n") == 0).alias("clean"))
+
+
+# --- spans -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, regexp_extract_all(text, {q("(?s)" + fx.SPEECH_SPAN)}) AS a FROM documents)
+SELECT doc_id, (unnest(generate_series(1, len(a))) - 1)::INT AS pos, unnest(a) AS span FROM s""")
+def extract_spans(spark, sf_dir):
+    return spans.spans(docs(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"""
+WITH s AS (SELECT page_id, regexp_extract_all(html, {q("(?s)" + fx.SPEECH_SPAN)}) AS a FROM pages)
+SELECT page_id, (unnest(generate_series(1, len(a))) - 1)::INT AS pos, unnest(a) AS span FROM s""")
+def extract_page_spans(spark, sf_dir):
+    return spans.spans(t(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, text, regexp_extract_all(text, {q("(?s)" + fx.SPAN)}) AS a FROM documents),
+e AS (SELECT doc_id, generate_subscripts(a, 1) AS k, trim(unnest(a)) AS span FROM s),
+f AS (SELECT doc_id, span, min(k) AS k FROM e GROUP BY ALL)
+SELECT s.doc_id, coalesce((SELECT string_agg(span, '|' ORDER BY k) FROM f WHERE f.doc_id = s.doc_id), '') AS spans, regexp_matches(s.text, '[가-힣ᄀ-ᇿ]') AS hangul FROM s""")
+def distinct_spans(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(spans.distinct_spans(F.col("text")), "|").alias("spans"), spans.has_hangul(F.col("text")).alias("hangul"))
+
+
+@query(f"""
+SELECT doc_id, len(regexp_extract_all(text, {q("(?s)" + fx.SPAN)})) AS n_latex, md5(text) AS rejoined FROM documents""")
+def parts_roundtrip(spark, sf_dir):
+    parts = spans.parts(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.size(F.filter(parts, lambda p: p["kind"] == "latex")).alias("n_latex"), F.md5(F.array_join(F.transform(parts, lambda p: p["body"]), "")).alias("rejoined"))
+
+
+@query("""
+SELECT conv_id, trim(regexp_replace(string_agg(role || ': ' || text, '  ' ORDER BY turn), ' +', ' ', 'g')) AS stitched FROM conversations GROUP BY conv_id""")
+def stitch_turns(spark, sf_dir):
+    sep = F.when(F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) > 1, "  ").otherwise("")
+    rows = t(spark, sf_dir, "conversations").withColumn("said", F.concat(sep, "role", F.lit(": "), "text"))
+    return spans.stitch(rows, "conv_id", "turn", F.col("said"))
+
+
+# --- signals and repairs ------------------------------------------------------------------------------
+
+_SIG = {f"sig_{n}": f"regexp_matches(text, {q(p)})" for n, p in fx.SIGNALS.items()} | {"sig_paren": "contains(text, '(') AND regexp_matches(text, '[0-9A-Za-z]')", "english": f"regexp_matches(text, {q(fx.ENGLISH_WORD)})"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"{sql} AS {n}" for n, sql in _SIG.items()) + ", NOT english AND (" + " OR ".join(n for n in _SIG if n != "english") + ") AS is_math FROM documents")
+def math_signals(spark, sf_dir):
+    text = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in cf.math_signals(text).items()), cf.looks_math(text).alias("is_math"))
+
+
+@query(f"SELECT page_id, md5(regexp_replace(html, {q(fx.HTML_BLOCK)}, ' ', 'gis')) AS stripped FROM pages")
+def html_strip(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.md5(cf.strip_markup(F.col("html"))).alias("stripped"))
+
+
+@query("""
+SELECT n_nationkey, 'x' || chr(10) || chr(10) || n_name || ' ' || n_regionkey || chr(10) || chr(10) || n_nationkey || chr(10) || chr(10) || 'y ' AS text FROM nation""")
+def table_text(spark, sf_dir):
+    made = F.concat(
+        F.lit('x<TABLE border="1">\n<tr><td> <b>'), "n_name", F.lit("</b> </td><td></td><th>"), F.col("n_regionkey").cast("string"), F.lit("</th></tr><tr></tr><tr><td>"), F.col("n_nationkey").cast("string"),
+        F.lit("</td></tr></table>y<table><tr><td> </td></tr></table>"),
+    )
+    return t(spark, sf_dir, "nation").select("n_nationkey", normalize.table_text(made).alias("text"))
+
+
+@query("SELECT doc_id, true AS same FROM documents WHERE NOT regexp_matches(text, '[$\\\\<(|☐▢⋯^_×÷·±≤≥√π°-]|[0-9]|sin|cos|tan|[=+*/>]')")
+def normalize_plain(spark, sf_dir):
+    plain = docs(spark, sf_dir).filter(~F.col("text").rlike(r"[$\\<(|☐▢⋯^_×÷·±≤≥√π°-]|[0-9]|sin|cos|tan|[=+*/>]"))
+    return normalize.normalize(plain).select("doc_id", F.col("norm_text").eqNullSafe(F.col("text")).alias("same"))
+
+
+@query()
+def normalize_text(spark, sf_dir):
+    return normalize.normalize(docs(spark, sf_dir)).select("doc_id", F.md5("norm_text").alias("norm_md5"), (F.col("norm_text") != F.col("text")).alias("changed"), F.size(spans.span_array(F.col("norm_text"))).alias("n_spans"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, text, list_reduce(list_transform(string_split(regexp_replace(text, '[^()]', '', 'g'), ''), lambda x: CASE x WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END), lambda a, b: CASE WHEN a < 0 THEN -1000000 ELSE a + b END, 0) AS d FROM documents)
+SELECT doc_id, d = 0 AS balanced FROM c""")
+def paren_balanced(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", cf.parens_balanced(F.col("text")).alias("balanced"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 9 ELSE 0 END AS cut FROM orders""")
+def split_unmatched(spark, sf_dir):
+    made = F.element_at(F.array(F.lit("f(x)"), F.lit("f(x)+g)h(p, q"), F.lit("p<=k<q+r(p, (q)"), F.lit("(x+(y)")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    # the first closes; in the others a parenthesis never does: after 8, 8 and no characters
+    return t(spark, sf_dir, "orders").select("o_orderkey", cf.unclosed_cut(made).cast("int").alias("cut"))
+
+
+ORACLES["split_unmatched"] = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 8 ELSE 0 END AS cut FROM orders"
+
+
+# --- files and names -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, regexp_matches(lower(url || CASE page_id % 3 WHEN 0 THEN '.JPEG' WHEN 1 THEN '.pdf' ELSE '.tif' END), {q(fx.IMAGE_SUFFIXES)}) AS is_image FROM pages")
+def image_filter(spark, sf_dir):
+    k = F.col("page_id") % 3
+    return t(spark, sf_dir, "pages").select("page_id", cf.is_image(F.concat("url", F.when(k == 0, ".JPEG").when(k == 1, ".pdf").otherwise(".tif"))).alias("is_image"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\w\-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'input') AS stem FROM pages")
+def safe_stem(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", cf.safe_stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin FROM pages")
+def endpoint_origin(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", cf.origin(F.col("url")).alias("origin"))
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN length(text) > {fx.CLIP_AT} THEN substr(text, 1, {fx.CLIP_AT}) || chr(10) || '...[source truncated at {fx.CLIP_AT} chars]' ELSE text END) AS clipped, length(text) > {fx.CLIP_AT} AS cut FROM documents")
+def clip_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(cf.clip(F.col("text"), "source")).alias("clipped"), (F.length("text") > fx.CLIP_AT).alias("cut"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
+def escape_xml(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.md5(cf.escape_xml(F.col("html"))).alias("escaped"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END AS expected FROM events")
+def expect_sidecar(spark, sf_dir):
+    token = F.element_at(F.array(F.lit(" Math\n"), F.lit("none"), F.lit("perhaps"), F.lit("1")), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, sf_dir, "events").select("event_id", cf.expectation(token).alias("expected"))
+
+
+@query("SELECT n_nationkey, '0.' || (n_nationkey + 10) AS number, ((n_nationkey + 10) % 10)::VARCHAR AS period FROM nation WHERE n_nationkey % 2 = 0")
+def expect_dots(spark, sf_dir):
+    n = (F.col("n_nationkey") + 10).cast("string")
+    pair = F.concat(F.lit(" 0."), n, F.lit(" : "), F.right(n, F.lit(1)))
+    side = F.concat(F.lit("# truth\n\n"), F.when(F.col("n_nationkey") % 2 == 0, pair).otherwise("none"), F.lit("\n"))
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(files.dot_truth(side)).alias("p")).select("n_nationkey", "p.*")
+
+
+@query("SELECT DISTINCT 'KEY_' || n_nationkey AS key, n_name AS value FROM nation")
+def env_settings(spark, sf_dir):
+    lines = t(spark, sf_dir, "nation").select(F.explode(F.array(F.lit("# note=1"), F.concat(F.lit(" KEY_"), F.col("n_nationkey").cast("string"), F.lit(" = '"), "n_name", F.lit("' ")), F.lit("plain"))).alias("value"))
+    return files.settings(lines)
+
+
+@query("SELECT 'clearspeak' AS domain, unnest(['A_Auto', 'B_Auto', 'C_Auto']) AS style UNION ALL SELECT 'mathspeak', unnest(['brief', 'default'])")
+def style_table(spark, sf_dir):
+    rows = ["=====", "locale | modality | domain | style", "en | speech | clearspeak | X_Auto", "ko | speech | clearspeak | A_Auto, B_Auto", "   |        |            | C_Auto,", "   |  | mathspeak | brief, default", "   | braille | nemeth | default", "no bar"]
+    lines = spark.range(len(rows)).select(F.col("id").alias("n"), F.element_at(F.array(*map(F.lit, rows)), (F.col("id") + 1).cast("int")).alias("value"))
+    return files.style_table(lines)
+
+
+# --- verdicts and scores --------------------------------------------------------------------------------------
+
+_FOUND = f"NOT regexp_matches(text, {q('[#$%&*!|]{2}|!!')})"
+
+
+def _judged(spark, sf_dir):
+    found = ~F.col("text").rlike("[#$%&*!|]{2}|!!")
+    return docs(spark, sf_dir).join(t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("expected")), "doc_id", "left").withColumn("found", found)
+
+
+_JUDGED = f"(SELECT d.*, quality = 1 AS expected, {_FOUND} AS found FROM documents d LEFT JOIN labels USING (doc_id))"
+_VERDICT = "CASE WHEN expected IS NULL THEN 'unverified' WHEN expected AND NOT found THEN 'MISS' WHEN NOT expected AND found THEN 'spurious?' ELSE 'ok' END"
+
+
+@query(f"SELECT doc_id, {_VERDICT} AS verdict FROM {_JUDGED}")
+def verdict(spark, sf_dir):
+    return _judged(spark, sf_dir).select("doc_id", cf.verdict(F.col("found"), F.col("expected")).alias("verdict"))
+
+
+@query(f"SELECT lang, {_VERDICT} AS verdict, count(*) AS n FROM {_JUDGED} GROUP BY ALL")
+def verdict_counts(spark, sf_dir):
+    return _judged(spark, sf_dir).groupBy("lang", cf.verdict(F.col("found"), F.col("expected")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT lang, tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM (
+  SELECT lang, count(*) FILTER (found AND expected) AS tp, count(*) FILTER (found AND NOT expected) AS fp, count(*) FILTER (NOT found AND expected) AS fn
+  FROM {_JUDGED} WHERE expected IS NOT NULL GROUP BY lang)""")
+def precision_recall(spark, sf_dir):
+    known = _judged(spark, sf_dir).filter("expected is not null")
+    score = known.select("lang", *(c.cast("int").alias(n) for n, c in (("tp", F.expr("found and expected")), ("fp", F.expr("found and not expected")), ("fn", F.expr("not found and expected")))))
+    return review.micro_totals(score, ["lang"])
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[:200]), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(text[-200:]), '[a-z]{4,}')) AS b FROM documents)
+SELECT doc_id, len(list_intersect(a, b))::INT AS tp, (len(b) - len(list_intersect(a, b)))::INT AS fp, (len(a) - len(list_intersect(a, b)))::INT AS fn FROM w""")
+def set_score(spark, sf_dir):
+    def words(c):
+        return F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
+
+    head, tail = F.substring("text", 1, 200), F.substring("text", -200, 200)
+    return docs(spark, sf_dir).select("doc_id", review.set_score(words(head), words(tail)).alias("s")).select("doc_id", "s.*")
+
+
+_CASES = "['of the', 'para'] AS must, ['!!', '###'] AS mustnot, CASE WHEN doc_id % 3 = 0 THEN 'open' END AS known"
+_STATUS = """CASE WHEN good AND known IS NULL THEN 'PASS' WHEN good THEN 'FIXED' WHEN known IS NOT NULL THEN 'KNOWN' ELSE 'FAIL' END"""
+
+
+@query(f"""
+SELECT {_STATUS} AS status, count(*) AS n FROM (
+  SELECT (contains(text, ' of ') AND contains(text, 'th') OR lang <> 'en') AND NOT contains(text, '!!') AND NOT contains(text, '###') AS good, CASE WHEN doc_id % 3 = 0 THEN 'open' END AS known FROM documents)
+GROUP BY ALL""")
+def golden_status(spark, sf_dir):
+    must = F.when(F.col("lang") == "en", F.array(F.lit(" of "), F.lit("th")))
+    status = cf.case_status(F.col("text"), must, F.array(F.lit("!!"), F.lit("###")), F.when(F.col("doc_id") % 3 == 0, "open"))
+    return docs(spark, sf_dir).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+# --- resuming and joining -----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def skip_reviewed(spark, sf_dir):
+    return review.unreviewed(docs(spark, sf_dir).select("doc_id"), t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+def reuse_cached(spark, sf_dir):
+    return review.reusable(docs(spark, sf_dir).select("doc_id"), t(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT doc_id, coalesce('q' || quality, '') AS source_text FROM documents LEFT JOIN labels USING (doc_id)")
+def source_join(spark, sf_dir):
+    sources = t(spark, sf_dir, "labels").withColumn("q", F.concat(F.lit("q"), F.col("quality").cast("string")))
+    return review.with_source(docs(spark, sf_dir).select("doc_id"), sources, "doc_id", "q")
+
+
+@query("""
+SELECT input, min(doc_id) AS doc_id FROM (SELECT split_part(text, chr(10), 1) AS input, doc_id FROM documents)
+WHERE input NOT IN (SELECT text FROM benchmark) AND input NOT IN (SELECT split_part(text, chr(10), 1) FROM conversations) GROUP BY input""")
+def suggest_dedup(spark, sf_dir):
+    line = F.split_part("text", F.lit("\n"), F.lit(1)).alias("input")
+    known = [t(spark, sf_dir, "benchmark").select(F.col("text").alias("input")), t(spark, sf_dir, "conversations").select(line)]
+    return review.fresh_suggestions(docs(spark, sf_dir).select(line, "doc_id"), known, "doc_id").select("input", "doc_id")
+
+
+@query("""
+SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, split_part(b.text, chr(10), 1)) AND length(split_part(b.text, chr(10), 1)) >= 60""")
+def contains_benchmark(spark, sf_dir):
+    # a phrase and a text that contains it share the phrase's first words, so the pairs come from an equi-join on these
+    first = t(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase")).filter("length(phrase) >= 60").withColumn("gram", F.substring("phrase", 1, 24))
+    grams = first.select("gram", F.substring("gram", 1, 3).alias("key")).distinct()
+    anchors = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda k: F.substr("text", k, F.lit(24))), lambda g: F.length(g) == 24)
+    del grams, anchors
+    words = docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0))).alias("word"))
+    # the phrase's longest word is rare, and stands whole in every text with the phrase
+    longest = F.element_at(F.array_sort(F.transform(F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(1))), lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    return words.join(first.withColumn("word", longest), "word").filter(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
+
+
+@query("SELECT event_id, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS kind FROM (SELECT *, CASE WHEN value > 50 THEN event_type END AS kind FROM events)")
+def carry_down(spark, sf_dir):
+    gaps = t(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("event_type")).otherwise("").alias("kind"))
+    return review.carry_down(gaps, ["user_id"], "event_id", ["kind"]).select("event_id", "kind")
+
+
+@query("SELECT conv_id, turn, lag(right(text, 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
+def prev_part(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag(F.right("text", F.lit(1))).over(W.partitionBy("conv_id").orderBy("turn")).alias("before"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source HAVING count(*) > 1 UNION SELECT lang, 'all', count(*) FROM documents GROUP BY lang")
+def group_counts(spark, sf_dir):
+    by = docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return by.filter("n > 1").union(by.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("all"), "n")).distinct()
+
+
+# --- numbers said aloud ------------------------------------------------------------------------------------------------
+
+_KO = f"translate({{}}, '0123456789', '{fx.DIGITS}')"
+
+
+@query(f"SELECT o_orderkey, {_KO.format('o_orderkey::VARCHAR')} AS said FROM orders")
+def digits_to_korean(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", cf.read_digits(F.col("o_orderkey").cast("string")).alias("said"))
+
+
+_PARTICLE = "CASE WHEN unicode(right({0}, 1)) BETWEEN 44032 AND 55203 AND (unicode(right({0}, 1)) - 44032) % 28 <> 0 THEN '이' ELSE '가' END"
+
+
+@query(f"SELECT s_suppkey, w || {_PARTICLE.format('w')} AS said FROM (SELECT s_suppkey, {_KO.format('s_suppkey::VARCHAR')} AS w FROM supplier)")
+def particle(spark, sf_dir):
+    w = cf.read_digits(F.col("s_suppkey").cast("string"))
+    return t(spark, sf_dir, "supplier").select("s_suppkey", F.concat(w, cf.subject_particle(w)).alias("said"))
+
+
+_HEAD = "'영 점' || CASE WHEN before <> '' THEN ' ' || " + _KO.format("before") + " ELSE '' END"
+_BLOCK = _KO.format("block")
+
+
+@query(f"""
+WITH c(id, before, block) AS (VALUES {", ".join(f"({q(i)}, {q(b)}, {q(r)})" for i, _, b, r in fx.READING_CASES)})
+SELECT id, 'A-name-first' AS reading, '순환소수 ' || {_HEAD} || ', 순환마디 ' || {_BLOCK} AS said FROM c
+UNION ALL SELECT id, 'B-boundary', {_HEAD} || ' 다음 ' || {_BLOCK} || {_PARTICLE.format(_BLOCK)} || ' 반복' FROM c
+UNION ALL SELECT id, 'C-repeat-twice', {_HEAD} || ' ' || {_BLOCK} || ' ' || {_BLOCK} || ' 반복' FROM c""")
+def readings_matrix(spark, sf_dir):
+    made = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(c, ("id", "whole", "before", "block"), strict=True))) for c in fx.READING_CASES))
+    cases = spark.range(1).select(F.explode(made).alias("c")).select("c.*")
+    said = F.array(*(F.struct(F.lit(n).alias("reading"), f(F.col("whole"), F.col("before"), F.col("block")).alias("said")) for n, f in cf.READINGS.items()))
+    return cases.select("id", F.explode(said).alias("r")).select("id", "r.*")
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE '영 점' || CASE p_partkey % 3 WHEN 1 THEN ' ' || {_KO.format('p_size::VARCHAR')} ELSE '' END || ' ' || b || ' ' || b || ' 반복' END AS said
+FROM (SELECT *, {_KO.format("(p_partkey % 90 + 10)::VARCHAR")} AS b FROM part)""")
+def repeating_reading(spark, sf_dir):
+    two, size, k = (F.col("p_partkey") % 90 + 10).cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    dotted = F.concat(F.lit(r"\dot{"), F.left(two, F.lit(1)), F.lit(r"}\dot{"), F.right(two, F.lit(1)), F.lit("}"))
+    fraction = F.when(k == 0, dotted).when(k == 1, F.concat(size, F.lit(r"\overline{"), two, F.lit("}"))).otherwise(F.concat(dotted, F.lit("7")))
+    return t(spark, sf_dir, "part").select("p_partkey", cf.read_repeating(F.lit("0"), fraction).alias("said"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text, {q(fx.DECIMAL)}) AND regexp_matches(text, {q(fx.REPETITION)}) AS needs FROM documents")
+def needs_check(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", cf.needs_check(F.col("text")).alias("needs"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, '0.' || (l_partkey % 900 + 100) AS number, right((l_partkey % 900 + 100)::VARCHAR, (1 + l_linenumber % 3)::INT) AS period FROM lineitem)
+SELECT l_orderkey, l_linenumber, left(number, length(number) - length(period)) || left(period, 1) || chr(775) || CASE length(period) WHEN 1 THEN '' WHEN 2 THEN right(period, 1) || chr(775) ELSE period[2] || right(period, 1) || chr(775) END AS dotted FROM n""")
+def dotify(spark, sf_dir):
+    n = (F.col("l_partkey") % 900 + 100).cast("string")
+    period = F.right(n, (1 + F.col("l_linenumber") % 3).cast("int"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cf.dotify(F.concat(F.lit("0."), n), period).alias("dotted"))
+
+
+@query("""
+SELECT p_partkey, '1.' || p_size || (p_partkey % 90 + 10) AS number, (p_partkey % 90 + 10)::VARCHAR AS period FROM part
+UNION ALL SELECT p_partkey, '2.' || p_size, right(p_size::VARCHAR, 1) FROM part""")
+def dotted_numbers(spark, sf_dir):
+    two, size = (F.col("p_partkey") % 90 + 10).cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("값 "), cf.dotify(F.concat(F.lit("1."), size, two), two), F.lit(" 3.14 "), F.lit("2."), F.left(size, F.length(size) - 1), F.lit(r"\dot{"), F.right(size, F.lit(1)), F.lit("} 끝"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.explode(cf.dotted_numbers(text)).alias("d")).select("p_partkey", "d.*")
+
+
+@query("SELECT p_partkey, (p_partkey % 2 = 0)::INT AS applied, CASE WHEN p_partkey % 2 = 0 THEN '0.' || left(b, 1) || chr(775) || right(b, 1) || chr(775) || ' = 0.' || b || b || b || '...' ELSE '0.' || b || ' = 1/3' END AS patched FROM (SELECT p_partkey, CASE WHEN p_partkey % 90 + 10 IN (11,22,33,44,55,66,77,88,99) THEN '12' ELSE (p_partkey % 90 + 10)::VARCHAR END AS b FROM part)")
+def restore_dots(spark, sf_dir):
+    from quillspark.functions.providers import ExpansionChat
+
+    raw = F.col("p_partkey") % 90 + 10
+    two = F.when(raw % 11 == 0, "12").otherwise(raw.cast("string"))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("0."), two, F.lit(" = 0."), two, two, two, F.lit("..."))).otherwise(F.concat(F.lit("0."), two, F.lit(" = 1/3")))
+    done = dots.restore(t(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", ExpansionChat)
+    return done.select("p_partkey", F.size("notes").alias("applied"), "patched")
+
+
+@query("SELECT n_nationkey, 2 AS kept, 'warn' AS severity, n_regionkey > 1 AS has_case FROM nation")
+def validate_findings(spark, sf_dir):
+    n = F.col("n_name")
+
+    def finding(quote, explanation, severity, must):
+        case = F.struct(F.lit("c").alias("id"), n.alias("input"), must.alias("must"), F.lit(None).cast("array<string>").alias("mustnot"))
+        fields = {"category": F.lit(None).cast("string"), "severity": severity, "speech_quote": quote, "source_quote": F.lit(""), "correct_reading": F.lit(""), "explanation": explanation, "suggested_case": case}
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    must = F.when(F.col("n_regionkey") > 1, F.array(n))
+    items = F.array(finding(n, F.lit("odd"), F.lit("fatal"), must), finding(F.lit("never said"), F.lit("made up"), F.lit("error"), must), finding(n, F.lit(""), F.lit("error"), must), finding(F.lit(""), F.lit("no quote"), F.lit("error"), must))
+    found = review.valid_findings(items, F.concat(F.lit("say "), n))
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.size(found).alias("kept"), found[0]["severity"].alias("severity"), found[0]["suggested_case"].isNotNull().alias("has_case"))
+
+
+# --- speech ------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\{}$~&^_]', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM documents")
+def salvage(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", cf.salvage(F.col("text")).alias("words"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL ELSE 'x' END AS bad FROM part")
+def xml_wellformed(spark, sf_dir):
+    k, n = (F.col("p_partkey") % 4 + 1).cast("int"), F.col("p_name")
+    xml = F.element_at(F.array(F.concat(F.lit("<a b='1'>"), cf.escape_xml(n), F.lit("<c/></a>")), F.concat(F.lit("<a>"), n, F.lit("</b>")), F.concat(F.lit("<a>"), n), F.concat(n, F.lit(" & x"))), k)
+    return t(spark, sf_dir, "part").select("p_partkey", F.when(speech.markup_error(xml).isNotNull(), "x").alias("bad"))
+
+
+def _formulas(spark, sf_dir):
+    k, s = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    made = F.when(k == 0, F.concat(F.lit("값은 $x+"), s, F.lit("$ 이다"))).when(k == 1, F.concat(F.lit(r"식 $\unknown "), s, F.lit("$ 끝"))).otherwise(F.concat(F.lit(r"수 $0.\dot{"), F.left(s, F.lit(1)), F.lit("}$ 를")))
+    return t(spark, sf_dir, "part").select("p_partkey", made.alias("text"))
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '값은 x 더하기 ' || p_size || ' 이다' WHEN 1 THEN '식 ' || p_size || ' 끝' ELSE '수 영 점 ' || {_KO.format("left(p_size::VARCHAR, 1)")} || ' ' || {_KO.format("left(p_size::VARCHAR, 1)")} || ' 반복 를' END AS content,
+       1 AS spans, (p_partkey % 3 <> 1)::INT AS ok, (p_partkey % 3 = 1)::INT AS salvaged, 0 AS unsupported FROM part""")
+def render_ladder(spark, sf_dir):
+    return speech.render(_formulas(spark, sf_dir), "p_partkey", "text").select("p_partkey", "content", *(F.col(c).cast("int").alias(c) for c in ("spans", "ok", "salvaged", "unsupported")))
+
+
+@query("SELECT count(*) AS spans, count(*) FILTER (p_partkey % 3 <> 1) AS ok, count(*) FILTER (p_partkey % 3 = 1) AS salvaged, 0::BIGINT AS unsupported, 0::BIGINT AS bad_xml, count(*) FILTER (p_partkey % 3 = 1) AS failures, 2 AS exit_code FROM part")
+def speech_totals(spark, sf_dir):
+    return speech.totals(speech.render(_formulas(spark, sf_dir), "p_partkey", "text", ssml=True))
+
+
+@query(r"SELECT DISTINCT '\unknown ' || p_size AS latex, 'clearspeak/default,mathspeak/default' AS combos FROM part")
+def flagged_formulas(spark, sf_dir):
+    made = t(spark, sf_dir, "part").select(F.explode(F.array(F.concat(F.lit(r"\unknown "), F.col("p_size").cast("string")), F.concat(F.lit("x+"), F.col("p_size").cast("string")))).alias("latex")).distinct()
+    said = speech.speak(made, [("clearspeak", "default"), ("mathspeak", "default")])
+    return speech.flagged(said).select("latex", F.array_join("combos", ",").alias("combos"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS name, r_regionkey || '-full-plain.wav' AS file, true AS ok, 44 + 480 * length(r_name) AS bytes FROM region")
+def voice_files(spark, sf_dir):
+    done = sinks.audio(t(spark, sf_dir, "region"), "r_regionkey", "r_name")
+    return done.select("name", "file", "ok", F.length("audio").alias("bytes"))
+
+
+@query("""
+SELECT r_name AS input, string_agg('## ' || n_name || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '- lint [error] empty-cell: ...x 빈 칸 y...' ELSE '- clean' END || chr(10), chr(10) ORDER BY n_name) AS report
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def review_report(spark, sf_dir):
+    pages = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.when(F.col("n_nationkey") % 2 == 0, "x 빈 칸 y").otherwise("fine")
+    rows = pages.select(F.col("r_name").alias("input"), F.col("n_name").alias("page"), lint.findings(text).alias("lint"), F.array().cast(f"array<{review.FINDING}>").alias("judge"), F.lit(None).cast("string").alias("judge_error"))
+    return review.report(rows, "input", "page")
