@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import fixed as fx
 from quillspark.functions import mathtext
@@ -16,7 +19,7 @@ _TRIGGERS = "|".join([
 ])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalize(text: pd.Series) -> pd.Series:
     return text.map(mathtext.normalize)
 
@@ -32,9 +35,7 @@ def normalize(docs: DataFrame, text_col: str = "text", out_col: str = "norm_text
     return same.unionByName(docs.filter(may_change(text)).withColumn(out_col, _normalize(text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def table_text(text: pd.Series) -> pd.Series:
     """Tables in a text as their cells' lines."""
-    import re
-
     return text.map(lambda t: t if t is None else re.sub(fx.TABLE, lambda m: mathtext.table_cells(m[0]), t, flags=re.DOTALL | re.IGNORECASE))

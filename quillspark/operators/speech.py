@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
 from quillspark.functions import speechtext
 from quillspark.functions.providers import RuleSpeech, Speech
 
-_PARTS = "array<struct<kind:string,body:string>>"
+_PARTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())]))
 
 
 @F.pandas_udf(_PARTS)
@@ -30,7 +31,7 @@ def segments(latex: pd.Series, ssml: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else [{"kind": k, "body": b} for k, b in speechtext.split_specials(x, bool(s))] for x, s in zip(latex, ssml, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markup_error(xml: pd.Series) -> pd.Series:
     return xml.map(speechtext.markup_error)
 
