@@ -200,3 +200,13 @@ def case_status(text: Column, must: Column, mustnot: Column, known: Column) -> C
     present = F.exists(F.coalesce(mustnot, empty), lambda p: text.contains(p))
     good, flagged = ~missing & ~present, F.coalesce(known, F.lit("")) != ""
     return F.when(good & ~flagged, "PASS").when(good, "FIXED").when(flagged, "KNOWN").otherwise("FAIL")
+
+
+def voice_variants(text: Column, voice: str = fx.VOICES[0], pause: str = '<break time="400ms"/>') -> Column:
+    """A text with {br} marks in two forms to compare by ear: (variant, ssml, content); a is plain, b has pauses at the marks."""
+    a, b, c = fx.ENVELOPE
+    body = F.replace(escape_xml(text), F.lit("{br}"), F.lit(pause))
+    return F.array(
+        F.struct(F.lit("a").alias("variant"), F.lit(False).alias("ssml"), F.replace(text, F.lit("{br}"), F.lit("")).alias("content")),
+        F.struct(F.lit("b").alias("variant"), F.lit(True).alias("ssml"), F.concat(F.lit(a + voice + b), body, F.lit(c)).alias("content")),
+    )

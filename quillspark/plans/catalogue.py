@@ -70,10 +70,6 @@ def lint_pages(spark, sf_dir):
     return lint.lint(t(spark, sf_dir, "pages"), "page_id", "html", brackets=[])
 
 
-def _sql_count(c: str, phrase: str) -> str:
-    return f"(length({c}) - length(replace({c}, {q(phrase)}, ''))) // {len(phrase)}"
-
-
 @query(f"""
 SELECT doc_id, p[1] || ' x' || a || ' vs ' || p[2] || ' x' || b AS evidence FROM (
   SELECT doc_id, p, (length(text) - length(replace(text, p[1], ''))) // length(p[1]) AS a, (length(text) - length(replace(text, p[2], ''))) // length(p[2]) AS b
@@ -174,17 +170,13 @@ def paren_balanced(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", cf.parens_balanced(F.col("text")).alias("balanced"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 9 ELSE 0 END AS cut FROM orders""")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 8 ELSE 0 END AS cut FROM orders")
 def split_unmatched(spark, sf_dir):
     made = F.element_at(F.array(F.lit("f(x)"), F.lit("f(x)+g)h(p, q"), F.lit("p<=k<q+r(p, (q)"), F.lit("(x+(y)")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     # the first closes; in the others a parenthesis never does: after 8, 8 and no characters
     return t(spark, sf_dir, "orders").select("o_orderkey", cf.unclosed_cut(made).cast("int").alias("cut"))
 
 
-ORACLES["split_unmatched"] = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 8 ELSE 0 END AS cut FROM orders"
-
-
 # --- files and names -------------------------------------------------------------------------------------
 
 
@@ -286,7 +278,6 @@ def set_score(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", review.set_score(words(head), words(tail)).alias("s")).select("doc_id", "s.*")
 
 
-_CASES = "['of the', 'para'] AS must, ['!!', '###'] AS mustnot, CASE WHEN doc_id % 3 = 0 THEN 'open' END AS known"
 _STATUS = """CASE WHEN good AND known IS NULL THEN 'PASS' WHEN good THEN 'FIXED' WHEN known IS NOT NULL THEN 'KNOWN' ELSE 'FAIL' END"""
 
 
@@ -331,15 +322,8 @@ def suggest_dedup(spark, sf_dir):
 @query("""
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, split_part(b.text, chr(10), 1)) AND length(split_part(b.text, chr(10), 1)) >= 60""")
 def contains_benchmark(spark, sf_dir):
-    # a phrase and a text that contains it share the phrase's first words, so the pairs come from an equi-join on these
-    first = t(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase")).filter("length(phrase) >= 60").withColumn("gram", F.substring("phrase", 1, 24))
-    grams = first.select("gram", F.substring("gram", 1, 3).alias("key")).distinct()
-    anchors = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda k: F.substr("text", k, F.lit(24))), lambda g: F.length(g) == 24)
-    del grams, anchors
-    words = docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0))).alias("word"))
-    # the phrase's longest word is rare, and stands whole in every text with the phrase
-    longest = F.element_at(F.array_sort(F.transform(F.slice(F.split("phrase", " "), 2, F.greatest(F.size(F.split("phrase", " ")) - 2, F.lit(1))), lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
-    return words.join(first.withColumn("word", longest), "word").filter(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
+    phrases = t(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase")).filter("length(phrase) >= 60")
+    return review.containing(docs(spark, sf_dir), "doc_id", "text", phrases, "item_id", "phrase")
 
 
 @query("SELECT event_id, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS kind FROM (SELECT *, CASE WHEN value > 50 THEN event_type END AS kind FROM events)")
@@ -507,3 +491,33 @@ def review_report(spark, sf_dir):
     text = F.when(F.col("n_nationkey") % 2 == 0, "x 빈 칸 y").otherwise("fine")
     rows = pages.select(F.col("r_name").alias("input"), F.col("n_name").alias("page"), lint.findings(text).alias("lint"), F.array().cast(f"array<{review.FINDING}>").alias("judge"), F.lit(None).cast("string").alias("judge_error"))
     return review.report(rows, "input", "page")
+
+
+@query(f"""
+SELECT n_nationkey, v AS variant, v = 'b' AS ssml, CASE v WHEN 'a' THEN n_name || ' & more' ELSE {q(fx.ENVELOPE[0] + fx.VOICES[0] + fx.ENVELOPE[1])} || n_name || '<break time="400ms"/> &amp; more' || {q(fx.ENVELOPE[2])} END AS content
+FROM nation, (VALUES ('a'), ('b')) x(v)""")
+def voice_variants(spark, sf_dir):
+    made = cf.voice_variants(F.concat("n_name", F.lit("{br} & more")))
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(made).alias("v")).select("n_nationkey", "v.*")
+
+
+@query("SELECT true AS clearspeak, true AS mathspeak, false AS chromevox")
+def capabilities(spark, sf_dir):
+    found = QUERIES["style_table"](spark, sf_dir).agg(F.collect_set("domain").alias("d"))
+    return found.select(*(F.array_contains("d", x).alias(x) for x in ("clearspeak", "mathspeak", "chromevox")))
+
+
+@query(f"""
+WITH a AS (SELECT unnest(regexp_extract_all(text, {q("(?s)" + fx.SPEECH_SPAN)})) AS s FROM documents UNION ALL SELECT unnest(regexp_extract_all(html, {q("(?s)" + fx.SPEECH_SPAN)})) FROM pages)
+SELECT DISTINCT trim(replace(s, '$', '')) AS latex FROM a WHERE trim(replace(s, '$', '')) <> ''""")
+def wanted_formulas(spark, sf_dir):
+    both = docs(spark, sf_dir).select("text").union(t(spark, sf_dir, "pages").select("html"))
+    found = both.select(F.explode(spans.span_array(F.col("text"))).alias("s")).select(cf.strip(F.replace("s", F.lit("$"), F.lit(""))).alias("latex"))
+    return found.filter("latex <> ''").distinct()
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'PASS' ELSE 'KNOWN' END AS status, 'tts-' || o_orderkey || '-' || r || '.wav' AS file FROM orders, (VALUES ('A'), ('B'), ('C')) v(r)")
+def experiment_matrix(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("KNOWN")
+    names = F.explode(F.array(*(F.concat(F.lit("tts-"), F.col("o_orderkey").cast("string"), F.lit(f"-{r[0]}.wav")) for r in cf.READINGS))).alias("file")
+    return t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", status.alias("status"), names)
