@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, shared_dir, small_batches, utf8
+from quillspark.llm.common import remove, saved, shared_dir, small_batches, utf8
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: Key bits that one counting pass looks at; so many prefixes of an overfull bucket come to the driver.
 STEP_BITS = 8
-#: Entries with one 64-bit key can't be split, so no directory is deeper than the key.
 KEY_BITS = 60
+#: A bucket this deep isn't split on: its owner streams through it, however full it is. Bounds the directory's slots.
+MAX_DEPTH = 20
 
 
 def _entries(flush_bytes: int):
@@ -93,8 +94,8 @@ def build_directory(keys: DataFrame, capacity: int) -> Directory:
     total = keys.count()
     directory.buckets[0, 0] = total
     over, base = [(0, 0)] if total > capacity else [], 0
-    while over and base < KEY_BITS:
-        bits = min(STEP_BITS, KEY_BITS - base)
+    while over and base < MAX_DEPTH:
+        bits = min(STEP_BITS, MAX_DEPTH - base)
         shift = KEY_BITS - base - bits
         found = keys.withColumn("prefix", F.shiftright("key", shift))
         if base:
@@ -147,7 +148,7 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out().astype({"keep_id": "Int64"})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 12, flush_bytes: int = 24 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 12, flush_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same bytes remain after each run of ASCII white space became one space.
@@ -174,7 +175,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .mapInPandas(_chains, "key long, chain int, sha binary, keep_id long, group_size long")
     )
     index = saved(index, f"{at}/index").select("sha", "keep_id", "group_size")
-    rows = entries.select("sha", "ids").join(index, "sha").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")
+    # texts are needed no more
+    rows = saved(entries.select("sha", "ids"), f"{at}/rows")
+    remove(spark, f"{at}/entries")
+    rows = rows.join(index, "sha").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
