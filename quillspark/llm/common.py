@@ -12,18 +12,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts per Arrow batch. Whole texts are long, so a batch of Spark's usual size could take gigabytes.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds: from now on, Arrow batches have so many rows at most.
 
-    Also names this package's folder to the workers, which find it there if the cluster has no copy installed.
+    Workers also give freed memory back, which they would keep for their next task, and are told this
+    package's folder, in case the cluster has no copy installed.
     """
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    told = spark.sparkContext.environment
+    path = told.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+        told["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+    told |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "250000"}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -107,16 +110,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and where each text's words begin.
+#: Bytes that are hashed at once. Temporary arrays take some fifty times as much, so it is the block that bounds memory.
+BLOCK_BYTES = 1 << 20
 
-    Words are the runs of bytes not marked in `space`; A-Z count as a-z. The hash of a word is a
-    polynomial over per-byte random values, read off one running sum, so no Python code runs per word.
-    """
+
+def _block(texts: list[bytes], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each text."""
     buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     gap = space[buf]
     gap[ends - 1] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap))))
@@ -126,7 +127,54 @@ def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndar
         run = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=run[1:])
         h = mix64((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return h, np.searchsorted(begin, np.concatenate(([0], ends)))
+    return h, np.diff(np.searchsorted(begin, np.concatenate(([0], ends))))
+
+
+def _pieces(text: bytes, space: np.ndarray) -> list[bytes]:
+    """A text in parts of about a block, cut where no word is."""
+    out, at = [], 0
+    while len(text) - at > 2 * BLOCK_BYTES:
+        end = at + BLOCK_BYTES
+        while end < len(text):
+            gaps = np.flatnonzero(space[np.frombuffer(text, np.uint8, min(BLOCK_BYTES, len(text) - end), end)])
+            end += int(gaps[0]) if len(gaps) else min(BLOCK_BYTES, len(text) - end)
+            if len(gaps):
+                break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and where each text's words begin.
+
+    Words are the runs of bytes not marked in `space`; A-Z count as a-z. The hash of a word is a
+    polynomial over per-byte random values, read off one running sum, so no Python code runs per word.
+    """
+    found, count = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+    block: list[bytes] = []
+    owner: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if block:
+            h, n = _block(block, space)
+            found.append(h)
+            np.add.at(count, np.array(owner) + 1, n)
+            block.clear()
+            owner.clear()
+            size = 0
+
+    for k, text in enumerate(texts):
+        for piece in _pieces(text, space) if len(text) > 2 * BLOCK_BYTES else (text,):
+            block.append(piece)
+            owner.append(k)
+            size += len(piece) + 1
+            if size >= BLOCK_BYTES:
+                flush()
+    flush()
+    return np.concatenate(found), np.cumsum(count)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

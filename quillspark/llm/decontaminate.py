@@ -200,7 +200,8 @@ def _cutter(held, max_share: float):
         rows = [_cut(t, held.value.scan(words[at[k] : at[k + 1]])[0], int(at[k + 1] - at[k]), max_share) for k, t in enumerate(text)]
         return pd.DataFrame(rows, columns=["text", "n_cut", "dropped"])
 
-    return cut
+    # else the optimizer runs it once for each of its fields
+    return cut.asNondeterministic()
 
 
 def _cut(text: str | None, spans: list[tuple[int, int]], n_words: int, max_share: float) -> tuple[str | None, int, bool]:

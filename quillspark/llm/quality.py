@@ -142,7 +142,7 @@ def _posterior(odds: np.ndarray, mask: np.ndarray, chain: np.ndarray) -> tuple[n
     return good, (pair * mask[:, 1:, None, None]).sum(axis=(0, 1))
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 120, rounds: int = 2) -> Field | None:
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 80, rounds: int = 2) -> Field | None:
     """docs: (shapes, bytes per line, label) each. None where not both labels occur."""
     labels = np.array([d[2] for d in docs])
     if len(set(labels.tolist())) < 2:
@@ -262,4 +262,5 @@ def scorer(field: Field | None):
     def of(text: pd.Series) -> pd.Series:
         return pd.Series([0.5] * len(text) if field is None else [field.score(x) for x in field.quality(list(text))], dtype="float64")
 
-    return of
+    # else the optimizer runs it again for a filter on its result
+    return of.asNondeterministic()
