@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import mix64, remove, saved, shared_dir, shingle_hashes, small_batches, utf8, word_hashes
@@ -70,14 +70,14 @@ class Bands:
             bits = 1 << max(8, self.bound(low + 2).bit_length())
             odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             whole.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            spare = d // 16
+            few, spare = (2, d // 16) if self.q + self.p >= 15 * (self.q - self.p) else (1, d // 8)
             blocks = d + 1 + spare
             block = ((high * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)  # ascending, as the members are
             at = np.flatnonzero(np.diff(block, prepend=-1))
             value = np.zeros(blocks, np.uint64)
             value[block[at]] = np.bitwise_xor.reduceat(bit, at)
             count = np.bincount(block, minlength=blocks)
-            keep = count > 2 if np.count_nonzero(count <= 2) <= spare else np.ones(blocks, bool)
+            keep = count > few if np.count_nonzero(count <= few) <= spare else np.ones(blocks, bool)
             with np.errstate(over="ignore"):
                 name = mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(low) * np.uint64(0x100000001B3) + np.uint64(1 << 40))
                 keys.append((mix64(value + name)[keep] & ~np.uint64(1)) | np.uint64(low & 1))
@@ -127,12 +127,11 @@ def _close(p: int, q: int):
     """Units of groups, in order -> pairs of different components whose sketches don't tell them apart."""
 
     def pairs(unit: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, hub, rep, n, label, sketch, chunk = zip(*unit, strict=True)
+        _, i, j, rep, n, label, sketch, chunk = zip(*unit, strict=True)
         rep, n, label, chunk = (np.array(x, np.int64) for x in (rep, n, label, chunk))
         bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(unit), -1)
         out = []
-        left = np.flatnonzero((chunk == i[0]) & (rep != hub[0]))
-        right = np.flatnonzero((chunk == j[0]) & (rep != hub[0]))
+        left, right = np.flatnonzero(chunk == i[0]), np.flatnonzero(chunk == j[0])
         for k in left.tolist():
             other = right[label[right] != label[k]]
             if i[0] == j[0]:
@@ -164,6 +163,24 @@ def _close(p: int, q: int):
     return run
 
 
+def _near(p: int, q: int):
+    """Pairs with sizes, bands and whole sketches -> pairs that the sketches don't tell apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for n, m, i, j, x0, x1, y0, y1 in zip(*(pdf[c] for c in ("n_a", "n_b", "band_a", "band_b", "before_a", "next_a", "before_b", "next_b")), strict=True):
+                if abs(n - m) * (q + p) > (n + m) * (q - p) or abs(i - j) > 1:
+                    keep.append(False)
+                    continue
+                # the sketches that both have for the lower band
+                x, y = np.frombuffer(x1 if i <= j else x0, np.uint64), np.frombuffer(y1 if j <= i else y0, np.uint64)
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (q + p) <= (n + m) * (q - p))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return run
+
+
 def _verify(n: int, p: int, q: int):
     """Pairs with their texts -> links. Sets of the texts of a batch are made once each."""
 
@@ -184,7 +201,30 @@ def _verify(n: int, p: int, q: int):
     return run
 
 
-def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col: str = "doc_id", text_col: str = "text", flush_bytes: int = 16 << 20) -> DataFrame:
+#: Of how many documents one is in the sample that finds hot keys, and how many rows there make a key hot.
+SAMPLED, HOT = 32, 16
+#: Rows of groups with several components beyond which these are compared in so many passes.
+PASS_ROWS, PASSES = 200_000, 8
+#: Hot keys, at most, to be broadcast; more are joined.
+BROADCAST_KEYS = 100_000
+
+
+def _with_hubs(blocks: DataFrame, path: str) -> DataFrame:
+    """(key, rep, hub): block rows whose key several reps have, with the smallest of these."""
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+    sample = blocks.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0)
+    hot = small(saved(sample.groupBy("key").count().filter(F.col("count") >= HOT).select("key"), f"{path}/keys"))
+    often = blocks.join(hot, "key")
+    hubs = small(saved(often.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")), f"{path}/hubs"))
+    by_key = Window.partitionBy("key")
+    seldom = blocks.join(hot, "key", "left_anti").withColumns({"hub": F.min("rep").over(by_key), "top": F.max("rep").over(by_key)})
+    return often.join(hubs, "key").unionByName(seldom).filter("hub < top").select("key", "rep", "hub")
+
+
+def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col: str = "doc_id", text_col: str = "text", flush_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity p / q).
 
     Words are split at ASCII white space, A-Z lower-cased; a text of fewer words is one shingle. A
@@ -197,14 +237,13 @@ def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col
     at = shared_dir(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = saved(slim.mapInPandas(_sets(words, p, q, flush_bytes), "sig binary, n long, ids array<long>, low long, band int, keys array<long>, before binary, next binary"), f"{at}/sets")
-    # a class: documents of equal sets
-    classes = sets.filter("sig is not null").groupBy("sig", "n").agg(F.min("low").alias("rep"))
-    members = sets.select("sig", "n", "ids").join(classes, ["sig", "n"], "left")
-    keyed = sets.filter("sig is not null").join(classes, ["sig", "n"]).filter("low = rep")
-    blocks = saved(keyed.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key")), f"{at}/blocks")
-    hubs = blocks.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top").select("key", "hub")
-    shared = saved(blocks.join(hubs, "key"), f"{at}/shared")
-    remove(spark, f"{at}/blocks")
+    # a task's class of equal sets goes by its smallest id; those of other tasks are linked by the signature
+    known = sets.filter("sig is not null")
+    equal = known.groupBy("sig", "n").agg(F.min("low").alias("a"), F.max("low").alias("top")).filter("a < top").drop("top")
+    equal = known.select("sig", "n", F.col("low").alias("b")).join(equal, ["sig", "n"]).filter("a < b").select("a", "b")
+    blocks = known.select(F.col("low").alias("rep"), F.explode("keys").alias("key"))
+    shared = saved(_with_hubs(blocks, f"{at}/hot"), f"{at}/shared")
+    whole = known.select(F.col("low").alias("rep"), "n", "band", "before", "next").distinct()
 
     texts = slim.filter("id is not null")
 
@@ -214,22 +253,37 @@ def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col
         return saved(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(words, p, q), "a long, b long"), f"{at}/{name}")
 
     stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(stars, "stars")
+    for side in "ab":
+        stars = stars.join(whole.select(*(F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in whole.columns)), side)
+    stars = saved(stars.mapInPandas(_near(p, q), "a long, b long"), f"{at}/near")
+    links = verified(stars, "stars").union(equal)
     first = saved(components(links, f"{at}/cc1"), f"{at}/labels1")
-    # groups of equal blocks that still hold several components; of groups with the same members, one
-    named = shared.join(first, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    # groups of equal blocks that hold several components besides the smallest id, which all were compared with; of groups with the same members, one
+    named = shared.filter("rep <> hub").join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     members_of = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
     split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size"), members_of.alias("s")).filter("l < h")
     split = split.groupBy("size", "s", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rest = named.join(split, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    whole = keyed.select("rep", "band", "before", "next")
-    rest = rest.join(whole, "rep").withColumn("sketch", F.when(F.expr("(band & 1) = (key & 1)"), F.col("next")).otherwise(F.col("before")))
-    # a unit: two chunks of a group, or one with itself
-    units = rest.select("key", "hub", "rep", "n", "label", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    units = units.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "hub", "rep", "n", "label", "sketch", "chunk")
-    pairs = dealt.mapInPandas(_close(p, q), "a long, b long").distinct()
+    split = saved(split, f"{at}/split")
+    rest = saved(named.join(split, "key"), f"{at}/rest")
+    remove(spark, f"{at}/shared")
+    # sketches are many times as large as the rows that they join, so this is done for a part of the keys at a time
+    passes, found = PASSES if rest.count() > PASS_ROWS else 1, []
+    for k in range(passes):
+        part = rest.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        part = part.join(whole, "rep").withColumn("sketch", F.when(F.expr("(band & 1) = (key & 1)"), F.col("next")).otherwise(F.col("before")))
+        # a unit: two chunks of a group, or one with itself
+        units = part.select("key", "rep", "n", "label", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        units = units.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "n", "label", "sketch", "chunk")
+        found.append(saved(dealt.mapInPandas(_close(p, q), "a long, b long"), f"{at}/close{k}"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = pairs.distinct()
     more = verified(pairs, "more")
     labels = saved(components(links.union(more), f"{at}/cc2"), f"{at}/labels2") if more.take(1) else first
-    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("c"))
+    rows = saved(sets.select("low", "n", "ids"), f"{at}/rows")
+    for name in ("sets", "near", "stars", "split", "rest", "more"):
+        remove(spark, f"{at}/{name}")
+    rows = rows.join(labels, F.col("low") == F.col("node"), "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "low").alias("c"))
     return rows.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
