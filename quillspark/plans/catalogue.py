@@ -133,8 +133,10 @@ _SIG = {f"sig_{n}": f"regexp_matches(text, {q(p)})" for n, p in fx.SIGNALS.items
 
 @query("SELECT doc_id, " + ", ".join(f"{sql} AS {n}" for n, sql in _SIG.items()) + ", NOT english AND (" + " OR ".join(n for n in _SIG if n != "english") + ") AS is_math FROM documents")
 def math_signals(spark, sf_dir):
-    text = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in cf.math_signals(text).items()), cf.looks_math(text).alias("is_math"))
+    flags = docs(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in cf.math_signals(F.col("text")).items()))
+    signs = [c for c in flags.columns if c.startswith("sig_")]
+    # from the flags, so no pattern is searched twice
+    return flags.withColumn("is_math", ~F.col("english") & F.expr(" or ".join(signs)))
 
 
 @query(f"SELECT page_id, md5(regexp_replace(html, {q(fx.HTML_BLOCK)}, ' ', 'gis')) AS stripped FROM pages")
