@@ -113,9 +113,13 @@ def dotted_numbers(text: Column) -> Column:
     )))
 
 
+#: Java tries a large class character by character; most characters are told from all symbols by this.
+NOT_ASCII = r"(?=[^\x00-\x7F])"
+
+
 def math_signals(text: Column) -> dict[str, Column]:
     """The signs of mathematics in a run, one flag each, and the sign against it."""
-    flags = {f"sig_{name}": text.rlike(pattern) for name, pattern in fx.SIGNALS.items()}
+    flags = {f"sig_{name}": text.rlike((NOT_ASCII if name == "symbol" else "") + pattern) for name, pattern in fx.SIGNALS.items()}
     flags["sig_paren"] = text.contains("(") & text.rlike("[0-9A-Za-z]")
     flags["english"] = text.rlike(fx.ENGLISH_WORD)
     return flags

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from quillspark.functions import fixed as fx
 from quillspark.functions import mathtext
+from quillspark.functions.columns import NOT_ASCII
 
 #: What any rewrite needs. A text without all of these is returned as it is, and never leaves the JVM.
 _TRIGGERS = "|".join([
-    r"[$\\<(☐▢⋯|\x00\x01\x02]", r"[\^_]\{", f"[{fx.ANY_SYMBOL}]", fx.DOT_ABOVE, fx.SIGNALS["adjacent"], r"(?U)[0-9A-Za-z]\s*[-+*/=^<>]\s*[0-9A-Za-z]", r"(?U)-\s*[0-9]",
+    r"[$\\<(☐▢⋯|\x00\x01\x02]", r"[\^_]\{", f"{NOT_ASCII}[{fx.ANY_SYMBOL}]", fx.DOT_ABOVE, fx.SIGNALS["adjacent"], r"(?U)[0-9A-Za-z]\s*[-+*/=^<>]\s*[0-9A-Za-z]", r"(?U)-\s*[0-9]",
     fx.SIGNALS["ratio"], "sin|cos|tan", *(a for a, _ in fx.TYPOS),
 ])
 
