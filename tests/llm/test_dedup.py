@@ -245,6 +245,38 @@ def test_near_passages_are_found(spark):
     assert len(found) >= 0.95 * len(rows)
 
 
+def test_passages_that_hold_a_common_block(spark):
+    # the block is in many documents of smaller ids, which have nothing else of the passages
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(50_000)]
+
+    def text(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    block = text(45)
+    rows = [(i, " ".join([*text(30), *block, *text(30)])) for i in range(100)]
+    for i in range(100, 140, 2):
+        passage = [*text(5), *block, *text(5)]
+        rows += [(i + k, " ".join([*text(40), *passage, *text(40)])) for k in (0, 1)]
+    found = {(r.doc_id, r.other_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i, i ^ 1) for i in range(100, 140)}
+
+
+def test_units_of_a_group_meet(spark, monkeypatch):
+    from quillspark.llm import passages as module
+
+    rng = random.Random(12)
+    block = [f"b{k}" for k in range(45)]
+    rows = []
+    for i in range(0, 40, 2):
+        passage = [*(f"a{rng.random()}" for _ in range(6)), *block, *(f"c{rng.random()}" for _ in range(6))]
+        rows += [(i + k, " ".join([*(f"d{rng.random()}" for _ in range(20)), *passage, *(f"e{rng.random()}" for _ in range(20))])) for k in (0, 1)]
+    monkeypatch.setattr(module, "CHUNK", 3)
+    monkeypatch.setattr(module, "FLUSH_BYTES", 3000)
+    found = {(r.doc_id, r.other_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i, i ^ 1) for i in range(40)}
+
+
 def test_passages_odd_rows(spark, odd, none):
     got = repeated_passages(odd).collect()
     assert {1, 2, 3, 11} <= {r.doc_id for r in got} and not {None, 4, 5, 6, 7} & {r.doc_id for r in got}
