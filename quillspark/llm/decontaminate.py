@@ -180,24 +180,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_share
 
     Spans of at least `window` words (or a whole shorter item) are cut from the start of their first word
     to the start of the word after; the rest is unchanged, as are all other columns. Null texts stay
-    null. docs mustn't have columns n_cut and dropped. Items in several blocks cut one after the other.
+    null. docs mustn't have columns n_cut and dropped. Spans of all blocks of items are found in the unchanged text
+    and cut at once, so the size of the blocks doesn't change the result.
     """
     small_batches(docs.sparkSession)
-    out = docs.withColumns({"n_cut": F.lit(0).cast("long"), "dropped": F.lit(False)})
-    for block in _blocks(items, item_col, item_text_col, block_chars):
+    out, blocks = docs.withColumn("_spans", F.array().cast("array<int>")), _blocks(items, item_col, item_text_col, block_chars)
+    for k, block in enumerate(blocks, 1):
         automaton = docs.sparkSession.sparkContext.broadcast(Automaton([(r["id"], word_hashes([utf8(r["text"])], NO_WORD)[0]) for r in block.collect()], window))
 
-        cut = _cutter(automaton, max_share)
-        done = out.withColumn("_cut", cut(text_col))
-        out = done.withColumns({text_col: F.col("_cut.text"), "n_cut": F.col("n_cut") + F.col("_cut.n_cut"), "dropped": F.col("dropped") | F.col("_cut.dropped")}).drop("_cut")
+        if k < len(blocks):
+            out = out.withColumn("_spans", _finder(automaton)(text_col, "_spans"))
+        else:
+            done = out.withColumn("_cut", _cutter(automaton, max_share)(text_col, "_spans"))
+            out = done.withColumns({text_col: F.col("_cut.text"), "n_cut": F.col("_cut.n_cut"), "dropped": F.col("_cut.dropped")}).drop("_cut", "_spans")
     return out
 
 
+def _with_earlier(found: list[tuple[int, int]], before: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of this block and of those before (starts and ends in turn), merged."""
+    if not len(before):
+        return found
+    return [(s["start"], s["end"]) for s in _merged([*found, *zip(before[::2].tolist(), before[1::2].tolist(), strict=True)])]
+
+
+def _finder(held):
+    @F.pandas_udf("array<int>")
+    def find(text: pd.Series, before: pd.Series) -> pd.Series:
+        words, at = word_hashes([utf8(t) for t in text], NO_WORD)
+        return pd.Series([[x for s in _with_earlier(held.value.scan(words[at[k] : at[k + 1]])[0], old) for x in s] for k, old in enumerate(before)])
+
+    return find.asNondeterministic()
+
+
 def _cutter(held, max_share: float):
     @F.pandas_udf("text string, n_cut long, dropped boolean")
-    def cut(text: pd.Series) -> pd.DataFrame:
+    def cut(text: pd.Series, before: pd.Series) -> pd.DataFrame:
         words, at = word_hashes([utf8(t) for t in text], NO_WORD)
-        rows = [_cut(t, held.value.scan(words[at[k] : at[k + 1]])[0], int(at[k + 1] - at[k]), max_share) for k, t in enumerate(text)]
+        rows = [_cut(t, _with_earlier(held.value.scan(words[at[k] : at[k + 1]])[0], old), int(at[k + 1] - at[k]), max_share) for k, (t, old) in enumerate(zip(text, before, strict=True))]
         return pd.DataFrame(rows, columns=["text", "n_cut", "dropped"])
 
     # else the optimizer runs it once for each of its fields

@@ -177,6 +177,19 @@ def test_cutting(spark):
     assert done[2].dropped and done[3].text is None and done[4].text == "nothing here" and done[5].text == ""
 
 
+def test_blocks_cut_as_one(spark):
+    # 40 items; documents of two halves, of overlapping windows and of an item alone
+    items = [(k, " ".join(f"i{k}x{n}" if n < 12 else f"i{(k + 1) % 40}x{n - 12}" for n in range(20))) for k in range(40)]
+    rows = []
+    for k in range(40):
+        own = items[k][1].split()
+        other = items[(k + 7) % 40][1].split()
+        rows += [(3 * k, " ".join([*own[:12], *other[:12], *(f"r{n}" for n in range(16))])), (3 * k + 1, " ".join(["a", "b", *own[:12], *items[(k + 1) % 40][1].split(), *(f"r{n}" for n in range(90))])), (3 * k + 2, " ".join(own))]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, several = ({r.doc_id: (r.text, r.n_cut, r.dropped) for r in decontaminate(docs, table, block_chars=chars).collect()} for chars in (1_000_000, 600))
+    assert one == several and all(one[3 * k][2] for k in range(40))
+
+
 def test_no_items_no_hits(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.spans for r in matches(odd, empty).collect())
