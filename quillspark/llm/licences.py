@@ -85,8 +85,9 @@ SENTENCES = {
         "Rights of way cross the field.", "Human rights are protected by law.", "They distributed leaflets under the bridge.", "The attribution of the painting is doubtful.", "It was released under pressure.", "The film was released in the summer.", "The work is available at the library.", "See the map for details.", "You may use this door.", "The project is made of wood.",
     ],
 }
-#: A paragraph with none of these is none of a licence's.
-ANCHORS = r"(?i)licen[cs]|copyright|rights\s+reserved|warrant|redistribut|permission|permitted|public\s+domain|creative\s+commons|\bcc0\b|\bcc[\s-]by\b|spdx|\bgnu\b|\b[al]?gpl|apache|mozilla|\bmpl\b|\bbsd\b|proprietary|prohibited|waived"
+_COMMON = r"(?i)licen[cs]|copyright|rights\s+reserved|warrant|redistribut|permission|permitted|public\s+domain|creative\s+commons|\bcc0\b|\bcc[\s-]by\b|spdx|\bgnu\b|\b[al]?gpl|apache|mozilla|\bmpl\b|\bbsd\b|proprietary|prohibited|waived"
+#: A paragraph with none of these is none of a licence's. Names that the common words miss (MIT, ISC, EPL) count as they are written: in small letters they can be words.
+ANCHORS = _COMMON + "|(?-i:" + "|".join(sorted({rf"\b{re.match('[A-Za-z]+', n)[0]}(?:\b|v?[0-9])" for own in NAMES.values() for n in own if not re.search(_COMMON, n)})) + ")"
 #: Longer lines are taken sentence by sentence.
 LONG_LINE = 400
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"

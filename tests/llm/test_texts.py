@@ -315,6 +315,14 @@ def test_licences(spark, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_all_training_statements_reach_the_classifier(spark):
+    rows = [(k, family, s) for k, (family, s) in enumerate(dict.fromkeys(licences.statements())) if family != licences.NONE]
+    found = {r.doc_id for r in licences.scan(spark.createDataFrame(rows, "doc_id long, family string, text string")).collect() if r.paragraphs}
+    assert [s for k, _, s in rows if k not in found] == []
+    plain = spark.createDataFrame([(1, "Er kam mit dem Hund."), (2, "He studied at MIT in Boston.")], "doc_id long, text string")
+    assert not any(r.paragraphs for r in licences.scan(plain).collect())
+
+
 def test_gram_slots_are_sparks(spark):
     grams = ["mit license", "é", "a" * 50, ""]
     rows = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(licences.WEIGHTS)).alias("s")).collect()
