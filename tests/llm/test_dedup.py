@@ -277,6 +277,18 @@ def test_units_of_a_group_meet(spark, monkeypatch):
     assert found == {(i, i ^ 1) for i in range(40)}
 
 
+def test_near_passages_at_the_limit_are_found(spark):
+    # 51 words, one of them replaced: 42 of 52 shingles in common
+    rng = random.Random(13)
+    rows = []
+    for pair in range(200):
+        p = [f"p{rng.random()}" for _ in range(51)]
+        edited = [*p[:25], "other", *p[26:]]
+        rows += [(2 * pair + k, " ".join([*(f"a{rng.random()}" for _ in range(80)), *own, *(f"z{rng.random()}" for _ in range(80))])) for k, own in enumerate((p, edited))]
+    found = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) >= 0.98 * len(rows)
+
+
 def test_passages_odd_rows(spark, odd, none):
     got = repeated_passages(odd).collect()
     assert {1, 2, 3, 11} <= {r.doc_id for r in got} and not {None, 4, 5, 6, 7} & {r.doc_id for r in got}
