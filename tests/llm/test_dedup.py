@@ -277,6 +277,24 @@ def test_units_of_a_group_meet(spark, monkeypatch):
     assert found == {(i, i ^ 1) for i in range(40)}
 
 
+def test_a_line_that_stands_elsewhere_too(spark):
+    rng = random.Random(14)
+
+    def text(n):
+        return [f"w{rng.random()}" for _ in range(n)]
+
+    rows = []
+    for pair in range(60):
+        line = text(40)
+        passage = [*text(6), *line, *text(6)]
+        once, twice = [*text(60), *passage, *text(60)], [*text(60), *line, *text(120), *passage, *text(60)]
+        rows += [(2 * pair + k, " ".join(w)) for k, w in enumerate((once, twice) if pair % 2 else (twice, once))]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), orders=4).collect()}
+    for i, t in rows:
+        at = 220 if len(t.split()) > 300 else 60
+        assert i in got and got[i][0] <= at and got[i][1] >= at + 52
+
+
 def test_near_passages_at_the_limit_are_found(spark):
     # 51 words, one of them replaced: 42 of 52 shingles in common
     rng = random.Random(13)
