@@ -328,6 +328,16 @@ def contains_benchmark(spark, sf_dir):
     return review.containing(docs(spark, sf_dir), "doc_id", "text", phrases, "item_id", "phrase")
 
 
+@query()
+def contains_whole_benchmark(spark, sf_dir):
+    """All items by their whole text, where contains_benchmark takes first lines of 60 characters and more. No SQL: tests compare it with brute force."""
+    items = t(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("phrase"), (F.size(F.split("text", r"\s+")) >= 3).alias("long"))
+    found = review.containing(docs(spark, sf_dir), "doc_id", "text", items.filter("long").drop("long"), "item_id", "phrase")
+    # items of one or two words have no inner word to be joined by
+    few = docs(spark, sf_dir).join(items.filter("not long"), F.contains("text", "phrase")).select("doc_id", "item_id")
+    return found.union(few)
+
+
 @query("SELECT event_id, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS kind FROM (SELECT *, CASE WHEN value > 50 THEN event_type END AS kind FROM events)")
 def carry_down(spark, sf_dir):
     gaps = t(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("event_type")).otherwise("").alias("kind"))

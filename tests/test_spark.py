@@ -278,3 +278,13 @@ def test_retries():
     with pytest.raises(OSError, match="busy"):
         retried(lambda: (_ for _ in ()).throw(OSError("busy")), attempts=2, sleep=waits.append)
     assert NoChat().json("", "")["numbers"] == []
+
+
+def test_whole_items_are_searched(spark, tmp_path):
+    items = [(1, "short one"), (2, "first line\nsecond line of the item"), (3, "a first line of more than sixty characters, as the other query wants it\nand more"), (4, "word"), (5, None), (6, "")]
+    texts = ["x " + items[1][1], "a short one here", items[2][1].split("\n")[0], "y\n" + items[2][1] + " z", "crossword", "none", None]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, catalogue.contains_whole_benchmark(spark, str(tmp_path)).collect()))
+    assert got == [(d, i) for d, x in rows for i, p in items if x and p and p in x]
