@@ -77,7 +77,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fold(events: DataFrame) -> DataFrame:
     """Events -> final messages (conv_id, turn, message, role, text); any id may be null. Equal seq are applied in no fixed order."""
-    small_batches(events.sparkSession, 2048)
+    small_batches(events.sparkSession)
     dealt = events.repartition("conv_id", "turn", "message").sortWithinPartitions("conv_id", "turn", "message", "seq")
     return dealt.select("conv_id", "turn", "message", "kind", "role", "text").mapInPandas(_fold, "conv_id long, turn long, message long, role string, text string")
 
@@ -148,6 +148,6 @@ def digests(formatted: DataFrame) -> DataFrame:
     loss_sha256 (the unescaped text under the loss mask), formatted_chars. A conversation is streamed
     through hashes, never held.
     """
-    small_batches(formatted.sparkSession, 2048)
+    small_batches(formatted.sparkSession)
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message")
     return dealt.select("conv_id", "formatted", "loss_start", "loss_length").mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -11,34 +11,55 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts per Arrow batch. Whole texts are long, so a batch of Spark's usual size could take gigabytes.
-BATCH_ROWS = 128
+#: Bytes per Arrow batch, about. Whole texts are long, so a batch of Spark's usual number of rows could take gigabytes.
+BATCH_BYTES = 1 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds: from now on, Arrow batches have so many rows at most.
+class small_batches:  # noqa: N801
+    """Bounds what a Python worker holds: from now on, Arrow batches have so many bytes at most, or one row.
 
+    As a context manager it puts the former bound back. Frames that are returned before they run need the
+    bound later, so their operators leave it set; a smaller bound that the session has stays.
     Workers also give freed memory back, which they would keep for their next task, and are told this
     package's folder, in case the cluster has no copy installed.
     """
-    told = spark.sparkContext.environment
-    path = told.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        told["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
-    told |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "250000"}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+    NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def __init__(self, spark: SparkSession, size: int = BATCH_BYTES) -> None:
+        told = spark.sparkContext.environment
+        path = told.get("PYTHONPATH", "")
+        if ROOT not in path.split(os.pathsep):
+            told["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+        told |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "250000"}
+        self.spark, self.before = spark, spark.conf.get(self.NAME)
+        if not self.before.isdigit() or int(self.before) > size:
+            spark.conf.set(self.NAME, str(size))
+
+    def __enter__(self) -> small_batches:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.NAME, self.before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors can read and write.
+    """A new folder below spark.checkpoint.dir, which all executors can read and write. It goes when the driver's JVM ends.
 
-    Only where that setting is missing (tests on one machine) a local folder stands in.
+    Only where that setting is missing and the master is local (tests on one machine) a local folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 @contextmanager

@@ -6,14 +6,16 @@ differ in elements. Sets of sizes x and y with Jaccard similarity at least p / q
 D <= (x + y)(q - p) / (q + p) elements, so with B = D + 1 + s blocks at least s + 1 blocks are
 equal (pigeonhole). Documents of a size band and the next are joined on equal blocks.
 
-The s spare blocks pay for sparse ones: a document with at most s blocks of under three shingles
-leaves those out, since one of the s + 1 equal blocks isn't among them; equal blocks are equally full.
-
-Sets that are equal are one class, and only its smallest id takes part. In each group of equal
-blocks every member is first compared with the group's smallest id alone. Only groups that still hold
-several components then compare members of different components. So a group of copies costs a
-row for each member, and no link that would join components is lost. Every candidate is verified on the
-whole texts.
+Each document leaves out its s commonest blocks, in one order for all: first by how common the block's rarest
+shingle is in a sample of documents, then by how few shingles it has. Of s + 1 equal blocks, the last in that order
+has s before it in either document, so both keep it. The sample changes which blocks are compared, never what is found.
+
+Sets with the same 128-bit signature are one class, and only its smallest id takes part. In each group of equal
+blocks every member is first compared with the group's smallest id alone, and links join components. Groups
+that still hold several components then tell which components may be linked further: a forest over
+components, never pairs. Of components so joined, each document outside of the largest one visits all others in chunks;
+whole texts decide, and a link is given on only where it joins what wasn't joined. So no step's rows
+grow with the square of a group, and no link that would join components is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import mix64, remove, saved, shared_dir, shingle_hashes, small_batches, utf8, word_hashes
 from quillspark.llm.components import components
 
-#: Members of a group of equal blocks that are compared at once with as many others.
-CHUNK = 512
+#: Members of a group that one unit holds; others visit it one by one.
+CHUNK = 1024
+#: Shingles of a group of components that one unit holds, about.
+HELD = 1 << 19
 _BIT = mix64(np.arange(1000, 1256, dtype=np.uint64))
 
 
@@ -55,10 +59,11 @@ class Bands:
         """The most elements that linked sets of so many elements together can differ in."""
         return total * (self.q - self.p) // (self.q + self.p)
 
-    def sketches(self, members: np.ndarray) -> tuple[int, np.ndarray, list[bytes]]:
+    def sketches(self, members: np.ndarray, common: np.ndarray | None = None) -> tuple[int, np.ndarray, list[bytes]]:
         """The band of a set, its block keys, and its whole sketches: with the band before, and with the next.
 
-        The last bit of a key is that of the lower band, so it tells which of the two sketches it is of.
+        members ascend. common: for each the number of sampled documents that have it. The last bit of a key is that
+        of the lower band, so it tells which of the two sketches it is of.
         """
         own, keys, whole = self.of(len(members)), [np.zeros(0, np.uint64)], []
         high, bit = members >> np.uint64(32), _BIT[(members & np.uint64(255)).astype(np.int64)]
@@ -70,21 +75,53 @@ class Bands:
             bits = 1 << max(8, self.bound(low + 2).bit_length())
             odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             whole.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            few, spare = (2, d // 16) if self.q + self.p >= 15 * (self.q - self.p) else (1, d // 8)
+            spare = max(1, d // 4)
             blocks = d + 1 + spare
             block = ((high * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)  # ascending, as the members are
             at = np.flatnonzero(np.diff(block, prepend=-1))
             value = np.zeros(blocks, np.uint64)
             value[block[at]] = np.bitwise_xor.reduceat(bit, at)
-            count = np.bincount(block, minlength=blocks)
-            keep = count > few if np.count_nonzero(count <= few) <= spare else np.ones(blocks, bool)
+            # blocks by how common they are: what decides the order is the same for equal blocks
+            rare = np.full(blocks, -(1 << 40))
+            rare[block[at]] = np.bincount(block, minlength=blocks)[block[at]]
+            if common is not None:
+                rare[block[at]] -= np.minimum.reduceat(common, at) << 20
             with np.errstate(over="ignore"):
                 name = mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(low) * np.uint64(0x100000001B3) + np.uint64(1 << 40))
-                keys.append((mix64(value + name)[keep] & ~np.uint64(1)) | np.uint64(low & 1))
+                name = mix64(value + name)
+            keep = np.lexsort((name, rare))[spare:]
+            keys.append((name[keep] & ~np.uint64(1)) | np.uint64(low & 1))
         return own, np.concatenate(keys).view(np.int64), whole
 
 
-def _sets(n: int, p: int, q: int, flush_bytes: int):
+class Common:
+    """How many of the sampled documents have a shingle, for the commonest ones."""
+
+    def __init__(self, shingles: np.ndarray, count: np.ndarray) -> None:
+        order = np.argsort(shingles)
+        self.shingles, self.count = np.append(shingles[order], np.uint64((1 << 64) - 1)), np.append(count[order], 0)
+
+    def of(self, members: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.shingles, members)
+        return np.where(self.shingles[at] == members, self.count[at], 0)
+
+
+def sample_common(slim: DataFrame, n: int) -> Common:
+    """Counts shingles in about SAMPLE documents, picked by a hash of their id; those in several of them, COMMON at most."""
+    rate = max(1, slim.count() // SAMPLE)
+    picked = slim.filter(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, at = word_hashes([utf8(t) for t in pdf["text"]])
+            every = [np.unique(shingle_hashes(words[at[k] : at[k + 1]], n)) for k in range(len(pdf))]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *every]).view(np.int64)})
+
+    rows = picked.mapInPandas(members, "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return Common(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64))
+
+
+def _sets(n: int, p: int, q: int, flush_bytes: int, common):
     """Texts -> their sets' signatures and block keys, equal sets of a task combined."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +148,7 @@ def _sets(n: int, p: int, q: int, flush_bytes: int):
                     held[sig, len(members)][0].append(int(i))
                     size += 40
                 else:
-                    band, keys, whole = bands.sketches(members)
+                    band, keys, whole = bands.sketches(members, common.value.of(members))
                     held[sig, len(members)] = [[int(i)], band, keys, *whole]
                     size += keys.nbytes + sum(map(len, whole)) + 300
             if size >= flush_bytes:
@@ -123,105 +160,174 @@ def _sets(n: int, p: int, q: int, flush_bytes: int):
     return run
 
 
-def _close(p: int, q: int):
-    """Units of groups, in order -> pairs of different components whose sketches don't tell them apart."""
-
-    def pairs(unit: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, rep, n, label, sketch, chunk = zip(*unit, strict=True)
-        rep, n, label, chunk = (np.array(x, np.int64) for x in (rep, n, label, chunk))
-        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(unit), -1)
-        out = []
-        left, right = np.flatnonzero(chunk == i[0]), np.flatnonzero(chunk == j[0])
-        for k in left.tolist():
-            other = right[label[right] != label[k]]
-            if i[0] == j[0]:
-                other = other[rep[other] > rep[k]]
-            total = n[other] + n[k]
-            other = other[np.abs(n[other] - n[k]) * (q + p) <= total * (q - p)]
-            if len(other):
-                differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                other = other[differ * (q + p) <= (n[other] + n[k]) * (q - p)]
-                out += [(min(rep[k], x), max(rep[k], x)) for x in rep[other].tolist()]
-        return out
+def _near(p: int, q: int):
+    """Pairs with sizes and the sketches for their bands -> pairs that the sketches don't tell apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, unit, found = None, [], set()
         for pdf in batches:
-            for row in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True):
-                if row[:3] != at:
-                    if len(unit) > 1:
-                        found.update(pairs(unit))
-                    at, unit = row[:3], []
-                unit.append(row)
+            keep = []
+            for n, m, x, y in zip(pdf["n_a"], pdf["n_b"], pdf["sketch_a"], pdf["sketch_b"], strict=True):
+                differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                keep.append(differ * (q + p) <= (n + m) * (q - p))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return run
+
+
+class Joined:
+    """Labels joined so far in a unit."""
+
+    def __init__(self) -> None:
+        self.low: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while (up := self.low.get(top, top)) != top:
+            top = up
+        while x != top:
+            self.low[x], x = top, self.low.get(x, x)
+        return top
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.low[max(x, y)] = min(x, y)
+
+
+def units(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
+    """Rows in the order of their unit (the first `width` columns), as (the unit changed, the rest of the row)."""
+    at = None
+    for pdf in batches:
+        for row in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True):
+            yield row[:width] != at, row[width:]
+            at = row[:width]
+
+
+class Residents:
+    """A unit's residents: ids, labels, sizes and sketches, of which a visitor is told those that may be linked with it."""
+
+    def __init__(self, p: int, q: int) -> None:
+        self.p, self.q = p, q
+        self.rows: list[tuple[int, int, bytes]] = []  # label, size, sketch
+        self.tables: tuple | None = None
+
+    def add(self, label: int, n: int, sketch: bytes) -> None:
+        self.rows.append((label, n, sketch))
+
+    def close_to(self, label: int, n: int, sketch: bytes) -> list[int]:
+        if self.tables is None:
+            words = len(self.rows[0][2]) // 8
+            self.tables = np.array([r[0] for r in self.rows]), np.array([r[1] for r in self.rows]), np.frombuffer(b"".join(r[2] for r in self.rows), np.uint64).reshape(-1, words)
+        labels, sizes, bits = self.tables
+        at = np.flatnonzero((labels != label) & (np.abs(sizes - n) * (self.q + self.p) <= (sizes + n) * (self.q - self.p)))
+        differ = np.bitwise_count(bits[at] ^ np.frombuffer(sketch, np.uint64)).sum(axis=1, dtype=np.int64)
+        return at[differ * (self.q + self.p) <= (sizes[at] + n) * (self.q - self.p)].tolist()
+
+
+def _forest(p: int, q: int):
+    """Units (key, chunk) of residents, then visitors: (visits, label, n, sketch) -> labels that may be linked, one row for each that joins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: set[tuple[int, int]] = set()
+        there, joined = Residents(p, q), Joined()
+        for new, (visits, label, n, sketch) in units(batches, 2):
+            if new:
+                there, joined = Residents(p, q), Joined()
+            if not visits:
+                there.add(label, n, sketch)
+            elif there.rows:
+                for k in there.close_to(label, n, sketch):
+                    other = there.rows[k][0]
+                    if joined.find(label) != joined.find(other):
+                        joined.join(label, other)
+                        found.add((min(label, other), max(label, other)))
             if len(found) > 10_000:
                 yield pd.DataFrame(sorted(found), columns=["a", "b"])
                 found = set()
-        if len(unit) > 1:
-            found.update(pairs(unit))
         yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _near(p: int, q: int):
-    """Pairs with sizes, bands and whole sketches -> pairs that the sketches don't tell apart."""
+def _alike(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
+    return q * common >= p * (len(x) + len(y) - common)
+
+
+def _verify(n: int, p: int, q: int):
+    """Units (hub, chunk) of the hub's texts, then its members': (visits, id, label, text) -> links (a: hub, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub: list[np.ndarray] = []
+        at = None
         for pdf in batches:
-            keep = []
-            for n, m, i, j, x0, x1, y0, y1 in zip(*(pdf[c] for c in ("n_a", "n_b", "band_a", "band_b", "before_a", "next_a", "before_b", "next_b")), strict=True):
-                if abs(n - m) * (q + p) > (n + m) * (q - p) or abs(i - j) > 1:
-                    keep.append(False)
-                    continue
-                # the sketches that both have for the lower band
-                x, y = np.frombuffer(x1 if i <= j else x0, np.uint64), np.frombuffer(y1 if j <= i else y0, np.uint64)
-                keep.append(int(np.bitwise_count(x ^ y).sum()) * (q + p) <= (n + m) * (q - p))
-            yield pdf.loc[keep, ["a", "b"]]
+            words, starts = word_hashes([utf8(t) for t in pdf["text"]])
+            out = []
+            for k, (a, chunk, visits, i) in enumerate(zip(pdf["key"], pdf["chunk"], pdf["visits"], pdf["id"], strict=True)):
+                own = np.unique(shingle_hashes(words[starts[k] : starts[k + 1]], n))
+                if (a, chunk) != at:
+                    at, hub = (a, chunk), []
+                if not visits:
+                    hub.append(own)
+                elif any(_alike(x, own, p, q) for x in hub):
+                    out.append((a, i))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _verify(n: int, p: int, q: int):
-    """Pairs with their texts -> links. Sets of the texts of a batch are made once each."""
+#: Bits of the sketches that tell most texts of a unit apart.
+UNIT_BITS = 1 << 10
+
+
+def _settle(n: int, p: int, q: int):
+    """Units of joined components, residents first, then visitors: (visits, id, label, text) -> links that join labels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[int, np.ndarray] = {}
+        there, joined, sets, at = Residents(p, q), Joined(), [], None
         for pdf in batches:
-            need = {int(i): t for side in "ab" for i, t in zip(pdf[side], pdf[f"text_{side}"], strict=True) if int(i) not in last}
-            words, at = word_hashes([utf8(t) for t in need.values()])
-            now = {i: np.unique(shingle_hashes(words[at[k] : at[k + 1]], n)) for k, i in enumerate(need)}
-            ok = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = (now[i] if i in now else last[i] for i in (int(a), int(b)))
-                common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                ok.append(q * common >= p * (len(x) + len(y) - common))
-            last = {int(a): now[int(a)] if int(a) in now else last[int(a)] for a in pdf["a"].tail(1)}
-            yield pdf.loc[ok, ["a", "b"]]
+            words, starts = word_hashes([utf8(t) for t in pdf["text"]])
+            out = []
+            for k, (key, chunk, visits, i, label) in enumerate(zip(pdf["key"], pdf["chunk"], pdf["visits"], pdf["id"], pdf["label"], strict=True)):
+                own = np.unique(shingle_hashes(words[starts[k] : starts[k + 1]], n))
+                if (key, chunk) != at:
+                    at, there, joined, sets = (key, chunk), Residents(p, q), Joined(), []
+                sketch = np.packbits((np.bincount((own % np.uint64(UNIT_BITS)).astype(np.int64), minlength=UNIT_BITS) & 1).astype(np.uint8)).tobytes()
+                if not visits:
+                    there.add(label, len(own), sketch)
+                    sets.append((i, own))
+                elif sets:
+                    for r in there.close_to(label, len(own), sketch):
+                        other = there.rows[r][0]
+                        if joined.find(label) != joined.find(other) and _alike(own, sets[r][1], p, q):
+                            joined.join(label, other)
+                            out.append((sets[r][0], i))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 #: Of how many documents one is in the sample that finds hot keys, and how many rows there make a key hot.
 SAMPLED, HOT = 32, 16
-#: Rows of groups with several components beyond which these are compared in so many passes.
-PASS_ROWS, PASSES = 200_000, 8
-#: Hot keys, at most, to be broadcast; more are joined.
-BROADCAST_KEYS = 100_000
+#: Documents, about, whose shingles are counted to order blocks, and commonest shingles that are told of. Results don't depend on them.
+SAMPLE, COMMON = 1 << 14, 1 << 16
+#: Rows of a few numbers, at most, to be broadcast; more are joined.
+BROADCAST_ROWS = 100_000
 
 
-def _with_hubs(blocks: DataFrame, path: str) -> DataFrame:
-    """(key, rep, hub): block rows whose key several reps have, with the smallest of these."""
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
+def _with_hubs(blocks: DataFrame, path: str) -> DataFrame:
+    """(key, rep, n, hub): block rows whose key several reps have, with the smallest of these."""
     sample = blocks.filter(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0)
-    hot = small(saved(sample.groupBy("key").count().filter(F.col("count") >= HOT).select("key"), f"{path}/keys"))
+    hot = _small(saved(sample.groupBy("key").count().filter(F.col("count") >= HOT).select("key"), f"{path}/keys"))
     often = blocks.join(hot, "key")
-    hubs = small(saved(often.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")), f"{path}/hubs"))
+    low = F.min(F.struct("rep", "n"))
+    hubs = _small(saved(often.groupBy("key").agg(low.alias("hub"), F.max("rep").alias("top")), f"{path}/hubs"))
     by_key = Window.partitionBy("key")
-    seldom = blocks.join(hot, "key", "left_anti").withColumns({"hub": F.min("rep").over(by_key), "top": F.max("rep").over(by_key)})
-    return often.join(hubs, "key").unionByName(seldom).filter("hub < top").select("key", "rep", "hub")
+    seldom = blocks.join(hot, "key", "left_anti").withColumns({"hub": low.over(by_key), "top": F.max("rep").over(by_key)})
+    return often.join(hubs, "key").unionByName(seldom).filter("hub.rep < top").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub"))
 
 
 def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col: str = "doc_id", text_col: str = "text", flush_bytes: int = 4 << 20) -> DataFrame:
@@ -230,60 +336,67 @@ def near_join(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100, id_col
     Words are split at ASCII white space, A-Z lower-cased; a text of fewer words is one shingle. A
     null or wordless text has no shingles and its own id as component. Rows that repeat an id are one
     document of several texts: links of either count. A null id is linked with nothing (component null).
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     at = shared_dir(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = saved(slim.mapInPandas(_sets(words, p, q, flush_bytes), "sig binary, n long, ids array<long>, low long, band int, keys array<long>, before binary, next binary"), f"{at}/sets")
-    # a task's class of equal sets goes by its smallest id; those of other tasks are linked by the signature
-    known = sets.filter("sig is not null")
-    equal = known.groupBy("sig", "n").agg(F.min("low").alias("a"), F.max("low").alias("top")).filter("a < top").drop("top")
-    equal = known.select("sig", "n", F.col("low").alias("b")).join(equal, ["sig", "n"]).filter("a < b").select("a", "b")
-    blocks = known.select(F.col("low").alias("rep"), F.explode("keys").alias("key"))
-    shared = saved(_with_hubs(blocks, f"{at}/hot"), f"{at}/shared")
-    whole = known.select(F.col("low").alias("rep"), "n", "band", "before", "next").distinct()
-
-    texts = slim.filter("id is not null")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return saved(both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(words, p, q), "a long, b long"), f"{at}/{name}")
-
-    stars = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    for side in "ab":
-        stars = stars.join(whole.select(*(F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in whole.columns)), side)
-    stars = saved(stars.mapInPandas(_near(p, q), "a long, b long"), f"{at}/near")
-    links = verified(stars, "stars").union(equal)
-    first = saved(components(links, f"{at}/cc1"), f"{at}/labels1")
-    # groups of equal blocks that hold several components besides the smallest id, which all were compared with; of groups with the same members, one
-    named = shared.filter("rep <> hub").join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    members_of = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
-    split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size"), members_of.alias("s")).filter("l < h")
-    split = split.groupBy("size", "s", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    split = saved(split, f"{at}/split")
-    rest = saved(named.join(split, "key"), f"{at}/rest")
-    remove(spark, f"{at}/shared")
-    # sketches are many times as large as the rows that they join, so this is done for a part of the keys at a time
-    passes, found = PASSES if rest.count() > PASS_ROWS else 1, []
-    for k in range(passes):
-        part = rest.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        part = part.join(whole, "rep").withColumn("sketch", F.when(F.expr("(band & 1) = (key & 1)"), F.col("next")).otherwise(F.col("before")))
-        # a unit: two chunks of a group, or one with itself
-        units = part.select("key", "rep", "n", "label", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        units = units.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-        dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "n", "label", "sketch", "chunk")
-        found.append(saved(dealt.mapInPandas(_close(p, q), "a long, b long"), f"{at}/close{k}"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = pairs.distinct()
-    more = verified(pairs, "more")
-    labels = saved(components(links.union(more), f"{at}/cc2"), f"{at}/labels2") if more.take(1) else first
-    rows = saved(sets.select("low", "n", "ids"), f"{at}/rows")
-    for name in ("sets", "near", "stars", "split", "rest", "more"):
+    with small_batches(spark):
+        common = spark.sparkContext.broadcast(sample_common(slim, words))
+        sets = saved(slim.mapInPandas(_sets(words, p, q, flush_bytes, common), "sig binary, n long, ids array<long>, low long, band int, keys array<long>, before binary, next binary"), f"{at}/sets")
+        # a task's class of equal sets goes by its smallest id; those of other tasks are linked by the signature
+        known = sets.filter("sig is not null")
+        equal = known.groupBy("sig", "n").agg(F.min("low").alias("a"), F.max("low").alias("top")).filter("a < top").drop("top")
+        equal = saved(known.select("sig", "n", F.col("low").alias("b")).join(equal, ["sig", "n"]).filter("a < b").select("a", "b"), f"{at}/equal")
+        blocks = known.select(F.col("low").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+        shared = saved(_with_hubs(blocks, f"{at}/hot"), f"{at}/shared")
+        # a sketch goes by the lower one of the two bands that it is for
+        sketches = known.select(F.col("low").alias("rep"), F.explode(F.array(F.struct((F.col("band") - 1).alias("at"), F.col("before").alias("sketch")), F.struct(F.col("band").alias("at"), F.col("next").alias("sketch")))).alias("s"))
+        sketches = saved(sketches.select("rep", F.expr("s.at & 1").alias("odd"), "s.sketch").filter("length(sketch) > 0").distinct(), f"{at}/sketches")
+        rows = saved(sets.select("low", "n", "ids"), f"{at}/rows")
+        texts = slim.filter("id is not null")
+
+        def with_texts(members: DataFrame, run, name: str) -> DataFrame:
+            """Members of units (key, chunk, visits, id, label) with their texts, residents first -> links (a, b)."""
+            both = _small(members).join(texts, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits")
+            return saved(both.select("key", "chunk", "visits", "id", "label", "text").mapInPandas(run, "a long, b long"), f"{at}/{name}")
+
+        within = F.abs(F.col("n") - F.col("n_hub")) * (q + p) <= (F.col("n") + F.col("n_hub")) * (q - p)
+        stars = shared.filter(F.col("rep") != F.col("hub")).filter(within).select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.expr("key & 1").alias("odd"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")).distinct()
+        for side in "ab":
+            stars = stars.join(sketches.select(F.col("rep").alias(side), "odd", F.col("sketch").alias(f"sketch_{side}")), [side, "odd"])
+        stars = saved(stars.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_near(p, q), "a long, b long").distinct(), f"{at}/near")
+        chunks = stars.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        members = stars.join(chunks, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("visits"), F.col("b").alias("id"))
+        hubs = chunks.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("visits"), F.col("a").alias("id"))
+        links = with_texts(saved(members.union(hubs).withColumn("label", F.lit(0).cast("long")), f"{at}/pairs"), _verify(words, p, q), "stars").union(equal)
+        first = saved(components(links, f"{at}/cc1"), f"{at}/labels1")
+
+        # groups of equal blocks that hold several components besides the smallest id, which all were compared with; of groups with the same members, one
+        named = shared.filter("rep <> hub").join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        members_of = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
+        split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size"), members_of.alias("s")).filter("l < h")
+        split = saved(split.groupBy("size", "s", F.expr("key & 1")).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), f"{at}/split")
+        rest = saved(named.join(_small(split), "key"), f"{at}/rest")
+        remove(spark, f"{at}/shared")
+        # the largest component of a group stays at home: of two components, one visits the other at least
+        largest = rest.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+        part = rest.join(largest, "key").withColumn("odd", F.expr("key & 1")).join(sketches, ["rep", "odd"])
+        home = F.array(F.struct(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("visits")))
+        away = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("visits")))
+        told = part.select("key", "label", "n", "sketch", F.explode(F.when(F.col("label") == F.col("largest"), home).otherwise(F.concat(home, away))).alias("u"))
+        told = told.select("key", "u.chunk", "u.visits", "label", "n", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits")
+        forest = saved(told.mapInPandas(_forest(p, q), "a long, b long"), f"{at}/forest")
+        labels = first
+        if forest.take(1):
+            areas = saved(components(forest, f"{at}/cc2"), f"{at}/areas").select(F.col("node").alias("label"), F.col("label").alias("key"))
+            own = rest.select("rep", "n").distinct().join(first, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "rep").alias("label"))
+            own = saved(own.join(areas, "label"), f"{at}/own")
+            sized = own.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.greatest(F.ceil(F.sum("s") / HELD), F.ceil(F.sum("c") / CHUNK)).cast("int").alias("chunks"))
+            members = own.join(sized, "key").select("key", "label", F.col("rep").alias("id"), F.explode(F.when(F.col("label") == F.col("largest"), home).otherwise(F.concat(home, away))).alias("u"))
+            more = with_texts(saved(members.select("key", "u.chunk", "u.visits", "id", "label"), f"{at}/members"), _settle(words, p, q), "more")
+            labels = saved(components(links.union(more), f"{at}/cc3"), f"{at}/labels2") if more.take(1) else first
+    for name in ("sets", "sketches", "hot", "near", "pairs", "stars", "equal", "split", "rest", "forest", "areas", "own", "members", "more", "cc1", "cc2", "cc3"):
         remove(spark, f"{at}/{name}")
     rows = rows.join(labels, F.col("low") == F.col("node"), "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "low").alias("c"))
     return rows.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

@@ -90,7 +90,8 @@ def test_hot_keys_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(module, "SAMPLED", 1)
     monkeypatch.setattr(module, "HOT", 3)
     monkeypatch.setattr(module, "CHUNK", 4)
-    monkeypatch.setattr(module, "PASS_ROWS", 0)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(module, "HELD", 500)
     rows = varied(9)
     got = {r.doc_id: r.component_id for r in near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked(rows, 3, 90, 100)
