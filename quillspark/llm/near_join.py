@@ -309,7 +309,7 @@ def _settle(n: int, p: int, q: int):
 #: Of how many documents one is in the sample that finds hot keys, and how many rows there make a key hot.
 SAMPLED, HOT = 32, 16
 #: Documents, about, whose shingles are counted to order blocks, and commonest shingles that are told of. Results don't depend on them.
-SAMPLE, COMMON = 1 << 14, 1 << 16
+SAMPLE, COMMON = 1 << 12, 1 << 16
 #: Rows of a few numbers, at most, to be broadcast; more are joined.
 BROADCAST_ROWS = 100_000
 
