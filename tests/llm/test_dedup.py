@@ -194,8 +194,9 @@ def test_equal_passages_share_signatures():
     rng = np.random.default_rng(6)
     common = rng.integers(1, 1 << 40, 60).astype(np.uint64)
     x, y = (np.concatenate([rng.integers(1, 1 << 40, 200).astype(np.uint64), common, rng.integers(1, 1 << 40, 100).astype(np.uint64)]) for _ in range(2))
-    a, b = signatures(x, 46, 4), signatures(y, 46, 4)
-    assert set(a["key"]) & set(b["key"])
+    # in every order: equal passages have the same smallest token
+    for k in range(6):
+        assert set(signatures(x, 46, range(k, k + 1))[0].tolist()) & set(signatures(y, 46, range(k, k + 1))[0].tolist())
 
 
 def test_passages_against_brute_force(spark):
@@ -273,7 +274,6 @@ def test_units_of_a_group_meet(spark, monkeypatch):
         passage = [*(f"a{rng.random()}" for _ in range(6)), *block, *(f"c{rng.random()}" for _ in range(6))]
         rows += [(i + k, " ".join([*(f"d{rng.random()}" for _ in range(20)), *passage, *(f"e{rng.random()}" for _ in range(20))])) for k in (0, 1)]
     monkeypatch.setattr(module, "CHUNK", 3)
-    monkeypatch.setattr(module, "FLUSH_BYTES", 3000)
     found = {(r.doc_id, r.other_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(i, i ^ 1) for i in range(40)}
 
@@ -290,7 +290,7 @@ def test_a_line_that_stands_elsewhere_too(spark):
         passage = [*text(6), *line, *text(6)]
         once, twice = [*text(60), *passage, *text(60)], [*text(60), *line, *text(120), *passage, *text(60)]
         rows += [(2 * pair + k, " ".join(w)) for k, w in enumerate((once, twice) if pair % 2 else (twice, once))]
-    got = {r.doc_id: (r.start_word, r.end_word) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), orders=4).collect()}
+    got = {r.doc_id: (r.start_word, r.end_word) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         at = 220 if len(t.split()) > 300 else 60
         assert i in got and got[i][0] <= at and got[i][1] >= at + 52
@@ -312,3 +312,18 @@ def test_passages_odd_rows(spark, odd, none):
     got = repeated_passages(odd).collect()
     assert {1, 2, 3, 11} <= {r.doc_id for r in got} and not {None, 4, 5, 6, 7} & {r.doc_id for r in got}
     assert repeated_passages(none).collect() == []
+
+
+def test_passages_around_a_common_quotation_are_found(spark):
+    rng, rows, want = random.Random(8), [], {}
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    for topic in range(10):
+        quote = fresh(48)
+        rows += [(topic * 100 + k, " ".join([*fresh(40), *quote, *fresh(40)])) for k in range(40)]
+        around = [*fresh(6), *quote, *fresh(6)]
+        for k in (40, 41):
+            before = rng.randrange(20, 60)
+            rows.append((topic * 100 + k, " ".join([*fresh(before), *around, *fresh(30)])))
+            want[topic * 100 + k] = (before, before + 60)
+    got = {r.doc_id: (r.start_word, r.end_word) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
