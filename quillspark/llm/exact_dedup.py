@@ -124,7 +124,7 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     chain: list[list] = []
 
     def out() -> pd.DataFrame:
-        return pd.DataFrame([(key, k, sha, low, n) for k, (_, sha, low, n) in enumerate(chain)], columns=["key", "chain", "sha", "keep_id", "group_size"])
+        return pd.DataFrame({"key": key, "chain": range(len(chain)), "sha": [x[1] for x in chain], "keep_id": pd.array([x[2] for x in chain], "Int64"), "group_size": [x[3] for x in chain]})
 
     done: list[pd.DataFrame] = []
     for pdf in batches:
