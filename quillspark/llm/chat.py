@@ -76,9 +76,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Events -> final messages (conv_id, turn, message, role, text); any id may be null. Equal seq are applied in no fixed order."""
+    """Events -> final messages (conv_id, turn, message, role, text); any id may be null.
+
+    Events of equal seq are applied by kind (delete, regenerate, edit, start, delta), then by role and text, nulls first, so the result doesn't
+    depend on the order of rows. Repeated events count repeatedly. Other columns are ignored; an empty table gives no rows.
+    """
     small_batches(events.sparkSession)
-    dealt = events.repartition("conv_id", "turn", "message").sortWithinPartitions("conv_id", "turn", "message", "seq")
+    dealt = events.repartition("conv_id", "turn", "message").withColumn("_rank", F.array_position(F.array(*map(F.lit, ("delete", "regenerate", "edit", "start", "delta"))), F.col("kind"))).sortWithinPartitions("conv_id", "turn", "message", "seq", "_rank", "role", "text")
     return dealt.select("conv_id", "turn", "message", "kind", "role", "text").mapInPandas(_fold, "conv_id long, turn long, message long, role string, text string")
 
 

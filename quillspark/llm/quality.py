@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import mix64, small_batches, utf8, word_hashes
 
-#: Labelled documents that the field is fitted on, at most; and lines of each.
-TRAIN_DOCS, TRAIN_LINES = 3000, 64
+#: Labelled documents that the field is fitted on, at most, each as a whole; padded lines that one array holds in the fit.
+TRAIN_DOCS, BLOCK_LINES = 3000, 1 << 16
 
 _CLASSES = {
     "upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A), "symbol": b"#$%&*@~^_=+<>{}[]\\/", "pipe": b"|",
@@ -147,47 +147,59 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 80, rounds:
     labels = np.array([d[2] for d in docs])
     if len(set(labels.tolist())) < 2:
         return None
-    docs = [(s[:TRAIN_LINES], b[:TRAIN_LINES], y) for s, b, y in docs]
+    docs = sorted(docs, key=lambda d: len(d[0]))
+    labels = np.array([d[2] for d in docs])
     every = np.concatenate([d[0] for d in docs])
     edges = [np.unique(np.quantile(every[:, k], [0.01, 0.03, 0.07, 0.15, 0.3, 0.5, 0.7, 0.85, 0.93, 0.97, 0.99])) for k in range(N_SHAPES)]
     width = max(map(len, edges)) + 1
     field = Field(edges, np.zeros((3, N_SHAPES, width)), 0.0, np.zeros((2, 2)))
-    length = max(len(d[0]) for d in docs)
-    mask = np.zeros((len(docs), length), bool)
-    for k, d in enumerate(docs):
-        mask[k, : len(d[0])] = True
-    bins = np.zeros((*mask.shape, N_SHAPES), np.int64)
-    bins[mask] = field.bins(every)
-    flat = (np.arange(N_SHAPES) * width + bins).reshape(*mask.shape, N_SHAPES)
-    target = np.where(mask, labels[:, None], 0).astype(float)
-    # a class weighs as much as the other
-    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))[:, None] * mask
-    theta, both = np.zeros(3 * N_SHAPES * width + 5), mask[:, 1:] & mask[:, :-1]
     n = N_SHAPES * width
-    good = target
+    # a class weighs as much as the other
+    share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    # documents of like length are padded to the longest of their block
+    blocks, at = [], 0
+    while at < len(docs):
+        end = at + 1
+        while end < len(docs) and (end + 1 - at) * len(docs[end][0]) <= BLOCK_LINES:
+            end += 1
+        mask = np.arange(len(docs[end - 1][0])) < np.array([len(d[0]) for d in docs[at:end]])[:, None]
+        bins = np.zeros((*mask.shape, N_SHAPES), np.int64)
+        bins[mask] = field.bins(np.concatenate([d[0] for d in docs[at:end]]))
+        target = np.where(mask, labels[at:end, None], 0).astype(float)
+        blocks.append({"mask": mask, "flat": np.arange(N_SHAPES) * width + bins, "target": target, "weight": share[at:end, None] * mask, "y": labels[at:end, None], "both": mask[:, 1:] & mask[:, :-1]})
+        at = end
+    theta, lines = np.zeros(3 * n + 5), sum(int(x["mask"].sum()) for x in blocks)
+
+    def gradient(x: dict) -> np.ndarray:
+        """Of one block; leaves its marginals in it."""
+        mask, flat, target, both = x["mask"], x["flat"], x["target"], x["both"]
+        w, chain = theta[: 3 * n].reshape(3, n), theta[3 * n + 1 :].reshape(2, 2)
+        own = [w[p][flat].sum(axis=2) for p in range(3)]
+        odds = own[1] + theta[3 * n]
+        odds[:, 1:] += np.where(both, own[0][:, :-1], 0)
+        odds[:, :-1] += np.where(both, own[2][:, 1:], 0)
+        x["good"], expected = _posterior(odds * mask, mask, chain)
+        error = (x["good"] - target) * x["weight"]
+        out = np.zeros_like(theta)
+        for p, e in ((0, np.pad(error[:, 1:], ((0, 0), (0, 1)))), (1, error), (2, np.pad(error[:, :-1], ((0, 0), (1, 0))))):
+            e = np.where(mask, e, 0)
+            out[p * n : (p + 1) * n] = np.bincount(flat.ravel(), np.repeat(e.ravel(), N_SHAPES), minlength=n)
+        out[3 * n] = error.sum()
+        before, after = target[:, :-1][both], target[:, 1:][both]
+        pairs = np.array([[((1 - before) * (1 - after)).sum(), ((1 - before) * after).sum()], [(before * (1 - after)).sum(), (before * after).sum()]])
+        out[3 * n + 1 :] = (expected - pairs).ravel()
+        return out
+
     for _ in range(rounds):
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        pairs = np.array([[((1 - target[:, :-1]) * (1 - target[:, 1:]))[both].sum(), ((1 - target[:, :-1]) * target[:, 1:])[both].sum()], [(target[:, :-1] * (1 - target[:, 1:]))[both].sum(), (target[:, :-1] * target[:, 1:])[both].sum()]])
         for step in range(1, steps + 1):
-            w, chain = theta[: 3 * n].reshape(3, n), theta[3 * n + 1 :].reshape(2, 2)
-            own = [w[p][flat].sum(axis=2) for p in range(3)]
-            odds = own[1] + theta[3 * n]
-            odds[:, 1:] += np.where(both, own[0][:, :-1], 0)
-            odds[:, :-1] += np.where(both, own[2][:, 1:], 0)
-            good, expected = _posterior(odds * mask, mask, chain)
-            error = (good - target) * weight
-            grad = np.zeros_like(theta)
-            for p, e in ((0, np.pad(error[:, 1:], ((0, 0), (0, 1)))), (1, error), (2, np.pad(error[:, :-1], ((0, 0), (1, 0))))):
-                e = np.where(mask, e, 0)
-                grad[p * n : (p + 1) * n] = np.bincount(flat.ravel(), np.repeat(e.ravel(), N_SHAPES), minlength=n)
-            grad[3 * n] = error.sum()
-            grad[3 * n + 1 :] = (expected - pairs).ravel()
-            grad = grad / mask.sum() + 1e-4 * theta
+            grad = sum(gradient(x) for x in blocks) / lines + 1e-4 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         # of a bad document, the lines taken for good are; but its worst line stays bad
-        worst = np.where(mask, good, 2).min(axis=1, keepdims=True)
-        target = np.where(mask & ((labels[:, None] == 1) | ((good > 0.5) & (good > worst))), 1.0, 0.0)
+        for x in blocks:
+            worst = np.where(x["mask"], x["good"], 2).min(axis=1, keepdims=True)
+            x["target"] = np.where(x["mask"] & ((x["y"] == 1) | ((x["good"] > 0.5) & (x["good"] > worst))), 1.0, 0.0)
     field.weights, field.bias, field.chain = theta[: 3 * n].reshape(3, N_SHAPES, width).copy(), float(theta[3 * n]), theta[3 * n + 1 :].reshape(2, 2).copy()
     _calibrate(field, docs, labels)
     return field
@@ -226,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             shape, size, count = line_shapes(list(pdf["text"]))
             end = np.cumsum(count)
-            cut = [slice(e - c, e - c + min(c, TRAIN_LINES)) for e, c in zip(end.tolist(), count.tolist(), strict=True)]
+            cut = [slice(e - c, e) for e, c in zip(end.tolist(), count.tolist(), strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "shape": [shape[s].ravel() for s in cut], "size": [size[s] for s in cut]})
 
     rows = texts.mapInPandas(shapes, "id long, y int, shape array<float>, size array<long>").collect()
@@ -241,7 +253,7 @@ def held_out(i):
 def score(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    A null or empty text is scored as one empty line; repeated rows are scored each. Without a field
+    A null or empty text is scored as one empty line; repeated rows are scored each. Other columns are ignored, whatever their names. Without a field
     (no labels, or of one kind alone) every score is 0.5. A null id is not held out. No rows give none.
     """
     small_batches(docs.sparkSession)

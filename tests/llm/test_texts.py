@@ -327,3 +327,22 @@ def test_gram_slots_are_sparks(spark):
     grams = ["mit license", "é", "a" * 50, ""]
     rows = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(licences.WEIGHTS)).alias("s")).collect()
     assert all(licences._slot(r.g) == r.s for r in rows)
+
+
+def test_deeply_nested_pages_give_their_text():
+    from quillspark.llm.wrapper import main_text, read_page
+
+    page = "<html><body>" + "<div>" * 100_000 + "deep words" + "</div>" * 100_000 + "</body></html>"
+    assert main_text(page) == "deep words"
+    tree = read_page(page)[0]
+    assert main_text(page, tree, ()) == "deep words"
+
+
+def test_template_inside_an_article_goes(spark):
+    pages = [(k, f"http://h.example/{k}", f"<body><article class='q7'><h1>Title {k}</h1><p>Body {k} of the page.</p><div class='zz1'>Read this in our app.</div></article></body>") for k in range(40)]
+    from quillspark.llm.wrapper import extract, main_text
+
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Title 7\nBody 7 of the page."
+    # a page by itself can't tell
+    assert main_text(pages[7][2]) == "Title 7\nBody 7 of the page.\nRead this in our app."
