@@ -42,6 +42,15 @@ NAMES = {
     "CC-BY-ND": ["CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "Public domain": ["CC0 1.0", "CC0", "CC0 1.0 Universal public domain dedication", "Unlicense", "public domain"],
 }
+#: Licences of no family, which teach the class "unknown".
+OTHERS = [
+    "Artistic License 2.0", "Boost Software License 1.0", "zlib License", "PostgreSQL License", "European Union Public Licence 1.2", "SIL Open Font License 1.1", "Academic Free License 3.0", "Common Development and Distribution License",
+    "Ruby License", "PHP License 3.01", "Python Software Foundation License", "Server Side Public License", "Business Source License 1.1", "Elastic License 2.0", "Microsoft Public License", "Microsoft Reciprocal License", "Q Public License",
+    "LaTeX Project Public License 1.3c", "Sun Public License", "Netscape Public License", "IBM Public License 1.0", "Common Public License 1.0", "Open Data Commons Open Database License", "CeCILL License 2.1", "Beerware License", "JSON License", "Hippocratic License",
+    "Acme Internal License", "Northwind Source License", "Blue River Content License", "Partner License 4.2", "Community Tools License",
+]
+#: Words of names that tell no licence from another.
+GENERIC = frozenset("the a an license licence licenses public general software version free open new of and in 1.0 1.1 2.0 3.0 4.0 0 1 2 3 4 international source".split())
 FRAMES = [
     "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is distributed under the {}.",
     "Distributed under the terms of the {}.", "Available under the {}.", "This project is made available under the {}.", "The content of this site is published under {}.", "License: {}", "SPDX-License-Identifier: {}",
@@ -88,8 +97,6 @@ SENTENCES = {
 _COMMON = r"(?i)licen[cs]|copyright|rights\s+reserved|warrant|redistribut|permission|permitted|public\s+domain|creative\s+commons|\bcc0\b|\bcc[\s-]by\b|spdx|\bgnu\b|\b[al]?gpl|apache|mozilla|\bmpl\b|\bbsd\b|proprietary|prohibited|waived"
 #: A paragraph with none of these is none of a licence's. Names that the common words miss (MIT, ISC, EPL) count as they are written: in small letters they can be words.
 ANCHORS = _COMMON + "|(?-i:" + "|".join(sorted({rf"\b{re.match('[A-Za-z]+', n)[0]}(?:\b|v?[0-9])" for own in NAMES.values() for n in own if not re.search(_COMMON, n)})) + ")"
-#: Longer lines are taken sentence by sentence.
-LONG_LINE = 400
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -106,7 +113,7 @@ def _slot(gram: str) -> int:
 
 def statements() -> list[tuple[str, str]]:
     """(family, statement), all that the model is fitted on."""
-    out = [(family, frame.format(name)) for family, names in NAMES.items() for name in names for frame in FRAMES]
+    out = [(family, frame.format(name)) for family, names in [*NAMES.items(), (UNKNOWN, OTHERS)] for name in names for frame in FRAMES]
     return out + [(family, s) for family, own in SENTENCES.items() for s in own for _ in range(8)]
 
 
@@ -123,8 +130,10 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
         x[k, [at[s] for s in own]] = 1 / np.sqrt(len(own))
     y = np.array([families.index(f) for f, _ in rows])
     share = np.bincount(y, minlength=len(families))
-    # statements of one frame in seven, or one sentence in seven, are held out for the calibration
-    held = np.array([xxhash.xxh32_intdigest(s) % 7 == 0 for _, s in rows])
+    # statements of one frame in seven, or one sentence in seven, are held out for the calibration; of licences of no family, one name in three as a whole
+    strange = [k for k, (f, _) in enumerate(rows) if f == UNKNOWN]
+    unseen = {k for k in strange if any(name in rows[k][1] for name in OTHERS[::3])}
+    held = np.array([k in unseen or (f != UNKNOWN and xxhash.xxh32_intdigest(text) % 7 == 0) for k, (f, text) in enumerate(rows)])
 
     def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, t = x[keep], np.eye(len(families), dtype=np.float32)[y[keep]]
@@ -152,14 +161,31 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     p = np.exp((z - z.max(axis=1, keepdims=True)) / heat)
     p /= p.sum(axis=1, keepdims=True)
     right = p.argmax(axis=1) == y[held]
-    # the least probability: what all but one in fifty right ones reach, within bounds
+    # the least probability: what all but one in fifty right ones reach; but all but one in fifty unseen names stay below it, where they seem of a family
     least = float(np.clip(np.quantile(p.max(axis=1)[right], 0.02), 0.3, 0.7))
+    wrong = p.max(axis=1)[(y[held] == families.index(UNKNOWN)) & ~right]
+    if len(wrong):
+        least = float(min(0.9, max(least, np.quantile(wrong, 0.98))))
     w, b = fit(np.ones(len(rows), bool))
     full = np.zeros((len(families), WEIGHTS))
     full[:, used] = w.T / heat
     return families, full, b / heat, least
 
 
+def templates() -> dict[str, list[list[str]]]:
+    """Of each family, the grams of its names without what any licence's name may have, and the two-word grams of its sentences."""
+    out: dict[str, list[list[str]]] = {}
+    for family, names in NAMES.items():
+        for name in names:
+            own = [g for g in _grams(name) if not set(g.split()) <= GENERIC]
+            if own not in out.setdefault(family, []):
+                out[family].append(own)
+    for family, own in SENTENCES.items():
+        if family != NONE:
+            out.setdefault(family, []).extend([g for g in _grams(x) if " " in g] for x in own)
+    return out
+
+
 def _literal(value: object, kind: str) -> Column:
     """A constant of any size: JSON that the optimizer folds into one literal."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -168,18 +194,14 @@ def _literal(value: object, kind: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_alike: float = 0.6) -> DataFrame:
     """One row per input row: doc_id, paragraphs (array of paragraph, family, probability, similarity, confirmed).
 
-    Paragraphs are lines, long lines their sentences; only those with an anchor word that aren't classed "none" are
-    listed. The family is "unknown" below the calibrated least probability. similarity is the largest share of a
-    statement's two-word grams found in the paragraph, over the family's statements; it confirms from
-    least_alike on. Null and empty texts list nothing. Repeated rows and null ids are kept as they are.
+    Paragraphs are sentences and lines, of any length; only those with an anchor word that aren't classed "none" are
+    listed. The family is "unknown" where the model says so, or below the calibrated least probability. similarity
+    is the largest share of a template's grams found in the paragraph, over the family's templates (a name without words that
+    any licence's name may have, or a sentence); it confirms a known family from least_alike on. Null and empty texts
+    list nothing. Repeated rows and null ids are kept as they are, other columns ignored; an empty table gives no rows.
     """
     families, weights, biases, least = model()
-    by_family: dict[str, list[list[int]]] = {}
-    for family, s in dict.fromkeys(statements()):
-        w = re.findall(WORD, s.lower())
-        grams = sorted({_long(f"{a} {b}") for a, b in zip(w, w[1:], strict=False)})
-        if grams and grams not in by_family.setdefault(family, []):
-            by_family[family].append(grams)
+    by_family = {family: [sorted(map(_long, own)) for own in found] for family, found in templates().items()}
     # one array of weights per slot, so one access finds a gram's weights for all families
     table = _literal([[round(float(x), 4) for x in col] for col in weights.T], "array<array<float>>")
     known = _literal(by_family, "map<string,array<array<bigint>>>")
@@ -187,12 +209,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     start = _literal([float(x) for x in biases], "array<double>")
 
     text = F.col(text_col)
-    lines = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(F.length(p) > LONG_LINE, F.split(p, r"(?<=[.!?])\s+")).otherwise(F.array(p))))
+    lines = F.split(text, r"\n|(?<=[.!?])\s+")
     marked = F.when(text.rlike(ANCHORS), F.filter(lines, lambda p: p.rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
     words = F.transform(marked, lambda p: F.struct(p.alias("p"), F.regexp_extract_all(F.lower(p), F.lit(WORD), 0).alias("w")))
     pairs = F.transform(words, lambda x: F.struct(x["p"].alias("p"), x["w"].alias("w"), F.array_distinct(F.zip_with(F.slice(x["w"], 1, F.greatest(F.size(x["w"]) - 1, F.lit(0))), F.slice(x["w"], 2, F.greatest(F.size(x["w"]), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("two")))
     slots = F.transform(pairs, lambda x: F.struct(
-        x["p"].alias("p"), F.transform(x["two"], lambda g: F.xxhash64(g)).alias("two"),
+        x["p"].alias("p"), F.transform(F.concat(F.array_distinct(x["w"]), x["two"]), lambda g: F.xxhash64(g)).alias("two"),
         F.array_distinct(F.transform(F.concat(F.array_distinct(x["w"]), x["two"]), lambda g: F.pmod(F.xxhash64(g), F.lit(WEIGHTS)).cast("int"))).alias("s"),
     ))
     logits = F.transform(slots, lambda x: F.struct(
@@ -210,7 +232,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     ))
     found = F.transform(alike, lambda x: F.struct(
         x["p"].alias("paragraph"), F.when(x["pr"] >= least, x["f"]).otherwise(UNKNOWN).alias("family"), x["pr"].alias("probability"),
-        x["sim"].alias("similarity"), ((x["pr"] >= least) & (x["sim"] >= least_alike)).alias("confirmed"),
+        x["sim"].alias("similarity"), ((x["f"] != UNKNOWN) & (x["pr"] >= least) & (x["sim"] >= least_alike)).alias("confirmed"),
     ))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(found, F.array().cast("array<struct<paragraph:string,family:string,probability:double,similarity:double,confirmed:boolean>>")).alias("paragraphs"))
 

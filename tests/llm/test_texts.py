@@ -346,3 +346,44 @@ def test_template_inside_an_article_goes(spark):
     assert got[7] == "Title 7\nBody 7 of the page."
     # a page by itself can't tell
     assert main_text(pages[7][2]) == "Title 7\nBody 7 of the page.\nRead this in our app."
+
+
+#: Licences that the model wasn't fitted on.
+UNSEEN = [
+    "Eiffel Forum License", "Vovida Software License 1.0", "Sleepycat License", "Zope Public License 2.1", "Intel Open Source License", "Nokia Open Source License", "Lucent Public License", "RealNetworks Public Source License",
+    "Reciprocal Public License 1.5", "Frameworx License", "Motosoto License", "Naumen Public License", "Entessa Public License", "Fair License", "Educational Community License", "Historical Permission License", "Jabber Open Source License",
+    "Mulan Permissive Software License", "Upstream Compatibility License", "Vim License", "Xnet License", "Watcom Public License", "Acme Community License", "Open Software License 3.0",
+]
+
+
+def restated(text):
+    """What the scan should say, line by line, in plain Python."""
+    families, weights, biases, least = licences.model()
+    out = []
+    for p in re.split(r"\n|(?<=[.!?])\s+", text or ""):
+        if not re.search(licences.ANCHORS.replace("(?i)", "(?i:", 1).replace("|(?-i:", ")|(?:", 1), p):
+            continue
+        grams = licences._grams(p)
+        slots = sorted({licences._slot(g) for g in grams})
+        z = biases + weights[:, slots].round(4).sum(axis=1) / max(1, len(slots)) ** 0.5
+        k = int(z.argmax())
+        pr = 1 / np.exp(z - z.max()).sum()
+        if families[k] != licences.NONE:
+            sim = max((len(set(t) & set(grams)) / len(t) for t in licences.templates().get(families[k], [])), default=0.0)
+            name = families[k] if pr >= least else licences.UNKNOWN
+            out.append((p, name, name != licences.UNKNOWN and sim >= 0.6, round(pr, 3), round(sim, 6)))
+    return out
+
+
+def test_licences_that_the_fit_lacks_are_unknown_and_the_scan_equals_its_restatement(spark):
+    strange = [frame.format(name) for name in UNSEEN for frame in licences.FRAMES]
+    known = [s for _, s in licences.statements()[::5]]
+    texts = [*strange, *known, "", "No mark here.", "Two lines.\nLicensed under the MIT License. All rights reserved.", "licence " * 30_000]
+    rows = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string")
+    got = {r.doc_id: r.paragraphs for r in licences.scan(rows).collect()}
+    sure = [any(x.confirmed for x in got[k]) for k in range(len(strange))]
+    assert sum(sure) <= 0.05 * len(sure)
+    for k, t in enumerate(texts):
+        assert [(x.paragraph, x.family, x.confirmed, round(x.probability, 3), round(x.similarity, 6)) for x in got[k]] == restated(t), t[:100]
+    right = [any(x.confirmed and x.family == f for x in got[len(strange) + k]) for k, (f, _) in enumerate(licences.statements()[::5]) if f not in (licences.NONE, licences.UNKNOWN)]
+    assert np.mean(right) >= 0.95
