@@ -85,6 +85,14 @@ def read_repeating(whole: Column, fraction: Column) -> Column:
     return F.when(valid, _twice(whole, before, block))
 
 
+def same_setup(wanted: dict[str, Column], applied: dict[str, Column]) -> Column:
+    """Whether each setting asked for is the one in effect; a missing one isn't."""
+    same = F.lit(True)
+    for name, value in wanted.items():
+        same = same & F.coalesce(applied.get(name, F.lit(None)) == value, F.lit(False))
+    return same
+
+
 def needs_check(text: Column) -> Column:
     """A decimal and a sign of repetition: only such a text is worth a costly look."""
     return text.rlike(fx.DECIMAL) & text.rlike(fx.REPETITION)

@@ -30,6 +30,10 @@ class Speech(Protocol):
     def speak(self, latex: str, domain: str, style: str, ssml: bool) -> str: ...
 
 
+class MathML(Protocol):
+    def convert(self, latex: str) -> str: ...
+
+
 class Voice(Protocol):
     def synthesize(self, text: str, ssml: bool) -> bytes: ...
 
@@ -77,6 +81,17 @@ class ExpansionChat:
         return {"numbers": found, "findings": []}
 
 
+class FlatMathML:
+    """Stand-in: numbers, letters and signs in a row; commands, groups and scripts are beyond it."""
+
+    def convert(self, latex: str) -> str:
+        if re.search(r"[\\{}^_]", latex):
+            raise ValueError("a command, group or script")
+        tags = {"n": "mn", "i": "mi"}
+        parts = ((tags.get(m.lastgroup, "mo"), m[0]) for m in re.finditer(r"(?P<n>[0-9]+)|(?P<i>[A-Za-z])|[^\s0-9A-Za-z]", latex))
+        return "<math><mrow>" + "".join(f"<{tag}>{text.replace('&', '&amp;').replace('<', '&lt;')}</{tag}>" for tag, text in parts) + "</mrow></math>"
+
+
 class RuleSpeech:
     """Reads simple formulas by rule; raises for the others."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import columns as cf
+
 CASE = "struct<id:string,input:string,must:array<string>,mustnot:array<string>>"
 FINDING = f"struct<category:string,severity:string,speech_quote:string,source_quote:string,correct_reading:string,explanation:string,suggested_case:{CASE}>"
 
@@ -42,13 +44,47 @@ def valid_findings(items: Column, speech: Column) -> Column:
     ))
 
 
+FINDING = "category string, severity string, speech_quote string, source_quote string, correct_reading string, explanation string, suggested_case struct<id:string,input:string,must:array<string>,mustnot:array<string>>"
+REPLY = f"findings array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"
+
+
+def eligible(speech: Column) -> Column:
+    """Whether there is anything to judge: speech that is not blank."""
+    return F.coalesce(speech.rlike(r"(?U)[^\s\x1C-\x1F]"), F.lit(False))
+
+
+def judged(pages: DataFrame, speech_col: str, reply_col: str) -> DataFrame:
+    """Eligible pages with findings, the valid ones of a judge's JSON reply, and judge_error, which says that the reply isn't of the shape asked for.
+
+    Pages without speech are left out, as the judge never sees them. Such a reply has no findings.
+    """
+    reply = F.from_json(F.col(reply_col), REPLY, {"mode": "PERMISSIVE"})
+    shaped = F.coalesce(F.regexp_like(F.col(reply_col), F.lit(r"(?s)^\s*\{.*\}\s*$")), F.lit(False)) & reply["findings"].isNotNull()
+    asked = pages.filter(eligible(F.col(speech_col)))
+    none = F.array().cast(f"array<{REPLY.removeprefix('findings array<')[:-1]}>")
+    return asked.withColumns({"findings": valid_findings(F.when(shaped, reply["findings"]).otherwise(none), F.col(speech_col)), "judge_error": F.when(~shaped, "the reply is no JSON object with findings")})
+
+
+def case_score(before: Column, after: Column, expected: Column, known: Column) -> Column:
+    """How a dot case came out: status, and true and false positives and false negatives, which known cases don't count in.
+
+    What counts as applied are the dotted numbers of the patched text that the text hadn't.
+    """
+    got = F.array_except(cf.dotted_numbers(after), cf.dotted_numbers(before))
+    counts = set_score(expected, got)
+    good = (counts["fp"] == 0) & (counts["fn"] == 0)
+    status = F.when(known.isNotNull(), "known").when(good, "ok").otherwise("failed")
+    return F.struct(status.alias("status"), *(F.when(known.isNull(), counts[c]).otherwise(0).alias(c) for c in ("tp", "fp", "fn")))
+
+
 def fresh_suggestions(proposed: DataFrame, known: list[DataFrame], order: str, input_col: str = "input") -> DataFrame:
     """The first proposal of each input that none of the known tables has."""
     seen = known[0].select(input_col)
     for k in known[1:]:
         seen = seen.union(k.select(input_col))
-    first = F.row_number().over(Window.partitionBy(input_col).orderBy(order))
-    return proposed.join(seen.distinct(), input_col, "left_anti").withColumn("_n", first).filter("_n = 1").drop("_n")
+    # a minimum is combined before the shuffle, so a proposal that many make is one row of each task
+    first = proposed.groupBy(F.col(input_col).alias("_input")).agg(F.min(F.struct(F.col(order).alias("_order"), F.struct(*proposed.columns).alias("_row"))).alias("_first"))
+    return first.select("_first._row.*").join(seen.distinct(), input_col, "left_anti").select(*proposed.columns)
 
 
 def set_score(truth: Column, got: Column) -> Column:

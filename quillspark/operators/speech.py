@@ -108,3 +108,21 @@ def totals(rendered: DataFrame) -> DataFrame:
     sums = rendered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("spans", "ok", "salvaged", "unsupported")), F.count_if(F.col("xml_error").isNotNull()).alias("bad_xml"))
     failures = F.col("salvaged") + F.col("unsupported") + F.col("bad_xml")
     return sums.withColumn("failures", failures).withColumn("exit_code", F.when(failures > 0, 2).otherwise(0))
+
+
+def mathml(formulas: DataFrame, provider: Callable[[], object], latex_col: str = "latex") -> DataFrame:
+    """latex, mathml, error: each distinct formula once; what a converter raises, or marks as an error in its answer, is an error. Null formulas are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        converter = provider()
+        for pdf in batches:
+            out = []
+            for latex in pdf["latex"]:
+                try:
+                    found = converter.convert(latex)
+                    out.append((latex, None, "marked as an error") if "<merror" in found else (latex, found, None))
+                except Exception as x:
+                    out.append((latex, None, str(x) or type(x).__name__))
+            yield pd.DataFrame(out, columns=["latex", "mathml", "error"])
+
+    return formulas.select(F.col(latex_col).alias("latex")).filter("latex is not null").distinct().mapInPandas(run, "latex string, mathml string, error string")

@@ -270,13 +270,14 @@ def precision_recall(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[:200]), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(text[-200:]), '[a-z]{4,}')) AS b FROM documents)
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, length(text) // 2)), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, length(text) // 2 + 1)), '[a-z]{4,}')) AS b FROM documents)
 SELECT doc_id, len(list_intersect(a, b))::INT AS tp, (len(b) - len(list_intersect(a, b)))::INT AS fp, (len(a) - len(list_intersect(a, b)))::INT AS fn FROM w""")
 def set_score(spark, sf_dir):
     def words(c):
         return F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
 
-    head, tail = F.substring("text", 1, 200), F.substring("text", -200, 200)
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
     return docs(spark, sf_dir).select("doc_id", review.set_score(words(head), words(tail)).alias("s")).select("doc_id", "s.*")
 
 
@@ -533,3 +534,53 @@ def experiment_matrix(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("KNOWN")
     names = F.explode(F.array(*(F.concat(F.lit("tts-"), F.col("o_orderkey").cast("string"), F.lit(f"-{r[0]}.wav")) for r in cf.READINGS))).alias("file")
     return t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", status.alias("status"), names)
+
+
+# --- judging, dot cases, set-ups, MathML ---------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 1 THEN 0 ELSE 1 END AS kept, doc_id % 5 = 0 AS failed,
+       CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN CASE WHEN lang IN ('en', 'de') THEN 'error' ELSE 'warn' END END AS severity
+FROM documents WHERE doc_id % 7 <> 0 AND regexp_matches(text, '[^\\s]')""")
+def judge_replies(spark, sf_dir):
+    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.concat(F.lit("§ "), F.substring("text", 1, 12), F.lit(" §")))
+    finding = F.struct(F.lit("reading").alias("category"), F.when(F.col("lang").isin("en", "de"), "error").otherwise("grave").alias("severity"), quote.alias("speech_quote"), F.col("lang").alias("explanation"))
+    reply = F.when(F.col("doc_id") % 5 == 0, F.lit('{"findings": [')).otherwise(F.to_json(F.struct(F.array(finding).alias("findings"))))
+    pages = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.col("text")).alias("speech"), reply.alias("reply"))
+    done = review.judged(pages, "speech", "reply")
+    return done.select("doc_id", F.size("findings").alias("kept"), F.col("judge_error").isNotNull().alias("failed"), F.get("findings", F.lit(0))["severity"].alias("severity"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'known' WHEN p_partkey % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN p_partkey % 5 = 0 OR p_partkey % 3 = 0 THEN 0 ELSE 1 END AS tp, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 6 = 0 THEN 1 ELSE 0 END AS fp, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS fn
+FROM part""")
+def dot_cases(spark, sf_dir):
+    two = (F.col("p_partkey") % 90 + 10).cast("string")
+    number = F.concat(F.lit("0.1"), two)
+    # every third case isn't patched, or with the wrong digits
+    patched = F.when(F.col("p_partkey") % 6 == 0, cf.dotify(number, F.concat(F.lit("1"), two))).when(F.col("p_partkey") % 3 == 0, number).otherwise(cf.dotify(number, two))
+    expected = F.array(F.struct(number.alias("number"), two.alias("period")))
+    score = review.case_score(F.concat(F.lit("값 "), number), F.concat(F.lit("값 "), patched), expected, F.when(F.col("p_partkey") % 5 == 0, "open"))
+    return t(spark, sf_dir, "part").select("p_partkey", score.alias("s")).select("p_partkey", "s.*")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS same FROM orders")
+def setup_applied(spark, sf_dir):
+    wanted = {"locale": F.lit("ko"), "style": F.col("o_orderpriority")}
+    got = {"locale": F.when(F.col("o_orderkey") % 3 != 0, "ko"), "style": F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("default")}
+    return t(spark, sf_dir, "orders").select("o_orderkey", cf.same_setup(wanted, got).alias("same"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+ ?[-+*/=^_{}<>] ?[A-Za-z0-9]+')) AS latex FROM documents)
+SELECT latex, NOT regexp_matches(latex, '[{}^_]') AS converted, CASE WHEN regexp_matches(latex, '[{}^_]') THEN 0 ELSE len(regexp_extract_all(latex, '[0-9]+')) END::INT AS numbers,
+       CASE WHEN regexp_matches(latex, '[{}^_]') THEN 0 ELSE len(regexp_extract_all(latex, '[A-Za-z]')) END::INT AS letters FROM f""")
+def formula_mathml(spark, sf_dir):
+    from quillspark.functions.providers import FlatMathML
+
+    found = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+ ?[-+*/=^_{}<>] ?[A-Za-z0-9]+"), F.lit(0))).alias("latex"))
+    done = speech.mathml(found, FlatMathML)
+    tags = {c: F.coalesce(F.regexp_count("mathml", F.lit(f"<{tag}>")), F.lit(0)).alias(c) for c, tag in (("numbers", "mn"), ("letters", "mi"))}
+    return done.select("latex", F.col("error").isNull().alias("converted"), *tags.values())

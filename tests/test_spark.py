@@ -106,14 +106,30 @@ def test_readings(spark):
 
 
 def test_dots(spark):
-    for number, period in (("0.245", "45"), ("0.24", "4"), ("0.123", "123")):
-        assert one(spark, cf.dotify(F.lit(number), F.lit(period))) == dots.dotify(number, period)
+    for number, period, want in (("0.245", "45", "0.24\u03075\u0307"), ("0.24", "4", "0.24\u0307"), ("0.123", "123", "0.1\u030723\u0307")):
+        assert one(spark, cf.dotify(F.lit(number), F.lit(period))) == want
     assert [tuple(x) for x in one(spark, cf.dotted_numbers(F.lit("0.2\u03074\u0307, 1.1\\dot{2}\\dot{3} 3.5 0.2\u03074\u0307")))] == [("0.24", "24"), ("1.123", "23")]
     good = {"number": "0.24", "period": "24", "evidence": "x = 0.2424..."}
     text = "$x=0.2424...$ 0.24 10.24 0.245"
-    assert dots.apply(text, [good])[0] == text.replace(" 0.24 ", " 0.2\u03074\u0307 ")
-    bad = [{**good, "period": "2"}, {**good, "evidence": "nowhere"}, {**good, "number": "24"}, "junk", {**good, "period": ""}]
-    assert dots.apply(text, bad)[0] == text and len(dots.apply(text, bad)[1]) == 2 and dots.apply(text, None) == (text, [])
+
+    def apply(proposals):
+        rows = spark.createDataFrame([(text, proposals)], f"text string, p {dots.PROPOSALS}")
+        return tuple(rows.select(dots.applied(F.col("text"), F.col("p")).alias("x")).first().x)
+
+    assert apply([good])[0] == text.replace(" 0.24 ", " 0.2\u03074\u0307 ") and len(apply([good])[1]) == 1
+    bad = [{**good, "period": "2"}, {**good, "evidence": "nowhere"}, {**good, "number": "24"}, {**good, "period": ""}, {**good, "number": None}]
+    assert apply(bad)[0] == text and len(apply(bad)[1]) == 2 and apply(None) == (text, [])
+    # patches add up, on the text as patched so far
+    both = apply([good, {"number": "0.245", "period": "5", "evidence": "0.245"}, good])
+    assert both[0] == "$x=0.2424...$ 0.2\u03074\u0307 10.24 0.245\u0307" and len(both[1]) == 2
+
+
+def test_judge_reply(spark):
+    finding = '{"findings": [{"category": "reading", "severity": "odd", "speech_quote": "삼 분의", "explanation": "why", "suggested_case": {"id": "a", "input": "b", "must": ["c"]}}, {"speech_quote": "not there", "explanation": "x"}, {"speech_quote": "삼"}]}'
+    rows = [(1, "삼 분의 일", finding), (2, "삼", "no json"), (3, " \n\u3000", finding), (4, "삼", '{"other": 1}'), (5, None, finding), (6, "삼", None), (7, "삼", '{"findings": []}')]
+    got = {r.k: r for r in review.judged(spark.createDataFrame(rows, "k int, speech string, reply string"), "speech", "reply").collect()}
+    assert set(got) == {1, 2, 4, 6, 7} and [f.severity for f in got[1].findings] == ["warn"] and got[1].findings[0].suggested_case.id == "a"
+    assert [got[k].judge_error is None for k in (1, 2, 4, 6, 7)] == [True, False, False, False, True] and all(got[k].findings == [] for k in (2, 4, 6, 7))
 
 
 def test_restore_calls_only_where_it_pays(spark, tmp_path):
