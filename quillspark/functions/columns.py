@@ -93,6 +93,38 @@ def same_setup(wanted: dict[str, Column], applied: dict[str, Column]) -> Column:
     return same
 
 
+_EDGES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+
+
+def table_lines(text: Column) -> Column:
+    """Tables in a text as their cells' texts: a line for each row that has any, blank lines between; a space if none has."""
+    table, row, cell = (f"(?isU){p}" for p in (fx.TABLE, fx.TABLE_ROW, fx.TABLE_CELL))
+
+    def line(markup: Column) -> Column:
+        cells = F.transform(F.regexp_extract_all(markup, F.lit(cell), 1), lambda c: F.regexp_replace(F.regexp_replace(c, fx.TAG, " "), _EDGES, ""))
+        return F.array_join(F.filter(cells, lambda c: c != ""), " ")
+
+    def lines(markup: Column) -> Column:
+        rows = F.regexp_extract_all(markup, F.lit(row), 1)
+        kept = F.filter(F.transform(F.when(F.size(rows) > 0, rows).otherwise(F.array(markup)), line), lambda x: x != "")
+        return F.when(F.size(kept) > 0, F.concat(F.lit("\n\n"), F.array_join(kept, "\n\n"), F.lit("\n\n"))).otherwise(F.lit(" "))
+
+    between = F.split(text, table, -1)
+    tables = F.transform(F.regexp_extract_all(text, F.lit(table), 0), lines)
+    return F.when(text.rlike(table), F.array_join(F.zip_with(between, F.concat(tables, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(text)
+
+
+def repaired(text: Column) -> Column:
+    """The whole-text rewrites of normalization, in their order."""
+    for wrong, right in fx.TYPOS:
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    text = table_lines(F.translate(text, "☐▢", "□□"))
+    for pattern, any_case, to in fx.REPAIRS:
+        java = "".join(f"${x}" if isinstance(x, int) else x.replace("\\", "\\\\").replace("$", "\\$") for x in to)
+        text = F.regexp_replace(text, f"(?{'i' * any_case}sU){pattern}", java)
+    return text
+
+
 def needs_check(text: Column) -> Column:
     """A decimal and a sign of repetition: only such a text is worth a costly look."""
     return text.rlike(fx.DECIMAL) & text.rlike(fx.REPETITION)

@@ -1,9 +1,7 @@
-"""Normalization of whole tables: a native gate in front of one Arrow UDF."""
+"""Normalization of whole tables: a native gate and native repairs in front of one Arrow UDF."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import fixed as fx
 from quillspark.functions import mathtext
+from quillspark.functions import columns as cf
 from quillspark.functions.columns import NOT_ASCII
 
 #: What any rewrite needs. A text without all of these is returned as it is, and never leaves the JVM.
@@ -22,7 +21,7 @@ _TRIGGERS = "|".join([
 
 @F.pandas_udf(T.StringType())
 def _normalize(text: pd.Series) -> pd.Series:
-    return text.map(mathtext.normalize)
+    return text.map(mathtext.wrapped)
 
 
 def may_change(text: Column) -> Column:
@@ -33,10 +32,4 @@ def normalize(docs: DataFrame, text_col: str = "text", out_col: str = "norm_text
     """docs with out_col. Rows that no rule can change stay beside the UDF, so Python sees the others alone."""
     text = F.col(text_col)
     same = docs.filter(~may_change(text)).withColumn(out_col, text)
-    return same.unionByName(docs.filter(may_change(text)).withColumn(out_col, _normalize(text)))
-
-
-@F.pandas_udf(T.StringType())
-def table_text(text: pd.Series) -> pd.Series:
-    """Tables in a text as their cells' lines."""
-    return text.map(lambda t: t if t is None else re.sub(fx.TABLE, lambda m: mathtext.table_cells(m[0]), t, flags=re.DOTALL | re.IGNORECASE))
+    return same.unionByName(docs.filter(may_change(text)).withColumn(out_col, _normalize(cf.repaired(text))))

@@ -151,7 +151,18 @@ def table_text(spark, sf_dir):
         F.lit('x<TABLE border="1">\n<tr><td> <b>'), "n_name", F.lit("</b> </td><td></td><th>"), F.col("n_regionkey").cast("string"), F.lit("</th></tr><tr></tr><tr><td>"), F.col("n_nationkey").cast("string"),
         F.lit("</td></tr></table>y<table><tr><td> </td></tr></table>"),
     )
-    return t(spark, sf_dir, "nation").select("n_nationkey", normalize.table_text(made).alias("text"))
+    return t(spark, sf_dir, "nation").select("n_nationkey", cf.table_lines(made).alias("text"))
+
+
+@query("""
+SELECT p_partkey, 'a 절댓값 □ 사각형 ABC 몫 ' || k || ' 나머지 2 … $' || k || '\\frac{1}{2}$ \\sqrt{\\text{분산}} \\frac{\\text{가}}{\\text{나}} □' || k || ' \\begin{cases}' || k || '\\end{cases}  ' || p_name || ' ' AS text
+FROM (SELECT p_partkey, p_name, (p_partkey % 97)::VARCHAR AS k FROM part)""")
+def repair_text(spark, sf_dir):
+    k = (F.col("p_partkey") % 97).cast("string")
+    made = F.concat(
+        F.lit("a 절맛값 ☐ ▢ ABC "), k, F.lit(" ⋯ 2 ⋯ "), k, F.lit(r"$\frac{1}{2}$ \sqrt {분산} \frac{가}{나} \boxed{"), k, F.lit(r"} $ \begin{cases}"), k, F.lit(r"\end{cases} $ <div class='x'>"), "p_name", F.lit("</DIV>"),
+    )
+    return t(spark, sf_dir, "part").select("p_partkey", cf.repaired(made).alias("text"))
 
 
 @query("SELECT doc_id, true AS same FROM documents WHERE NOT regexp_matches(text, '[$\\\\<(|☐▢⋯^_×÷·±≤≥√π°-]|[0-9]|sin|cos|tan|[=+*/>]')")
