@@ -87,7 +87,9 @@ def render(docs: DataFrame, id_col: str, text_col: str, ssml: bool = False, voic
         "latex", F.when(spoken.isNotNull(), "ok").when(saved != "", "salvaged").otherwise("unsupported").alias("status"),
         F.coalesce(spoken, F.when(saved != "", F.concat(F.lit(" "), esc(saved), F.lit(" "))), F.concat(F.lit(f" [{fx.UNSUPPORTED}: "), esc(F.col("latex")), F.lit("] "))).alias("words"),
     )
-    rows = parts.join(table, F.col("body") == F.col("latex"), "left")
+    # only formulas are looked up: prose is never a join's key
+    prose = parts.filter("kind is null or kind <> 'latex'").withColumns({c: F.lit(None).cast("string") for c in table.columns})
+    rows = parts.filter("kind = 'latex'").join(table, F.col("body") == F.col("latex"), "left").unionByName(prose)
     math = F.col("kind") == "latex"
     out = rows.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("idx", F.when(math, F.col("words")).otherwise(esc(F.coalesce("body", F.lit("")))).alias("t")))).alias("ts"),

@@ -595,3 +595,65 @@ def formula_mathml(spark, sf_dir):
     done = speech.mathml(found, FlatMathML)
     tags = {c: F.coalesce(F.regexp_count("mathml", F.lit(f"<{tag}>")), F.lit(0)).alias(c) for c, tag in (("numbers", "mn"), ("letters", "mi"))}
     return done.select("latex", F.col("error").isNull().alias("converted"), *tags.values())
+
+
+# --- normalization, speech and files over made-up texts -----------------------------------------------------------
+
+#: Texts with a digit @ and what normalization makes of them.
+_NORMALIZED = [
+    ("3 × @", r"$3 \times @$"), ("(x+@)", "$(x+@)$"), (r"\(x+@\)", "$x+@$"), (r"\[x+@\]", "$$x+@$$"), (r"$\sqrt 1@$", r"$\sqrt{1@}$"), ("|x-@|", "$|x-@|$"), ("5. (3x+@)=7", "5. $(3x+@)=7$"), ("초$1-@$ 문제", "초1-@ 문제"),
+    ("9=3^{@}", "$9=3^@$"), ("$@cm$", r"$@\mathrm{cm}$"), ("3.1@", "3.1@"), (r"2$\frac{1}{@}$", r"$2\frac{1}{@}$"), ("0.2̇@̇", r"$0.\dot{2}\dot{@}$"), ("넓이가 @x²이다", "넓이가 $@x^2$이다"), ("7. 다음 @번 물음", "7. 다음 @번 물음"), ("x:y=@:4일 때", "$x:y=@:4$일 때"),
+    (r"$\angle A=@^{\circ}$", r"$\angle A=@°$"), (r"우유가 2\frac{@}{4}L", r"우유가 $2\frac{@}{4}$L"), ("(@)(2)에서", "(@)(2)에서"), (r"$p<q(p, @$는 소수)", r"$p<q$(p, @는 소수)"), (r"$$\begin{cases}\\ &-2.@\\ &\end{cases}$$", "$$-2.@$$"), (r"$x=\begin{cases} @ & (x는 짝수)\end{cases}$", r"$x=\begin{cases} @ & (x\text{는 짝수})\end{cases}$"),
+]
+
+
+@query("SELECT p_partkey, replace(list_extract([" + ", ".join(q(want) for _, want in _NORMALIZED) + f"], (p_partkey % {len(_NORMALIZED)} + 1)::INT), '@', (p_partkey % 8 + 2)::VARCHAR) AS norm_text FROM part")
+def normalize_cases(spark, sf_dir):
+    made = F.replace(F.element_at(F.array(*(F.lit(a) for a, _ in _NORMALIZED)), (F.col("p_partkey") % len(_NORMALIZED) + 1).cast("int")), F.lit("@"), (F.col("p_partkey") % 8 + 2).cast("string"))
+    return normalize.normalize(t(spark, sf_dir, "part").select("p_partkey", made.alias("text"))).select("p_partkey", "norm_text")
+
+
+@query("SELECT doc_id, md5(replace('흰색 정사각형 ' || text, '흰색 정사각형', '네모')) AS fixed FROM documents")
+def misreads_fixed(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(cf.fix_misreads(F.concat(F.lit("흰색 정사각형 "), "text"))).alias("fixed"))
+
+
+@query("""SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 2 THEN '' ELSE ' <say-as interpret-as="characters">A</say-as>' END AS inner_text FROM part""")
+def ssml_inner(spark, sf_dir):
+    body = F.concat(F.lit(" "), "p_name", F.lit(' <say-as interpret-as="character">A</say-as> '))
+    k = F.col("p_partkey") % 3
+    ssml = F.when(k == 0, F.concat(F.lit('<speak v="1"> <prosody rate="x">'), body, F.lit("</prosody></speak>"))).when(k == 1, F.concat(F.lit("<speak>"), body, F.lit("</speak>"))).otherwise(F.concat(F.lit("\n"), "p_name"))
+    return t(spark, sf_dir, "part").select("p_partkey", cf.ssml_inner(ssml).alias("inner_text"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN 'restored ' || doc_id ELSE text END) AS text FROM documents")
+def restored_preferred(spark, sf_dir):
+    restored = docs(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("restored "), F.col("doc_id").cast("string")).alias("text"))
+    return files.prefer_restored(docs(spark, sf_dir).select("doc_id", "text"), restored, "doc_id").select("doc_id", F.md5("text").alias("text"))
+
+
+@query("SELECT count(*) FILTER (n_nationkey % 4 = 0) AS failures, CASE WHEN count(*) FILTER (n_nationkey % 4 = 0) > 0 THEN 1 ELSE 0 END AS exit_code FROM nation")
+def synthesis_failures(spark, sf_dir):
+    # a voice that has nothing to say gives a header alone
+    texts = t(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("text"))
+    return sinks.failed(sinks.audio(texts, "n_name", "text"))
+
+
+@query(f"SELECT n_nationkey, {q(fx.ENVELOPE[0] + fx.VOICES[0] + fx.ENVELOPE[1])} || 'A &amp; &lt;' || n_name || '&gt; B' || {q(fx.ENVELOPE[2])} AS content, 0 AS spans, true AS wellformed FROM nation")
+def render_ssml(spark, sf_dir):
+    texts = t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(" A  & <"), "n_name", F.lit(">   B\n")).alias("text"))
+    return speech.render(texts, "n_nationkey", "text", ssml=True).select("n_nationkey", "content", F.col("spans").cast("int").alias("spans"), F.col("xml_error").isNull().alias("wellformed"))
+
+
+@query("""
+SELECT id, CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 'FIXED' WHEN id % 3 <> 0 THEN 'PASS' WHEN id % 2 = 0 THEN 'KNOWN' ELSE 'FAIL' END AS status
+FROM (SELECT p_partkey AS id FROM part)""")
+def golden_speech(spark, sf_dir):
+    from quillspark.plans.pipelines import golden
+
+    k = F.col("p_partkey")
+    cases = t(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat(F.lit("문제 "), k.cast("string"), F.lit("번을 보자")).alias("input"), F.array(F.lit("문제"), F.when(k % 3 == 0, "없는 말").otherwise("번을")).alias("must"),
+        F.array(F.lit("백슬래시")).alias("mustnot"), F.when(k % 2 == 0, "open").alias("known"),
+    )
+    return golden(cases)
