@@ -44,8 +44,7 @@ def valid_findings(items: Column, speech: Column) -> Column:
     ))
 
 
-FINDING = "category string, severity string, speech_quote string, source_quote string, correct_reading string, explanation string, suggested_case struct<id:string,input:string,must:array<string>,mustnot:array<string>>"
-REPLY = f"findings array<struct<{', '.join(x.replace(' ', ':', 1) for x in FINDING.split(', '))}>>"
+REPLY = f"findings array<{FINDING}>"
 
 
 def eligible(speech: Column) -> Column:
@@ -61,7 +60,7 @@ def judged(pages: DataFrame, speech_col: str, reply_col: str) -> DataFrame:
     reply = F.from_json(F.col(reply_col), REPLY, {"mode": "PERMISSIVE"})
     shaped = F.coalesce(F.regexp_like(F.col(reply_col), F.lit(r"(?s)^\s*\{.*\}\s*$")), F.lit(False)) & reply["findings"].isNotNull()
     asked = pages.filter(eligible(F.col(speech_col)))
-    none = F.array().cast(f"array<{REPLY.removeprefix('findings array<')[:-1]}>")
+    none = F.array().cast(f"array<{FINDING}>")
     return asked.withColumns({"findings": valid_findings(F.when(shaped, reply["findings"]).otherwise(none), F.col(speech_col)), "judge_error": F.when(~shaped, "the reply is no JSON object with findings")})
 
 
