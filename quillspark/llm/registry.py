@@ -14,6 +14,7 @@ from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.near_join import near_join
 from quillspark.llm.packing import pack
 from quillspark.llm.passages import repeated_passages
+from quillspark.llm.repair import digests, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +133,26 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    told, space = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")], F.lit(" ")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(F.concat_ws(":", *told)) % 20).alias("harm")).filter("harm <> 0")
+    damaged = rows.select(
+        "conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+    edited, counts = repair(damaged)
+    told = turns.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    out = told
+    for k, part in enumerate((counts, digests(edited))):
+        part = part.withColumnRenamed("conv_id", f"_{k}")
+        out = out.join(part, F.col("id").eqNullSafe(F.col(f"_{k}")), "left").drop(f"_{k}")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        F.col("id").alias("conv_id"), *(F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
