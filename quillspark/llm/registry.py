@@ -15,6 +15,8 @@ from quillspark.llm.near_join import near_join
 from quillspark.llm.packing import pack
 from quillspark.llm.passages import repeated_passages
 from quillspark.llm.repair import digests, repair
+from quillspark.llm.suffixes import dedup_substrings
+from quillspark.llm.tandem import periodic_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +158,29 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("conv_id"), *(F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    # every tenth text is made periodic from some word on
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    harmed = docs.filter("h % 10 = 0").withColumn("words", words).withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
+    harmed = harmed.withColumn("a", F.expr("if(n = 0, 0, g % greatest(n, 1))")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    turned = F.expr("if(n = 0, '', array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' '))")
+    texts = docs.filter("h is null or h % 10 <> 0").select("doc_id", "text").union(harmed.select("doc_id", turned))
+    found = periodic_runs(texts)
+    # runs are sorted, so of equal exponents the first stays
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda b, x: F.when(b.isNull() | (x["length"] * b["period"] > b["length"] * x["period"]), x).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", *(x[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    ).select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    return found.select("doc_id", size.cast("long").alias("n_bytes"), (size - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
