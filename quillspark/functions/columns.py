@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,21 @@ from quillspark.functions import fixed as fx
 _ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gated(text: Column, sign: Callable[[Column], Column], becomes: Callable[[Column], Column]) -> Column:
+    """becomes(text) where the text has the sign, else the text."""
+    return let(text, lambda t: F.when(sign(t), becomes(t)).otherwise(t))
+
+
+def template(to: Iterable[str | int]) -> str:
+    """Texts and group numbers as a replacement."""
+    return "".join(f"${x}" if isinstance(x, int) else x.replace("\\", "\\\\").replace("$", "\\$") for x in to)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, _ENDS, "")
@@ -93,15 +110,12 @@ def same_setup(wanted: dict[str, Column], applied: dict[str, Column]) -> Column:
     return same
 
 
-_EDGES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
-
-
 def table_lines(text: Column) -> Column:
     """Tables in a text as their cells' texts: a line for each row that has any, blank lines between; a space if none has."""
     table, row, cell = (f"(?isU){p}" for p in (fx.TABLE, fx.TABLE_ROW, fx.TABLE_CELL))
 
     def line(markup: Column) -> Column:
-        cells = F.transform(F.regexp_extract_all(markup, F.lit(cell), 1), lambda c: F.regexp_replace(F.regexp_replace(c, fx.TAG, " "), _EDGES, ""))
+        cells = F.transform(F.regexp_extract_all(markup, F.lit(cell), 1), lambda c: strip(F.regexp_replace(c, fx.TAG, " ")))
         return F.array_join(F.filter(cells, lambda c: c != ""), " ")
 
     def lines(markup: Column) -> Column:
@@ -115,13 +129,13 @@ def table_lines(text: Column) -> Column:
 
 
 def repaired(text: Column) -> Column:
-    """The whole-text rewrites of normalization, in their order."""
+    """The whole-text rewrites of normalization, in their order; each where its sign is in the text."""
     for wrong, right in fx.TYPOS:
         text = F.replace(text, F.lit(wrong), F.lit(right))
-    text = table_lines(F.translate(text, "☐▢", "□□"))
-    for pattern, any_case, to in fx.REPAIRS:
-        java = "".join(f"${x}" if isinstance(x, int) else x.replace("\\", "\\\\").replace("$", "\\$") for x in to)
-        text = F.regexp_replace(text, f"(?{'i' * any_case}sU){pattern}", java)
+    text = let(F.translate(text, "☐▢", "□□"), table_lines)
+    for sign, pattern, any_case, to in fx.REPAIRS:
+        pattern = f"(?{'i' * any_case}dsU){pattern}"
+        text = gated(text, lambda t, sign=sign: t.contains(sign), lambda t, pattern=pattern, to=to: F.regexp_replace(t, pattern, template(to)))
     return text
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from quillspark.functions import fixed as fx
-from quillspark.functions.mathtext import Vault
 
 _SPAN = re.compile(fx.SPEECH_SPAN, re.DOTALL)
 _REPEATING = re.compile(fx.REPEATING)
@@ -14,15 +13,17 @@ _DIGITS = str.maketrans("0123456789", fx.DIGITS)
 
 def split_text(text: str) -> list[tuple[str, str]]:
     """(prose or latex, body) parts in order; spans that hold nothing are a space of prose."""
-    vault, out, at = Vault("\x00"), [], 0
-    hidden = re.sub(r"\\text\s*\{([^{}]*)\}", lambda m: "\\text{" + vault.put(m[1]) + "}", text)
+    bodies = iter(re.findall(fx.TEXT, text))
+    hidden = re.sub(fx.TEXT, lambda m: "\\text{\x00}", text)
+    restored = lambda s: re.sub(r"(?<=\\text\{)\x00(?=\})", lambda _: next(bodies), s)
+    out, at = [], 0
     for m in [*_SPAN.finditer(hidden), None]:
-        before = hidden[at : m.start() if m else None]
+        before = restored(hidden[at : m.start() if m else None])
         if before:
-            out.append(("prose", vault.restore(before)))
+            out.append(("prose", before))
         if m:
-            body = m[0].strip("$") if not m[0].startswith("$$") else m[0][2:-2]
-            out.append(("latex", vault.restore(body.strip())) if body.strip() else ("prose", " "))
+            body = restored(m[0].strip("$") if not m[0].startswith("$$") else m[0][2:-2]).strip()
+            out.append(("latex", body) if body else ("prose", " "))
             at = m.end()
     return out
 

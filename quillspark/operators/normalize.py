@@ -1,35 +1,31 @@
-"""Normalization of whole tables: a native gate and native repairs in front of one Arrow UDF."""
+"""Normalization of whole tables, in the JVM: a gate, whole-text repairs, then spans and prose piece by piece."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillspark.functions import fixed as fx
-from quillspark.functions import mathtext
 from quillspark.functions import columns as cf
+from quillspark.functions import fixed as fx
+from quillspark.functions import mathspans
 from quillspark.functions.columns import NOT_ASCII
 
-#: What any rewrite needs. A text without all of these is returned as it is, and never leaves the JVM.
+#: What any rewrite needs. A text without all of these is returned as it is.
 _TRIGGERS = "|".join([
-    r"[$\\<(☐▢⋯|\x00\x01\x02]", r"[\^_]\{", f"{NOT_ASCII}[{fx.ANY_SYMBOL}]", fx.DOT_ABOVE, fx.SIGNALS["adjacent"], r"(?U)[0-9A-Za-z]\s*[-+*/=^<>]\s*[0-9A-Za-z]", r"(?U)-\s*[0-9]",
+    r"[$\\<(☐▢⋯|\x00\x01\x02\x03\x04]", r"[\^_]\{", f"{NOT_ASCII}[{fx.ANY_SYMBOL}]", fx.DOT_ABOVE, fx.SIGNALS["adjacent"], r"(?U)[0-9A-Za-z]\s*[-+*/=^<>]\s*[0-9A-Za-z]", r"(?U)-\s*[0-9]",
     fx.SIGNALS["ratio"], "sin|cos|tan", *(a for a, _ in fx.TYPOS),
 ])
 
 
-@F.pandas_udf(T.StringType())
-def _normalize(text: pd.Series) -> pd.Series:
-    return text.map(mathtext.wrapped)
-
-
 def may_change(text: Column) -> Column:
     return F.coalesce(text.rlike(_TRIGGERS), F.lit(False))
 
 
+def normalized(text: Column) -> Column:
+    """A text with all its mathematics in canonical spans; null stays null."""
+    return F.when(may_change(text), mathspans.wrapped(cf.repaired(text))).otherwise(text)
+
+
 def normalize(docs: DataFrame, text_col: str = "text", out_col: str = "norm_text") -> DataFrame:
-    """docs with out_col. Rows that no rule can change stay beside the UDF, so Python sees the others alone."""
-    text = F.col(text_col)
-    same = docs.filter(~may_change(text)).withColumn(out_col, text)
-    return same.unionByName(docs.filter(may_change(text)).withColumn(out_col, _normalize(cf.repaired(text))))
+    """docs with out_col. Rows are rewritten where they are: nothing is shuffled, and nothing leaves the JVM."""
+    return docs.withColumn(out_col, normalized(F.col(text_col)))
