@@ -111,25 +111,6 @@ def report(pages: DataFrame, by: str, page: str) -> DataFrame:
     return pages.select(by, page, body.alias("body")).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "body"))), lambda x: x["body"]), "\n").alias("report"))
 
 
-#: Phrases, at most, to be broadcast; more are joined.
-BROADCAST_PHRASES = 10_000
-
-
-def containing(docs: DataFrame, id_col: str, text_col: str, phrases: DataFrame, phrase_id: str, phrase_col: str) -> DataFrame:
-    """(id, phrase id) of texts that contain a phrase of three words or more.
-
-    A phrase's inner words stand whole in every text with it. So the longest of them, a rare one, finds
-    the texts by an equi-join, and only these are searched.
-    """
-    inner = F.slice(F.split(phrase_col, r"\s+"), 2, F.greatest(F.size(F.split(phrase_col, r"\s+")) - 2, F.lit(1)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
-    keyed = phrases.select(phrase_id, phrase_col, longest.alias("_word"))
-    side = F.broadcast(keyed) if keyed.count() <= BROADCAST_PHRASES else keyed
-    words = docs.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0))).alias("_word"))
-    pairs = words.join(side, "_word").select(id_col, phrase_id, phrase_col)
-    return docs.select(id_col, text_col).join(pairs, id_col).filter(F.contains(text_col, F.col(phrase_col))).select(id_col, phrase_id)
-
-
 def carry_down(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
     """Blank cells take the value above them."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
 from quillspark.operators import dots, lint, normalize, review, spans, speech
+from quillspark.operators.phrases import containing
 from quillspark.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,17 +338,23 @@ def suggest_dedup(spark, sf_dir):
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, split_part(b.text, chr(10), 1)) AND length(split_part(b.text, chr(10), 1)) >= 60""")
 def contains_benchmark(spark, sf_dir):
     phrases = t(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("phrase")).filter("length(phrase) >= 60")
-    return review.containing(docs(spark, sf_dir), "doc_id", "text", phrases, "item_id", "phrase")
+    return containing(docs(spark, sf_dir), "doc_id", "text", phrases, "item_id", "phrase")
 
 
-@query()
+@query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''")
 def contains_whole_benchmark(spark, sf_dir):
-    """All items by their whole text, where contains_benchmark takes first lines of 60 characters and more. No SQL: tests compare it with brute force."""
-    items = t(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("phrase"), (F.size(F.split("text", r"\s+")) >= 3).alias("long"))
-    found = review.containing(docs(spark, sf_dir), "doc_id", "text", items.filter("long").drop("long"), "item_id", "phrase")
-    # items of one or two words have no inner word to be joined by
-    few = docs(spark, sf_dir).join(items.filter("not long"), F.contains("text", "phrase")).select("doc_id", "item_id")
-    return found.union(few)
+    """All items by their whole text, where contains_benchmark takes first lines of 60 characters and more."""
+    return containing(docs(spark, sf_dir), "doc_id", "text", t(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM benchmark)
+SELECT word, count(*) AS documents FROM w JOIN documents ON contains(text, word) GROUP BY word""")
+def contains_words(spark, sf_dir):
+    """Phrases of one word, which texts may have within longer words too."""
+    words = t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("word")).distinct()
+    found = containing(docs(spark, sf_dir), "doc_id", "text", words.withColumn("phrase", F.col("word")), "word", "phrase")
+    return found.groupBy("word").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT event_id, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS kind FROM (SELECT *, CASE WHEN value > 50 THEN event_type END AS kind FROM events)")
