@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as cf
+from quillspark.operators import ordered
 
 CASE = "struct<id:string,input:string,must:array<string>,mustnot:array<string>>"
 FINDING = f"struct<category:string,severity:string,speech_quote:string,source_quote:string,correct_reading:string,explanation:string,suggested_case:{CASE}>"
@@ -97,8 +98,8 @@ def micro_totals(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.withColumn("precision", F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).withColumn("recall", F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))
 
 
-def report(pages: DataFrame, by: str, page: str) -> DataFrame:
-    """A Markdown report for each input. pages: by, page, lint (array of detector, severity, evidence), judge (array of findings), judge_error."""
+def _page_body(page: str) -> Column:
+    """A page's part of a report: its lines, or that it is clean."""
 
     def quoted(label: str, c: Column) -> Column:
         return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n    - {label}: '"), c, F.lit("'"))).otherwise(F.lit(""))
@@ -107,11 +108,26 @@ def report(pages: DataFrame, by: str, page: str) -> DataFrame:
     lints = F.transform("lint", lambda x: F.concat(F.lit("- lint ["), x["severity"], F.lit("] "), x["detector"], F.lit(": "), x["evidence"]))
     judged = F.transform("judge", lambda f: F.concat(F.lit("- judge ["), f["severity"], F.lit("] "), f["category"], F.lit(": "), f["explanation"], quoted("speech", f["speech_quote"]), quoted("source", f["source_quote"]), quoted("should say", f["correct_reading"])))
     lines = F.concat(error, lints, judged)
-    body = F.concat(F.lit("## "), F.col(page), F.lit("\n"), F.array_join(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("- clean"))), "\n"), F.lit("\n"))
-    return pages.select(by, page, body.alias("body")).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "body"))), lambda x: x["body"]), "\n").alias("report"))
+    return F.concat(F.lit("## "), F.col(page), F.lit("\n"), F.array_join(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("- clean"))), "\n"), F.lit("\n"))
+
+
+def report(pages: DataFrame, by: str, page: str) -> DataFrame:
+    """A Markdown report for each input, in one row. pages: by, page, lint (array of detector, severity, evidence), judge (array of findings), judge_error."""
+    return pages.select(by, page, _page_body(page).alias("body")).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "body"))), lambda x: x["body"]), "\n").alias("report"))
 
 
 def carry_down(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Blank cells take the value above them."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
+    """Blank cells take the value above them, in each group, or (by empty) over one order of all rows."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
+    blank = rows.withColumnsRenamed({c: f"{c}_cell" for c in columns})
+    return ordered.carried(blank, [], [order], {c: F.nullif(F.col(f"{c}_cell"), F.lit("")) for c in columns}).select(*rows.columns)
+
+
+def report_pieces(pages: DataFrame, by: str, page: str) -> DataFrame:
+    """The report of `report` in a piece for each page: by, page, piece, offset. An input with any number of pages is in no single row."""
+    body = pages.select(by, page, _page_body(page).alias("body"))
+    first = ordered.carried(body, [by], [page], {"_before": F.lit(True)}, before=True)
+    cut = first.select(by, page, F.concat(F.when(F.col("_before").isNull(), "").otherwise("\n"), "body").alias("piece"), F.col("_pos").alias("_row"))
+    return ordered.summed(cut, [by], [page, "_row"], {"offset": F.length("piece")}).select(by, page, "piece", "offset")

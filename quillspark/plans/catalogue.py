@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
-from quillspark.operators import dots, lint, normalize, review, spans, speech
+from quillspark.operators import dots, lint, normalize, ordered, review, spans, speech
 from quillspark.operators.phrases import containing
 from quillspark.sources import files, sinks
 
@@ -127,6 +127,34 @@ def stitch_turns(spark, sf_dir):
     return spans.stitch(rows, "conv_id", "turn", F.col("said"))
 
 
+_SAID = "CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN '  ' ELSE '' END || role || ': ' || text"
+
+
+def _said(spark, sf_dir):
+    """Turns as they are stitched; the first of a conversation has no gap before it."""
+    rows = t(spark, sf_dir, "conversations")
+    first = rows.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    return rows.join(first, "conv_id").withColumn("said", F.concat(F.when(F.col("turn") > F.col("first"), "  ").otherwise(""), "role", F.lit(": "), "text"))
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn, {_SAID} AS said FROM conversations),
+c AS (SELECT conv_id, turn, trim(regexp_replace(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY turn), ' +', ' ', 'g')) AS so_far FROM r),
+o AS (SELECT conv_id, turn, so_far, coalesce(length(lag(so_far) OVER (PARTITION BY conv_id ORDER BY turn)), 0) AS "offset" FROM c)
+SELECT conv_id, turn, "offset", md5(substr(so_far, "offset" + 1)) AS piece FROM o""")
+def stitch_pieces(spark, sf_dir):
+    """The stitched text in pieces with offsets, so that no conversation has to fit a row."""
+    cut = ordered.pieces(_said(spark, sf_dir), ["conv_id"], ["turn"], F.col("said"))
+    return cut.select("conv_id", "turn", "offset", F.md5("piece").alias("piece"))
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn, {_SAID} AS said FROM conversations), s AS (SELECT conv_id, trim(regexp_replace(string_agg(said, '' ORDER BY turn), ' +', ' ', 'g')) AS stitched FROM r GROUP BY conv_id)
+SELECT conv_id, length(stitched) AS n_chars, md5(stitched) AS md5 FROM s""")
+def stitch_digests(spark, sf_dir):
+    return ordered.digests(ordered.pieces(_said(spark, sf_dir), ["conv_id"], ["turn"], F.col("said")), "conv_id", ["turn"])
+
+
 # --- signals and repairs ------------------------------------------------------------------------------
 
 _SIG = {f"sig_{n}": f"regexp_matches(text, {q(p)})" for n, p in fx.SIGNALS.items()} | {"sig_paren": "contains(text, '(') AND regexp_matches(text, '[0-9A-Za-z]')", "english": f"regexp_matches(text, {q(fx.ENGLISH_WORD)})"}
@@ -240,11 +268,23 @@ def env_settings(spark, sf_dir):
     return files.settings(lines)
 
 
-@query("SELECT 'clearspeak' AS domain, unnest(['A_Auto', 'B_Auto', 'C_Auto']) AS style UNION ALL SELECT 'mathspeak', unnest(['brief', 'default'])")
+_STYLES = """
+WITH l AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 50 = 1 THEN CASE WHEN p_partkey // 50 % 2 = 0 THEN 'ko' ELSE 'en' END END AS locale,
+                  CASE p_partkey % 10 WHEN 1 THEN 'speech' WHEN 6 THEN 'braille' END AS modality, CASE WHEN p_partkey % 5 = 2 THEN p_brand END AS domain, p_name AS c FROM part),
+f AS (SELECT c, last_value(locale IGNORE NULLS) OVER w AS locale, last_value(modality IGNORE NULLS) OVER w AS modality, last_value(domain IGNORE NULLS) OVER w AS domain FROM l WINDOW w AS (ORDER BY n)),
+s AS (SELECT DISTINCT domain, unnest(string_split(c, ' ')) AS style FROM f WHERE locale = 'ko' AND modality = 'speech' AND domain IS NOT NULL)"""
+
+
+@query(_STYLES + " SELECT domain, style FROM s")
 def style_table(spark, sf_dir):
-    rows = ["=====", "locale | modality | domain | style", "en | speech | clearspeak | X_Auto", "ko | speech | clearspeak | A_Auto, B_Auto", "   |        |            | C_Auto,", "   |  | mathspeak | brief, default", "   | braille | nemeth | default", "no bar"]
-    lines = spark.range(len(rows)).select(F.col("id").alias("n"), F.element_at(F.array(*map(F.lit, rows)), (F.col("id") + 1).cast("int")).alias("value"))
-    return files.style_table(lines)
+    """Lines of a table whose cells are blank where the value above goes on; one order of all rows."""
+    n = F.col("p_partkey")
+    locale = F.when(n % 50 == 1, F.when(F.floor(n / 50) % 2 == 0, " ko").otherwise(" en")).otherwise("   ")
+    modality = F.when(n % 10 == 1, "speech").when(n % 10 == 6, "braille").otherwise("")
+    line = F.concat(locale, F.lit(" | "), modality, F.lit(" | "), F.when(n % 5 == 2, F.col("p_brand")).otherwise(""), F.lit(" | "), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(","))
+    lines = t(spark, sf_dir, "part").select(n.alias("n"), line.alias("value"))
+    head = t(spark, sf_dir, "part").filter("p_partkey % 100 = 3").select(F.lit(0).alias("n"), F.explode(F.array(F.lit("====="), F.lit("locale | modality | domain | style"))).alias("value"))
+    return files.style_table(lines.union(head))
 
 
 # --- verdicts and scores --------------------------------------------------------------------------------------
@@ -398,13 +438,12 @@ _BLOCK = _KO.format("block")
 
 
 @query(f"""
-WITH c(id, before, block) AS (VALUES {", ".join(f"({q(i)}, {q(b)}, {q(r)})" for i, _, b, r in fx.READING_CASES)})
+WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_size::VARCHAR END AS before, (p_partkey % 997)::VARCHAR AS block FROM part)
 SELECT id, 'A-name-first' AS reading, '순환소수 ' || {_HEAD} || ', 순환마디 ' || {_BLOCK} AS said FROM c
 UNION ALL SELECT id, 'B-boundary', {_HEAD} || ' 다음 ' || {_BLOCK} || {_PARTICLE.format(_BLOCK)} || ' 반복' FROM c
 UNION ALL SELECT id, 'C-repeat-twice', {_HEAD} || ' ' || {_BLOCK} || ' ' || {_BLOCK} || ' 반복' FROM c""")
 def readings_matrix(spark, sf_dir):
-    made = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(c, ("id", "whole", "before", "block"), strict=True))) for c in fx.READING_CASES))
-    cases = spark.range(1).select(F.explode(made).alias("c")).select("c.*")
+    cases = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("0").alias("whole"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_size").cast("string")).alias("before"), (F.col("p_partkey") % 997).cast("string").alias("block"))
     said = F.array(*(F.struct(F.lit(n).alias("reading"), f(F.col("whole"), F.col("before"), F.col("block")).alias("said")) for n, f in cf.READINGS.items()))
     return cases.select("id", F.explode(said).alias("r")).select("id", "r.*")
 
@@ -524,6 +563,20 @@ def review_report(spark, sf_dir):
     return review.report(rows, "input", "page")
 
 
+_PAGE_LINES = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN '- lint [{s}] {n}: ' END" for n, s, p in fx.DETECTORS) + ")"
+
+
+@query(f"""
+WITH p AS (SELECT source AS input, doc_id AS page, '## ' || doc_id || chr(10) || coalesce(nullif({_PAGE_LINES}, ''), '- clean') || chr(10) AS body FROM documents),
+o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(body)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars FROM p WINDOW w AS (PARTITION BY input ORDER BY page))
+SELECT input, page, CASE WHEN n > 1 THEN chr(10) ELSE '' END || body AS piece, (chars + greatest(n - 2, 0))::BIGINT AS "offset" FROM o""")
+def report_pieces(spark, sf_dir):
+    """A report of all documents of a source, however many, as pieces with offsets; lint lines without what stands around a find."""
+    found = F.transform(lint.findings(F.col("text"), brackets=[]), lambda x: F.struct(x["detector"].alias("detector"), x["severity"].alias("severity"), F.lit("").alias("evidence")))
+    rows = docs(spark, sf_dir).select(F.col("source").alias("input"), F.col("doc_id").alias("page"), found.alias("lint"), F.array().cast(f"array<{review.FINDING}>").alias("judge"), F.lit(None).cast("string").alias("judge_error"))
+    return review.report_pieces(rows, "input", "page")
+
+
 @query(f"""
 SELECT n_nationkey, v AS variant, v = 'b' AS ssml, CASE v WHEN 'a' THEN n_name || ' & more' ELSE {q(fx.ENVELOPE[0] + fx.VOICES[0] + fx.ENVELOPE[1])} || n_name || '<break time="400ms"/> &amp; more' || {q(fx.ENVELOPE[2])} END AS content
 FROM nation, (VALUES ('a'), ('b')) x(v)""")
@@ -532,10 +585,14 @@ def voice_variants(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(made).alias("v")).select("n_nationkey", "v.*")
 
 
-@query("SELECT true AS clearspeak, true AS mathspeak, false AS chromevox")
+_BRANDS = ["Brand#11", "Brand#3", "Brand#99"]
+
+
+@query(_STYLES + ", " + "g AS (SELECT domain, count(*) AS styles FROM s GROUP BY domain) SELECT domain, styles, domain IN ('Brand#11', 'Brand#3', 'Brand#99') AS wanted FROM g")
 def capabilities(spark, sf_dir):
-    found = QUERIES["style_table"](spark, sf_dir).agg(F.collect_set("domain").alias("d"))
-    return found.select(*(F.array_contains("d", x).alias(x) for x in ("clearspeak", "mathspeak", "chromevox")))
+    """What a set of domains can do: how many styles each has, and whether it is one of those asked for."""
+    found = QUERIES["style_table"](spark, sf_dir).groupBy("domain").agg(F.collect_set("style").alias("s"))
+    return found.select("domain", F.size("s").cast("long").alias("styles"), F.array_contains(F.array(*(F.lit(x) for x in _BRANDS)), F.col("domain")).alias("wanted"))
 
 
 @query(f"""

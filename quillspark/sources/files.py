@@ -95,8 +95,8 @@ def style_table(lines: DataFrame, order: str = "n", line_col: str = "value") ->
 
     cells = F.transform(F.split(line_col, r"\|"), cf.strip)
     rows = lines.filter(F.contains(line_col, F.lit("|")) & ~F.startswith(line_col, F.lit("="))).select(order, cells.alias("c")).filter("size(c) >= 4 and c[0] <> 'locale'")
-    rows = rows.select(order, F.lit(0).alias("one"), *(F.col("c")[k].alias(x) for k, x in enumerate(("locale", "modality", "domain", "styles"))))
-    full = carry_down(rows, ["one"], order, ["locale", "modality", "domain"]).filter("locale = 'ko' and modality = 'speech' and domain is not null")
+    rows = rows.select(order, *(F.col("c")[k].alias(x) for k, x in enumerate(("locale", "modality", "domain", "styles"))))
+    full = carry_down(rows, [], order, ["locale", "modality", "domain"]).filter("locale = 'ko' and modality = 'speech' and domain is not null")
     return full.select("domain", F.explode(F.split("styles", ",")).alias("s")).select("domain", cf.strip(F.col("s")).alias("style")).filter("style <> ''").distinct()
 
 
