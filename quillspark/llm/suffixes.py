@@ -36,7 +36,7 @@ BLOCK, BITS = 1 << 19, 20
 BUCKET_BYTES, SAMPLED = 24 << 20, 40
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-ANCHORS = "gram long, context binary, id long, row long, start int, size int, before int"
+ANCHORS = "gram long, a long, b long, id long, row long, start int, size int, before int"
 SUFFIXES = "key binary, size int, before int, n long, id long, row long, start int"
 SPANS = "id long, row long, start int, end int"
 
@@ -56,7 +56,7 @@ def _smallest(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def _contexts(block: list[tuple[int, int, bytes]], least: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """Pieces (number, place, bytes) of documents, of `least` bytes at least each -> arrays gram, context, piece, start, size, before."""
+    """Pieces (number, place, bytes) of documents, of `least` bytes at least each -> arrays gram, context (its digest as two numbers), piece, start, size, before."""
     buf = b"".join(p[2] for p in block)
     sizes = np.array([len(p[2]) for p in block])
     begin = np.cumsum(sizes) - sizes
@@ -76,8 +76,8 @@ def _contexts(block: list[tuple[int, int, bytes]], least: int, gram: int) -> tup
     cut = np.flatnonzero((np.diff(anchor[at]) != 0) | (np.diff(at) != 1))
     first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
     piece = np.searchsorted(begin, first, "right") - 1
-    names = [hashlib.blake2b(buf[x : y + least], digest_size=16).digest() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-    return h[anchor[first]].view(np.int64), names, piece, first - begin[piece], last - first + 1, anchor[first] - first
+    names = b"".join(hashlib.blake2b(buf[x : y + least], digest_size=16).digest() for x, y in zip(first.tolist(), last.tolist(), strict=True))
+    return h[anchor[first]].view(np.int64), np.frombuffer(names, np.int64).reshape(-1, 2), piece, first - begin[piece], last - first + 1, anchor[first] - first
 
 
 def _pieces(k: int, data: bytes, least: int) -> Iterator[tuple[int, int, bytes]]:
@@ -115,7 +115,7 @@ def _anchored(least: int, gram: int):
         for pdf in batches:
             ids, rows = pdf["id"].to_numpy(), pdf["row"].to_numpy()
             for g, context, k, start, size, before in anchors_of(pdf["data"].tolist(), least, gram):
-                yield pd.DataFrame({"gram": g, "context": context, "id": ids[k], "row": rows[k], "start": start, "size": size, "before": before})
+                yield pd.DataFrame({"gram": g, "a": context[:, 0], "b": context[:, 1], "id": ids[k], "row": rows[k], "start": start, "size": size, "before": before})
 
     return run
 
@@ -249,8 +249,9 @@ def repeated_spans(docs: DataFrame, at: str, least: int = LEAST, gram: int = GRA
     spark, (id_, row) = docs.sparkSession, _name()
     long = docs.select(id_.alias("id"), row.alias("row"), _data().alias("data")).filter(F.octet_length("data") >= least)
     anchors = saved(long.mapInPandas(_anchored(least, gram), ANCHORS), f"{at}/anchors")
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    grams = grams.select("gram", (F.col("low") == F.col("high")).alias("equal"))
+    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in "ab" for f in (F.min, F.max))).filter("n > 1")
+    # a table, so that both sides of the join are dealt for it alone and Spark may split a common gram
+    grams = saved(grams.selectExpr("gram", "min_a = max_a and min_b = max_b as equal"), f"{at}/grams")
     shared = saved(anchors.join(grams, "gram").drop("gram"), f"{at}/shared")
     remove(spark, f"{at}/anchors")
     end = F.col("start") + F.col("size") - 1 + least
@@ -259,9 +260,9 @@ def repeated_spans(docs: DataFrame, at: str, least: int = LEAST, gram: int = GRA
 
     # contexts that share a gram with different ones, each once
     mixed = shared.filter("not equal")
-    kinds = mixed.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "size", "before")).alias("one"))
-    kinds = saved(kinds.select("context", "n", "one.*"), f"{at}/kinds")
-    copies = mixed.join(kinds.filter("n > 1").select("context"), "context").withColumn("end", end).select(names)
+    kinds = mixed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "size", "before")).alias("one"))
+    kinds = saved(kinds.select("a", "b", "n", "one.*"), f"{at}/kinds")
+    copies = mixed.join(kinds.filter("n > 1").select("a", "b"), ["a", "b"]).withColumn("end", end).select(names)
     wanted = kinds.groupBy("id", "row").agg(F.collect_list(F.struct("start", "size", "before", "n")).alias("wanted"))
     # equal rows give a context repeatedly, but it is one of several then anyway
     texts = long.join(wanted, ["id", "row"])
