@@ -71,6 +71,16 @@ class NoChat:
         return {"numbers": [], "findings": []}
 
 
+class RepeatJudge:
+    """Stand-in for a judge: objects to the first word that the speech says twice in a row."""
+
+    def json(self, system: str, user: str, temperature: float | None = None) -> dict[str, Any]:
+        speech = user.partition("\n\nSPEECH:\n")[2]
+        said = re.search(r"(?<![A-Za-z])([A-Za-z]+) \1(?![A-Za-z])", speech)
+        finding = {"category": "repeat", "severity": "error", "speech_quote": said[0], "explanation": f"{said[1]} is said twice"} if said else None
+        return {"findings": [finding] if finding else []}
+
+
 class ExpansionChat:
     """Stand-in for the restoring service: a decimal is repeating where the text prints its expansion with an ellipsis."""
 

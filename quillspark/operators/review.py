@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as cf
+from quillspark.functions.calls import AT_ONCE, DEADLINE, asked, in_order
+from quillspark.functions.providers import Chat
 from quillspark.operators import ordered
 
 CASE = "struct<id:string,input:string,must:array<string>,mustnot:array<string>>"
@@ -53,6 +59,30 @@ def eligible(speech: Column) -> Column:
     return F.coalesce(speech.rlike(r"(?U)[^\s\x1C-\x1F]"), F.lit(False))
 
 
+JUDGE = 'Compare the source with the speech made of it. Report what a listener would miss or misunderstand, with exact quotes. Answer with JSON: {"findings": [{"category": "", "severity": "error or warn", "speech_quote": "", "source_quote": "", "correct_reading": "", "explanation": "", "suggested_case": null}]}'
+
+
+def judge(pages: DataFrame, speech_col: str, source_col: str, chat: Callable[[], Chat], at_once: int = AT_ONCE, deadline: float = DEADLINE, **retry: object) -> DataFrame:
+    """Eligible pages with findings and judge_error, from a judge that is asked about each: some at once in a task, each within the deadline.
+
+    Source and speech are clipped as `columns.clip` does; a page without a source is judged by its speech. What fails, is late or has
+    another shape is judge_error, and the page has no findings.
+    """
+    shown = pages.filter(eligible(F.col(speech_col))).withColumn("_asked", F.concat(
+        F.lit("SOURCE:\n"), F.when(F.coalesce(F.col(source_col), F.lit("")) == "", "(none)").otherwise(cf.clip(F.col(source_col), "source")), F.lit("\n\nSPEECH:\n"), cf.clip(F.col(speech_col), "speech"),
+    ))
+
+    @F.pandas_udf("reply string, error string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        service = chat()
+        for texts in batches:
+            done = in_order((lambda t=t: json.dumps(asked(service, JUDGE, t, **retry)) for t in texts), at_once, deadline)
+            yield pd.DataFrame(list(done), columns=["reply", "error"])
+
+    told = judged(shown.withColumn("_told", ask("_asked")).withColumn("_reply", F.col("_told.reply")), speech_col, "_reply")
+    return told.withColumn("judge_error", F.coalesce("_told.error", "judge_error")).drop("_asked", "_told", "_reply")
+
+
 def judged(pages: DataFrame, speech_col: str, reply_col: str) -> DataFrame:
     """Eligible pages with findings, the valid ones of a judge's JSON reply, and judge_error, which says that the reply isn't of the shape asked for.
 
@@ -98,6 +128,22 @@ def micro_totals(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.withColumn("precision", F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).withColumn("recall", F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))
 
 
+def stage_scores(scores: DataFrame, page: str, by: list[str], stages: tuple[str, str] = ("before", "after")) -> DataFrame:
+    """Scores of two stages side by side, for each page, each group and in total, from one pass over rows (page, by, stage, tp, fp, fn).
+
+    tp, fp, fn, precision and recall of both stages (null without a denominator), `level` (page, group or total), and whether the
+    second stage failed: it has a false positive or negative. Keys that a level sums over are null there.
+    """
+    first, last = stages
+    sums = [F.coalesce(F.sum(F.when(F.col("stage") == s, F.col(c))), F.lit(0)).cast("long").alias(f"{s}_{c}") for s in stages for c in ("tp", "fp", "fn")]
+    level = F.when(F.grouping(page) == 0, "page").when(F.grouping(by[0]) == 0, "group").otherwise("total")
+    out = scores.groupingSets([[*by, page], by, []], *by, page).agg(*sums, level.alias("level"))
+    for s in stages:
+        tp = F.col(f"{s}_tp")
+        out = out.withColumns({f"{s}_precision": tp / F.nullif(tp + F.col(f"{s}_fp"), F.lit(0)), f"{s}_recall": tp / F.nullif(tp + F.col(f"{s}_fn"), F.lit(0))})
+    return out.withColumn("failed", F.col(f"{last}_fp") + F.col(f"{last}_fn") > 0)
+
+
 def _page_body(page: str) -> Column:
     """A page's part of a report: its lines, or that it is clean."""
 

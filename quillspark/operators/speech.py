@@ -105,9 +105,14 @@ def render(docs: DataFrame, id_col: str, text_col: str, ssml: bool = False, voic
     return out.withColumn("xml_error", markup_error("content") if ssml else F.lit(None).cast("string"))
 
 
+def counters() -> dict[str, Column]:
+    """What a run counts: aggregates of rendered texts, for totals() or while they are written (`sinks.counted`)."""
+    return {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("spans", "ok", "salvaged", "unsupported")} | {"bad_xml": F.count_if(F.col("xml_error").isNotNull())}
+
+
 def totals(rendered: DataFrame) -> DataFrame:
     """Counters over all documents; failures decide the exit code of a strict run."""
-    sums = rendered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("spans", "ok", "salvaged", "unsupported")), F.count_if(F.col("xml_error").isNotNull()).alias("bad_xml"))
+    sums = rendered.agg(*(c.alias(n) for n, c in counters().items()))
     failures = F.col("salvaged") + F.col("unsupported") + F.col("bad_xml")
     return sums.withColumn("failures", failures).withColumn("exit_code", F.when(failures > 0, 2).otherwise(0))
 

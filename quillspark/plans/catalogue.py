@@ -12,7 +12,9 @@ from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
 from quillspark.operators import dots, lint, normalize, ordered, review, spans, speech
 from quillspark.operators.phrases import containing
+from quillspark.plans import runs
 from quillspark.sources import files, sinks
+from quillspark.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -721,3 +723,98 @@ def golden_speech(spark, sf_dir):
         F.array(F.lit("백슬래시")).alias("mustnot"), F.when(k % 2 == 0, "open").alias("known"),
     )
     return golden(cases)
+
+
+# --- runs, sinks and services ------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT doc_id, detector, severity, doc_id % 2 AS batch FROM documents, {_DETECTORS} WHERE regexp_matches(text, p)
+UNION ALL SELECT doc_id, '-', '-', doc_id % 2 FROM documents, (SELECT list(p) AS ps FROM {_DETECTORS}) WHERE len(list_filter(ps, lambda x: regexp_matches(text, x))) = 0""")
+def resumed_run(spark, sf_dir):
+    """A run over the documents with even ids, then one over all: it works off the others, in a batch of their own. Each stage keeps a manifest."""
+    folder, rows = f"{shared_dir(spark)}/run", docs(spark, sf_dir).select("doc_id", "text")
+    steps = [("clipped", lambda x: x.select("doc_id", cf.clip(F.col("text"), "source").alias("text"), F.lit(True).alias("seen"))), ("linted", lambda x: _linted(rows.join(x.select("doc_id"), "doc_id")))]
+    runs.work_off(spark, folder, rows.filter("doc_id % 2 = 0"), "doc_id", steps)
+    return runs.work_off(spark, folder, rows, "doc_id", steps)["linted"].rows().select("doc_id", "detector", "severity", "batch")
+
+
+def _linted(rows):
+    none = F.array(F.struct(F.lit("-").alias("detector"), F.lit("-").alias("severity"), F.lit("").alias("evidence")))
+    found = rows.select("doc_id", lint.findings(F.col("text"), brackets=[]).alias("f"))
+    return found.select("doc_id", F.explode(F.when(F.size("f") > 0, F.col("f")).otherwise(none)).alias("f")).select("doc_id", "f.detector", "f.severity")
+
+
+@query("""
+WITH f AS (SELECT text, min(doc_id) FILTER (doc_id % 3 = 0) AS early, min(doc_id) AS any_id FROM documents GROUP BY text)
+SELECT md5(text) AS input, coalesce(early, any_id) AS doc_id, CASE WHEN early IS NULL THEN 1 ELSE 0 END AS batch FROM f""")
+def append_suggestions(spark, sf_dir):
+    """Suggestions of two batches, the second written twice: each input is there once."""
+    path, rows = f"{shared_dir(spark)}/suggested", docs(spark, sf_dir).select(F.col("text").alias("input"), "doc_id")
+    for part, batch in ((rows.filter("doc_id % 3 = 0"), 0), (rows, 1), (rows, 1)):
+        table = sinks.append_once(part, path, "input", batch)
+    return table.select(F.md5("input").alias("input"), "doc_id", "batch")
+
+
+_HALVES = "SELECT doc_id, lang, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')) AS truth, list_distinct(regexp_extract_all(substr(text, 1, length(text) // 2), '[A-Z][a-z]+')) AS h, list_distinct(regexp_extract_all(lower(text) || ' ' || text, '[A-Z]?[a-z]{9,}')) AS w FROM documents"
+
+
+@query(f"""
+WITH w AS ({_HALVES}), s AS (SELECT doc_id, lang, len(list_intersect(h, truth)) AS btp, len(h) - len(list_intersect(h, truth)) AS bfp, len(truth) - len(list_intersect(h, truth)) AS bfn,
+    len(list_intersect(w, truth)) AS atp, len(w) - len(list_intersect(w, truth)) AS afp, len(truth) - len(list_intersect(w, truth)) AS afn FROM w),
+g AS (SELECT lang, doc_id, CASE WHEN grouping(doc_id) = 0 THEN 'page' WHEN grouping(lang) = 0 THEN 'group' ELSE 'total' END AS level, sum(btp)::BIGINT AS before_tp, sum(bfp)::BIGINT AS before_fp, sum(bfn)::BIGINT AS before_fn,
+    sum(atp)::BIGINT AS after_tp, sum(afp)::BIGINT AS after_fp, sum(afn)::BIGINT AS after_fn FROM s GROUP BY GROUPING SETS ((lang, doc_id), (lang), ()))
+SELECT *, before_tp / nullif(before_tp + before_fp, 0) AS before_precision, before_tp / nullif(before_tp + before_fn, 0) AS before_recall, after_tp / nullif(after_tp + after_fp, 0) AS after_precision,
+    after_tp / nullif(after_tp + after_fn, 0) AS after_recall, after_fp + after_fn > 0 AS failed FROM g""")
+def stage_scores(spark, sf_dir):
+    """Two ways of finding names against all names of a text: for each document, language and in total, from one aggregation."""
+    names = lambda c, p="[A-Z][a-z]+": F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    text = F.col("text")
+    found = {"before": names(F.substr(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))), "after": names(F.concat(F.lower(text), F.lit(" "), text), "[A-Z]?[a-z]{9,}")}
+    each = F.array(*(F.struct(F.lit(s).alias("stage"), review.set_score(names(text), f).alias("s")) for s, f in found.items()))
+    scores = docs(spark, sf_dir).select("doc_id", "lang", F.explode(each).alias("x")).select("doc_id", "lang", "x.stage", "x.s.*")
+    return review.stage_scores(scores, "doc_id", ["lang"])
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END AS speech FROM documents),
+c AS (SELECT doc_id, CASE WHEN length(speech) > 15000 THEN substr(speech, 1, 15000) || chr(10) || '...[speech truncated at 15000 chars]' ELSE speech END AS speech FROM p WHERE regexp_matches(speech, '[^\s]')),
+w AS (SELECT doc_id, regexp_extract_all(speech, '[A-Za-z]+|[^A-Za-z]+') AS t FROM c)
+SELECT doc_id, list_first(list_filter(list_transform(generate_series(1, len(t) - 2), lambda k: CASE WHEN t[k] = t[k + 2] AND t[k + 1] = ' ' AND regexp_matches(t[k], '[A-Za-z]') THEN t[k] || ' ' || t[k] END), lambda x: x IS NOT NULL)) AS quote, false AS failed FROM w""")
+def judge_calls(spark, sf_dir):
+    """A judge that is called for each page with speech, four calls at once in a task."""
+    from quillspark.functions.providers import RepeatJudge
+
+    pages = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("text")).alias("speech"), F.lit("").alias("source"))
+    done = review.judge(pages, "speech", "source", RepeatJudge)
+    return done.select("doc_id", F.get("findings", F.lit(0))["speech_quote"].alias("quote"), F.col("judge_error").isNotNull().alias("failed"))
+
+
+@query("SELECT count(*) AS documents, sum(length(text))::BIGINT AS chars, count(*) FILTER (contains(text, '$')) AS dollars FROM documents")
+def write_counters(spark, sf_dir):
+    """Counters of a table that the tasks take while they write it."""
+    path = f"{shared_dir(spark)}/written"
+    seen = sinks.counted(docs(spark, sf_dir).select("doc_id", "text"), path, {"documents": F.count("*"), "chars": F.sum(F.length("text")), "dollars": F.count_if(F.contains("text", F.lit("$")))})
+    return spark.createDataFrame([tuple(seen[n] for n in ("documents", "chars", "dollars"))], "documents long, chars long, dollars long")
+
+
+@query("SELECT p_partkey % 7 = 0 AS broken, count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) AS known, min(CASE WHEN p_partkey % 7 <> 0 THEN p_name END) AS first FROM part GROUP BY ALL")
+def case_quarantine(spark, sf_dir):
+    """Lines of cases, some of them cut off: what can't be read is kept apart, and nothing is lost."""
+    path, k = f"{shared_dir(spark)}/cases", F.col("p_partkey")
+    line = F.to_json(F.struct(k.cast("string").alias("id"), F.col("p_name").alias("input"), F.array("p_type").alias("must"), F.when(k % 2 == 0, "open").alias("known")))
+    t(spark, sf_dir, "part").select(F.when(k % 7 == 0, F.left(line, F.length(line) - 5)).otherwise(line).alias("value")).write.text(path)
+    good, bad = files.case_lines(spark, path)
+    one = good.agg(F.lit(False).alias("broken"), F.count("*").alias("n"), F.count("known").alias("known"), F.min("input").alias("first"))
+    return one.union(bad.agg(F.lit(True), F.count("*"), F.lit(0).cast("long"), F.lit(None).cast("string")))
+
+
+@query("""
+WITH f AS (SELECT 'S' || p_size AS key, arg_min(p_name, p_partkey) AS value FROM part GROUP BY p_size)
+SELECT key, CASE WHEN key IN (SELECT 'S' || n_nationkey FROM nation) THEN (SELECT n_name FROM nation WHERE 'S' || n_nationkey = key) ELSE value END AS value FROM f
+UNION SELECT 'S' || n_nationkey, n_name FROM nation""")
+def env_precedence(spark, sf_dir):
+    """Settings that several lines have: the first counts, and the environment before all of them."""
+    lines = t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" S"), F.col("p_size").cast("string"), F.lit(" = '"), "p_name", F.lit("'")).alias("value"))
+    own = t(spark, sf_dir, "nation").select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
+    return files.settings(lines, order=["p_partkey"], environment=own)

@@ -23,12 +23,17 @@ def stem_of(name: Column) -> Column:
 
 
 def images(spark: SparkSession, folder: str, pdf: bool = False) -> DataFrame:
-    """path, name, content of images (and PDFs) of a folder."""
+    """path, name, content of images (and PDFs) of a folder. Rows are in no order; `listed` gives one."""
     found = spark.read.format("binaryFile").load(folder).select("path", name_of(F.col("path")).alias("name"), "content")
     keep = cf.is_image(F.col("name"))
     return found.filter(keep | F.lower("name").endswith(".pdf") if pdf else keep)
 
 
+def listed(found: DataFrame) -> DataFrame:
+    """Files of a folder in the order of their names."""
+    return found.orderBy("name")
+
+
 def texts(spark: SparkSession, folder: str, ending: str, but: tuple[str, ...] = ()) -> DataFrame:
     """name, text of whole files whose names have the ending and none of the others."""
     found = spark.read.text(folder, wholetext=True).select(name_of(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
@@ -60,10 +65,30 @@ def line(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.lit("input").alias("name"), F.lit(text).alias("text"))
 
 
+CASES = "id string, input string, must array<string>, mustnot array<string>, known string, why string, expect array<struct<number:string,period:string>>"
+BROKEN = "_broken"
+
+
+def _files(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    return spark.read.text(path, wholetext=whole).select(name_of(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
+
+
 def cases(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of golden cases; unreadable ones are left out."""
-    schema = "id string, input string, must array<string>, mustnot array<string>, known string, why string, expect array<struct<number:string,period:string>>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Golden cases of files that hold a JSON array of them each; a file that can't be read gives none, and is in `broken`."""
+    return _files(spark, path, True).select(F.explode(F.from_json("text", f"array<struct<{CASES}>>")).alias("c")).select("c.*")
+
+
+def broken(spark: SparkSession, path: str) -> DataFrame:
+    """file, text of files of cases that can't be read."""
+    return _files(spark, path, True).filter(F.from_json("text", f"array<struct<{CASES}>>").isNull())
+
+
+def case_lines(spark: SparkSession, path: str, schema: str = CASES) -> tuple[DataFrame, DataFrame]:
+    """Cases as a line each: (those that can be read, file and line of the others). No line but empty ones is lost."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    rows = _files(spark, path, False).filter(cf.strip(F.col("text")) != "").withColumn("c", F.from_json("text", f"{schema}, {BROKEN} string", options))
+    readable = F.col("c").isNotNull() & F.col(f"c.{BROKEN}").isNull()
+    return rows.filter(readable).select("c.*").drop(BROKEN), rows.filter(~readable).select("file", F.col("text").alias("line"))
 
 
 def expectations(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,11 +107,22 @@ def dot_truths(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder, ".expect_dots").select(F.regexp_replace("name", r"\.expect_dots$", "").alias("name"), dot_truth(F.col("text")).alias("truth"))
 
 
-def settings(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """key, value of KEY=VALUE lines; comments and other lines are left out, quotes around values too."""
+def settings(lines: DataFrame, line_col: str = "value", order: list[str] | None = None, environment: DataFrame | None = None) -> DataFrame:
+    """key, value of KEY=VALUE lines; comments and other lines are left out, quotes around values too.
+
+    With an order of the lines (of files, then in a file) the first of a key counts. environment (key, value) goes before all lines.
+    """
     text = cf.strip(F.col(line_col))
-    rows = lines.select(text.alias("l")).filter(~F.col("l").startswith("#") & F.col("l").contains("="))
-    return rows.select(cf.strip(F.split_part("l", F.lit("="), F.lit(1))).alias("key"), F.regexp_replace(cf.strip(F.regexp_extract("l", "(?s)=(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("value"))
+    rows = lines.withColumn("_l", text).filter(~F.col("_l").startswith("#") & F.col("_l").contains("="))
+    key, value = cf.strip(F.split_part("_l", F.lit("="), F.lit(1))), F.regexp_replace(cf.strip(F.regexp_extract("_l", "(?s)=(.*)$", 1)), "^[\"']+|[\"']+$", "")
+    if not order:
+        found = rows.select(key.alias("key"), value.alias("value"))
+    else:
+        found = rows.groupBy(key.alias("key")).agg(F.min_by(value, F.struct(*order)).alias("value"))
+    if environment is None:
+        return found
+    own = environment.select("key", "value")
+    return found.join(own, "key", "left_anti").unionByName(own)
 
 
 def style_table(lines: DataFrame, order: str = "n", line_col: str = "value") -> DataFrame:
