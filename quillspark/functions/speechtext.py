@@ -1,115 +1,9 @@
-"""Row functions of the speech stage: segments of a formula, a small verbalizer, and a check of markup."""
+"""A small verbalizer of formulas: the row function behind the speaking stand-in."""
 
 from __future__ import annotations
 
 import re
 
-from quillspark.functions import fixed as fx
-
-_SPAN = re.compile(fx.SPEECH_SPAN, re.DOTALL)
-_REPEATING = re.compile(fx.REPEATING)
-_DIGITS = str.maketrans("0123456789", fx.DIGITS)
-
-
-def split_text(text: str) -> list[tuple[str, str]]:
-    """(prose or latex, body) parts in order; spans that hold nothing are a space of prose."""
-    bodies = iter(re.findall(fx.TEXT, text))
-    hidden = re.sub(fx.TEXT, lambda m: "\\text{\x00}", text)
-    restored = lambda s: re.sub(r"(?<=\\text\{)\x00(?=\})", lambda _: next(bodies), s)
-    out, at = [], 0
-    for m in [*_SPAN.finditer(hidden), None]:
-        before = restored(hidden[at : m.start() if m else None])
-        if before:
-            out.append(("prose", before))
-        if m:
-            body = restored(m[0].strip("$") if not m[0].startswith("$$") else m[0][2:-2]).strip()
-            out.append(("latex", body) if body else ("prose", " "))
-            at = m.end()
-    return out
-
-
-def read_repeating(whole: str, fraction: str) -> str | None:
-    """Digits before the block once, the block twice; None if digits follow the last dotted one."""
-    before, mark, block = re.sub(r"\\dot\{(\d)\}", r"<\1", fraction.replace("\\overline{", "<").replace("}", "" if "overline" in fraction else "}")).partition("<")
-    if not mark or ("overline" not in fraction and not re.search(r"\\dot\{\d\}$", fraction)):
-        return None
-    words = block.replace("<", "").translate(_DIGITS)
-    head = [whole.translate(_DIGITS), fx.POINT, *([before.translate(_DIGITS)] if before else [])]
-    return " ".join([*head, words, words, fx.REPEATS])
-
-
-def split_repeating(latex: str) -> list[tuple[str, str]]:
-    """Repeating decimals as ready text, the LaTeX around them as it is."""
-    out, at = [], 0
-    for m in _REPEATING.finditer(latex):
-        said = read_repeating(m[1], m[2])
-        if said is not None:
-            out += [("latex", latex[at : m.start()]), ("text", said)]
-            at = m.end()
-    return [s for s in [*out, ("latex", latex[at:])] if s[1].strip()] if out else [("latex", latex)]
-
-
-def _group_end(s: str, start: int) -> int:
-    """The index behind the brace group that opens at start, or -1."""
-    depth = 0
-    for at in range(start, len(s)):
-        depth += {"{": 1, "}": -1}.get(s[at], 0)
-        if not depth:
-            return at + 1
-    return -1
-
-
-def _one_pair(s: str) -> bool:
-    """Whether parentheses are balanced, never closing before they open."""
-    depth = 0
-    for c in s:
-        depth += {"(": 1, ")": -1}.get(c, 0)
-        if depth < 0:
-            return False
-    return depth == 0
-
-
-def split_radicals(latex: str) -> list[tuple[str, str]]:
-    """Outermost roots of more than a number or letter as segments of their own."""
-    out, plain, at = [], 0, 0
-    for m in re.finditer(r"\\sqrt(?![a-zA-Z]) *(?=\{)", latex):
-        if m.start() < at:
-            continue
-        end = _group_end(latex, m.end())
-        body = latex[m.end() + 1 : end - 1]
-        if end < 0 or not re.search(fx.COMPLEX_RADICAND, body):
-            continue
-        if len(body) > 1 and body[0] == "(" and body[-1] == ")" and _one_pair(body[1:-1]):
-            body = body[1:-1]
-        out += [("latex", latex[plain : m.start()]), ("root", body)]
-        plain = at = end
-    return [s for s in [*out, ("latex", latex[plain:])] if s[0] == "root" or s[1].strip()]
-
-
-def split_specials(latex: str, ssml: bool) -> list[tuple[str, str]]:
-    return [piece for kind, body in split_repeating(latex) for piece in (split_radicals(body) if ssml and kind == "latex" else [(kind, body)])]
-
-
-_TOKEN = re.compile(
-    r"(?P<close></(?P<closes>[A-Za-z_][A-Za-z0-9._:-]*)\s*>)"
-    r"|(?P<open><(?P<opens>[A-Za-z_][A-Za-z0-9._:-]*)(?:\s+[A-Za-z_][A-Za-z0-9._:-]*\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*(?P<empty>/)?>)"
-    r"|(?P<entity>&(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)|(?P<bad>[<>&])"
-)
-_BAD = {"<": "unparseable tag", ">": "stray '>'", "&": "bare '&'"}
-
-
-def markup_error(xml: str | None) -> str | None:
-    """What is wrong with the nesting of tags or with single characters; None if nothing is. More than one root is fine."""
-    stack: list[str] = []
-    for m in _TOKEN.finditer(xml or ""):
-        if m["bad"]:
-            return f"{_BAD[m['bad']]} at offset {m.start()}"
-        if m["opens"] and not m["empty"]:
-            stack.append(m["opens"])
-        elif m["closes"] and (not stack or stack.pop() != m["closes"]):
-            return f"</{m['closes']}> closes another tag or none"
-    return f"unclosed <{stack[-1]}>" if stack else None
-
 
 class Unreadable(ValueError):
     """LaTeX that the verbalizer doesn't know."""

@@ -1,7 +1,7 @@
 """Speech of normalized texts: distinct formulas are spoken once, and joined back into their texts.
 
-Fallbacks of a formula: its segments, the whole, salvaged words, a placeholder. Everything but the split into
-parts and the speaking service is column expressions and joins.
+Fallbacks of a formula: its segments, the whole, salvaged words, a placeholder. Everything but the speaking
+service is column expressions and joins.
 """
 
 from __future__ import annotations
@@ -11,30 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
-from quillspark.functions import speechtext
+from quillspark.functions import speechspans
 from quillspark.functions.providers import RuleSpeech, Speech
-
-_PARTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())]))
-
-
-@F.pandas_udf(_PARTS)
-def text_parts(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else [{"kind": k, "body": b} for k, b in speechtext.split_text(t)])
-
-
-@F.pandas_udf(_PARTS)
-def segments(latex: pd.Series, ssml: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else [{"kind": k, "body": b} for k, b in speechtext.split_specials(x, bool(s))] for x, s in zip(latex, ssml, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def markup_error(xml: pd.Series) -> pd.Series:
-    return xml.map(speechtext.markup_error)
-
+from quillspark.tables import saved, shared_dir
 
 def speak(latex: DataFrame, combos: list[tuple[str, str]], ssml: bool = False, service: Callable[[], Speech] = RuleSpeech) -> DataFrame:
     """latex x (domain, style) -> latex, domain, style, speech, error. The service is made once for each task."""
@@ -62,10 +44,15 @@ def flagged(speech: DataFrame) -> DataFrame:
 
 
 def render(docs: DataFrame, id_col: str, text_col: str, ssml: bool = False, voice: str = fx.VOICES[0], alt_voice: str = fx.VOICES[1], service: Callable[[], Speech] = RuleSpeech, combo: tuple[str, str] = ("clearspeak", "default")) -> DataFrame:
-    """id, content, spans, ok, salvaged, unsupported, xml_error. Null texts are empty."""
-    parts = docs.select(id_col, F.posexplode_outer(text_parts(cf.strip(F.coalesce(F.col(text_col), F.lit(""))))).alias("idx", "p")).select(id_col, "idx", F.col("p.kind").alias("kind"), F.col("p.body").alias("body"))
+    """id, content, spans, ok, salvaged, unsupported, xml_error. Null texts are empty.
+
+    Texts are cut into parts once, and the parts are a table that all that follows reads. Only the service needs Python.
+    """
+    at = shared_dir(docs.sparkSession)
+    parts = docs.select(id_col, F.posexplode_outer(speechspans.parts(cf.strip(F.coalesce(F.col(text_col), F.lit(""))))).alias("idx", "p")).select(id_col, "idx", F.col("p.kind").alias("kind"), F.col("p.body").alias("body"))
+    parts = saved(parts, f"{at}/parts")
     formulas = parts.filter("kind = 'latex'").select(F.col("body").alias("latex")).distinct()
-    cut = formulas.withColumn("segs", segments("latex", F.lit(ssml)))
+    cut = formulas.withColumn("segs", speechspans.segments(F.col("latex"), ssml))
     wanted = cut.select("latex").union(cut.select(F.explode("segs").alias("s")).filter("s.kind <> 'text'").select("s.body")).distinct()
     said = speak(wanted, [combo], ssml, service).select(F.col("latex").alias("of"), "speech")
 
@@ -81,11 +68,11 @@ def render(docs: DataFrame, id_col: str, text_col: str, ssml: bool = False, voic
     one = one.groupBy("latex").agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("t")))).alias("ps"), F.bool_or(F.col("s.kind") != "latex").alias("special"))
     by_parts = F.when(F.col("special") & ~F.exists("ps", lambda x: x["t"].isNull()), F.array_join(F.transform("ps", lambda x: x["t"]), ""))
     whole = one.join(said, F.col("latex") == F.col("of"), "left")
-    saved = cf.salvage(F.col("latex"))
+    rest = cf.salvage(F.col("latex"))
     spoken = F.coalesce(by_parts, F.when(heard(F.col("speech")), F.concat(F.lit(" "), clean(F.col("speech")), F.lit(" "))))
     table = whole.select(
-        "latex", F.when(spoken.isNotNull(), "ok").when(saved != "", "salvaged").otherwise("unsupported").alias("status"),
-        F.coalesce(spoken, F.when(saved != "", F.concat(F.lit(" "), esc(saved), F.lit(" "))), F.concat(F.lit(f" [{fx.UNSUPPORTED}: "), esc(F.col("latex")), F.lit("] "))).alias("words"),
+        "latex", F.when(spoken.isNotNull(), "ok").when(rest != "", "salvaged").otherwise("unsupported").alias("status"),
+        F.coalesce(spoken, F.when(rest != "", F.concat(F.lit(" "), esc(rest), F.lit(" "))), F.concat(F.lit(f" [{fx.UNSUPPORTED}: "), esc(F.col("latex")), F.lit("] "))).alias("words"),
     )
     # only formulas are looked up: prose is never a join's key
     prose = parts.filter("kind is null or kind <> 'latex'").withColumns({c: F.lit(None).cast("string") for c in table.columns})
@@ -102,7 +89,7 @@ def render(docs: DataFrame, id_col: str, text_col: str, ssml: bool = False, voic
             content = F.replace(content, F.lit(mark), F.lit(f'</voice><voice name="{who}">'))
         content = F.regexp_replace(F.concat(F.lit(a + voice + b), content, F.lit(c)), r'<voice name="[^"]*">\s*</voice>', "")
     out = out.select(id_col, content.alias("content"), "spans", "ok", "salvaged", "unsupported")
-    return out.withColumn("xml_error", markup_error("content") if ssml else F.lit(None).cast("string"))
+    return out.withColumn("xml_error", speechspans.markup_error(F.col("content")) if ssml else F.lit(None).cast("string"))
 
 
 def counters() -> dict[str, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
+from quillspark.functions import speechspans
 from quillspark.operators import dots, lint, normalize, ordered, review, spans, speech
 from quillspark.operators.phrases import containing
 from quillspark.plans import runs
@@ -368,12 +369,11 @@ def source_join(spark, sf_dir):
 
 
 @query("""
-SELECT input, min(doc_id) AS doc_id FROM (SELECT split_part(text, chr(10), 1) AS input, doc_id FROM documents)
-WHERE input NOT IN (SELECT text FROM benchmark) AND input NOT IN (SELECT split_part(text, chr(10), 1) FROM conversations) GROUP BY input""")
+SELECT text AS input, min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark) AND text NOT IN (SELECT text FROM conversations) GROUP BY text""")
 def suggest_dedup(spark, sf_dir):
-    line = F.split_part("text", F.lit("\n"), F.lit(1)).alias("input")
-    known = [t(spark, sf_dir, "benchmark").select(F.col("text").alias("input")), t(spark, sf_dir, "conversations").select(line)]
-    return review.fresh_suggestions(docs(spark, sf_dir).select(line, "doc_id"), known, "doc_id").select("input", "doc_id")
+    whole = F.col("text").alias("input")
+    known = [t(spark, sf_dir, "benchmark").select(whole), t(spark, sf_dir, "conversations").select(whole)]
+    return review.fresh_suggestions(docs(spark, sf_dir).select(whole, "doc_id"), known, "doc_id").select("input", "doc_id")
 
 
 @query("""
@@ -521,7 +521,7 @@ def salvage(spark, sf_dir):
 def xml_wellformed(spark, sf_dir):
     k, n = (F.col("p_partkey") % 4 + 1).cast("int"), F.col("p_name")
     xml = F.element_at(F.array(F.concat(F.lit("<a b='1'>"), cf.escape_xml(n), F.lit("<c/></a>")), F.concat(F.lit("<a>"), n, F.lit("</b>")), F.concat(F.lit("<a>"), n), F.concat(n, F.lit(" & x"))), k)
-    return t(spark, sf_dir, "part").select("p_partkey", F.when(speech.markup_error(xml).isNotNull(), "x").alias("bad"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.when(speechspans.markup_error(xml).isNotNull(), "x").alias("bad"))
 
 
 def _formulas(spark, sf_dir):
@@ -705,22 +705,33 @@ def synthesis_failures(spark, sf_dir):
     return sinks.failed(sinks.audio(texts, "n_name", "text"))
 
 
-@query(f"SELECT n_nationkey, {q(fx.ENVELOPE[0] + fx.VOICES[0] + fx.ENVELOPE[1])} || 'A &amp; &lt;' || n_name || '&gt; B' || {q(fx.ENVELOPE[2])} AS content, 0 AS spans, true AS wellformed FROM nation")
+_V = [f'</voice><voice name="{v}">' for v in fx.VOICES]
+
+
+@query(f"""
+SELECT p_partkey, {q(fx.ENVELOPE[0] + fx.VOICES[0] + fx.ENVELOPE[1])} || 'A &amp; &lt;' || p_name || '&gt; x 더하기 ' || p_size || ' B 루트 ' || {q(_V[1])} || 'a 더하기 ' || p_partkey || {q(_V[0])} || ' C '
+       || CASE WHEN p_partkey % 3 = 0 THEN p_size || ' &amp; D' ELSE '영 점 ' || d || ' ' || d || ' 반복 D' END || {q(fx.ENVELOPE[2])} AS content, 3 AS spans, true AS wellformed
+FROM (SELECT *, {_KO.format("(p_partkey % 90 + 10)::VARCHAR")} AS d FROM part)""")
 def render_ssml(spark, sf_dir):
-    texts = t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(" A  & <"), "n_name", F.lit(">   B\n")).alias("text"))
-    return speech.render(texts, "n_nationkey", "text", ssml=True).select("n_nationkey", "content", F.col("spans").cast("int").alias("spans"), F.col("xml_error").isNull().alias("wellformed"))
+    """Markup of texts with formulas: roots in another voice, repeating decimals, and what can only be salvaged."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    two = (k % 90 + 10).cast("string")
+    third = F.when(k % 3 == 0, F.concat(F.lit(r"$\mystery "), size, F.lit("$"))).otherwise(F.concat(F.lit(r"$0.\dot{"), F.left(two, F.lit(1)), F.lit(r"}\dot{"), F.right(two, F.lit(1)), F.lit("}$")))
+    text = F.concat(F.lit(" A  & <"), "p_name", F.lit("> $x+"), size, F.lit(r"$  B $\sqrt{(a+"), k.cast("string"), F.lit(")}$ C "), third, F.when(k % 3 == 0, " &").otherwise(""), F.lit("  D\n"))
+    return speech.render(t(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", ssml=True).select("p_partkey", "content", F.col("spans").cast("int").alias("spans"), F.col("xml_error").isNull().alias("wellformed"))
 
 
 @query("""
-SELECT id, CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 'FIXED' WHEN id % 3 <> 0 THEN 'PASS' WHEN id % 2 = 0 THEN 'KNOWN' ELSE 'FAIL' END AS status
-FROM (SELECT p_partkey AS id FROM part)""")
+SELECT id, CASE WHEN right(w, 1) <> '3' AND id % 2 = 0 THEN 'FIXED' WHEN right(w, 1) <> '3' THEN 'PASS' WHEN id % 2 = 0 THEN 'KNOWN' ELSE 'FAIL' END AS status
+FROM (SELECT p_partkey AS id, (p_partkey % 97 + 2)::VARCHAR AS w FROM part)""")
 def golden_speech(spark, sf_dir):
+    """Golden cases whose inputs are normalized and spoken: a fraction and a power; a case is bad where a number ends in 3."""
     from quillspark.plans.pipelines import golden
 
-    k = F.col("p_partkey")
+    k, w = F.col("p_partkey"), (F.col("p_partkey") % 97 + 2).cast("string")
     cases = t(spark, sf_dir, "part").select(
-        k.alias("id"), F.concat(F.lit("문제 "), k.cast("string"), F.lit("번을 보자")).alias("input"), F.array(F.lit("문제"), F.when(k % 3 == 0, "없는 말").otherwise("번을")).alias("must"),
-        F.array(F.lit("백슬래시")).alias("mustnot"), F.when(k % 2 == 0, "open").alias("known"),
+        k.alias("id"), F.concat(F.lit("넓이는 3x² 이고 값은 \\frac{1}{"), w, F.lit("} 이다")).alias("input"), F.array(F.lit("3 x 제곱"), F.concat(w, F.lit(" 분의 1"))).alias("must"),
+        F.array(F.lit("frac"), F.lit("3 분의 1 이다")).alias("mustnot"), F.when(k % 2 == 0, "open").alias("known"),
     )
     return golden(cases)
 

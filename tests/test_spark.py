@@ -1,14 +1,16 @@
 """Column functions, operators, files and streams on literals; every query against its SQL."""
 
 import os
+import random
 
 import duckdb
+import plain_speech
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as cf
 from quillspark.functions import fixed as fx
-from quillspark.functions import speechtext
+from quillspark.functions import speechspans, speechtext
 from quillspark.functions.providers import ExpansionChat, NoChat, RuleSpeech, retried
 from quillspark.operators import dots, lint, normalize, review, spans, speech
 from quillspark.plans import catalogue, pipelines
@@ -87,7 +89,7 @@ def test_readings(spark):
     assert one(spark, cf.READINGS["B-boundary"](lit("0"), lit("1"), lit("23"))) == "영 점 일 다음 이삼이 반복"
     assert one(spark, cf.READINGS["B-boundary"](lit("0"), lit(""), lit("24"))) == "영 점 다음 이사가 반복"
     for fraction, want in ((r"\dot{2}\dot{4}", "영 점 이사 이사 반복"), (r"1\dot{2}\dot{3}", "영 점 일 이삼 이삼 반복"), (r"\dot{1}2\dot{3}", "영 점 일이삼 일이삼 반복"), (r"\dot{2}4", None), (r"\overline{23}", "영 점 이삼 이삼 반복"), (r"1\overline{23}", "영 점 일 이삼 이삼 반복")):
-        assert one(spark, cf.read_repeating(lit("0"), lit(fraction))) == want == speechtext.read_repeating("0", fraction)
+        assert one(spark, cf.read_repeating(lit("0"), lit(fraction))) == want == plain_speech.read_repeating("0", fraction)
 
 
 def test_dots(spark):
@@ -131,20 +133,39 @@ def test_restore_calls_only_where_it_pays(spark, tmp_path):
 # --- speech
 
 
-def test_segments():
-    assert speechtext.split_radicals(r"\sqrt{2}") == [("latex", r"\sqrt{2}")]
-    assert speechtext.split_radicals(r"\sqrt{3+2\sqrt{2}}") == [("root", r"3+2\sqrt{2}")]
-    assert speechtext.split_radicals(r"x=\sqrt{a+b}+1") == [("latex", "x="), ("root", "a+b"), ("latex", "+1")]
-    assert speechtext.split_radicals(r"\sqrt{(a+b)}") == [("root", "a+b")] and speechtext.split_radicals(r"\sqrt{(a+b)(c+d)}") == [("root", "(a+b)(c+d)")]
-    assert speechtext.split_radicals(r"\sqrt{a+b") == [("latex", r"\sqrt{a+b")]
-    assert speechtext.split_repeating(r"0.\dot{3}=\frac{1}{3}") == [("text", "영 점 삼 삼 반복"), ("latex", r"=\frac{1}{3}")] and speechtext.split_repeating("0.24+x") == [("latex", "0.24+x")]
-    assert speechtext.split_text(r"값 $ $ $\frac{\text{가}}{2}$ 끝") == [("prose", "값 "), ("prose", " "), ("prose", " "), ("latex", r"\frac{\text{가}}{2}"), ("prose", " 끝")]
+def pieces(spark, column, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", column.alias("x")).collect()
+    got = {r.k: r.x for r in rows}
+    return [[tuple(p) for p in got[k]] if isinstance(got[k], list) else got[k] for k in range(len(texts))]
 
 
-def test_markup():
-    assert speechtext.markup_error("<speak a='1'>x<break time=\"2\"/> 3 &lt; &#52;</speak>") is None and speechtext.markup_error("<a/><b></b>") is None
-    for bad, word in (("<a><b></a></b>", "closes"), ("<a><b>x</b>", "unclosed"), ("<a>a &amp b</a>", "bare '&'"), ("<a>a < b</a>", "unparseable"), ("a > b", "stray")):
-        assert word in speechtext.markup_error(bad)
+def test_segments(spark):
+    cases = {
+        r"\sqrt{2}": [("latex", r"\sqrt{2}")], r"\sqrt{3+2\sqrt{2}}": [("root", r"3+2\sqrt{2}")], r"x=\sqrt{a+b}+1": [("latex", "x="), ("root", "a+b"), ("latex", "+1")], r"\sqrt{(a+b)}": [("root", "a+b")],
+        r"\sqrt{(a+b)(c+d)}": [("root", "(a+b)(c+d)")], r"\sqrt{a+b": [("latex", r"\sqrt{a+b")], r"0.\dot{3}=\frac{1}{3}": [("text", "영 점 삼 삼 반복"), ("latex", r"=\frac{1}{3}")], "0.24+x": [("latex", "0.24+x")],
+    }
+    assert pieces(spark, speechspans.segments(F.col("t"), True), list(cases)) == list(cases.values())
+    text = r"값 $ $ $\frac{\text{가}}{2}$ 끝"
+    assert pieces(spark, speechspans.parts(F.col("t")), [text]) == [[("prose", "값 "), ("prose", " "), ("prose", " "), ("latex", r"\frac{\text{가}}{2}"), ("prose", " 끝")]]
+
+
+def test_generated_speech_as_in_plain_python(spark):
+    rng = random.Random(9)
+    make = lambda of, n, most: ["".join(rng.choice(of) for _ in range(rng.randint(0, most))) for _ in range(n)]
+    texts = make(["x", "가", " ", "$", "$$", r"\text{가}", r"\text{", "}", "\n", "글 ", "$x$", "$ $", "{", r"\text{$}", "é"], 700, 14)
+    assert pieces(spark, speechspans.parts(F.col("t")), texts) == [plain_speech.split_text(t) for t in texts]
+    texts = make(["x", "+", r"\sqrt{", r"\sqrt {", "}", "{", "(", ")", "a", "2", "0.", "3", r"\dot{3}", r"\dot{2}", "4", r"\overline{24}", " ", r"\frac", r"\sqrtx", "\\", "1.5"], 1500, 14)
+    for ssml in (False, True):
+        assert pieces(spark, speechspans.segments(F.col("t"), ssml), texts) == [plain_speech.split_specials(t, ssml) for t in texts]
+    texts = make(["<a>", "</a>", "<b x='1'>", "</b>", "<c/>", "x", "&amp;", "&", "<", ">", "&#12;", '<d y="2" />', "가", "</d>"], 1500, 8)
+    assert [x is None for x in pieces(spark, speechspans.markup_error(F.col("t")), texts)] == [plain_speech.markup_ok(t) for t in texts]
+
+
+def test_markup(spark):
+    good = ["<speak a='1'>x<break time=\"2\"/> 3 &lt; &#52;</speak>", "<a/><b></b>", "", None]
+    assert pieces(spark, speechspans.markup_error(F.col("t")), good) == [None] * 4
+    bad = {"<a><b></a></b>": "</a> closes another element, or none, at character 6", "<a><b>x</b>": "<a> is never closed", "<a>a &amp b</a>": "a bare & at character 5", "<a>가 < b</a>": "a bare < at character 5", "a > b": "a bare > at character 2"}
+    assert pieces(spark, speechspans.markup_error(F.col("t")), list(bad)) == list(bad.values())
 
 
 def test_verbalizer():
