@@ -28,7 +28,7 @@ def _keyed(by: list[str]) -> Column:
     return F.struct(*by, "_part") if by else F.struct("_part")
 
 
-def _come_in(rows: DataFrame, by: list[str], ends: dict[str, Column], come: dict[str, tuple]) -> DataFrame:
+def come_in(rows: DataFrame, by: list[str], ends: dict[str, Column], come: dict[str, tuple]) -> DataFrame:
     """For each part of a group, what comes in from the parts before: ends are aggregates of a part, come (start, fold) by name."""
     parts = rows.groupBy(*by, "_part").agg(*(c.alias(n) for n, c in ends.items()))
     listed = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", *ends))).alias("_parts"))
@@ -42,7 +42,7 @@ def _come_in(rows: DataFrame, by: list[str], ends: dict[str, Column], come: dict
     return listed.select(*by, F.explode(F.aggregate("_parts", start, step)["out"]).alias("_in"))
 
 
-def _with(rows: DataFrame, by: list[str], come: DataFrame) -> DataFrame:
+def with_come_in(rows: DataFrame, by: list[str], come: DataFrame) -> DataFrame:
     """rows with what comes into their part of their group, as `_in`."""
     right = come.select(F.struct(*by, "_in._part").alias("_key"), "_in") if by else come.select(F.struct("_in._part").alias("_key"), "_in")
     return rows.withColumn("_own", _keyed(by)).join(right, F.col("_own").eqNullSafe(F.col("_key"))).drop("_own", "_key")
@@ -53,10 +53,10 @@ def carried(rows: DataFrame, by: list[str], order: list[str], values: dict[str,
     told = placed(rows.withColumns({f"_v_{n}": c for n, c in values.items()}), by, order)
     names = {f"_v_{n}": n for n in values}
     ends = {n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_pos"))) for n in names}
-    come = _come_in(told, by, ends, {n: (None, lambda x, p: F.coalesce(p, x)) for n in names})
+    come = come_in(told, by, ends, {n: (None, lambda x, p: F.coalesce(p, x)) for n in names})
     w = Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = told.withColumns({f"{n}_": F.last(n, ignorenulls=True).over(w) for n in names})
-    out = _with(local, by, come)
+    out = with_come_in(local, by, come)
     return out.withColumns({own: F.coalesce(f"{n}_", F.col("_in")[n]) for n, own in names.items()}).drop("_in", "_part", *names, *(f"{n}_" for n in names))
 
 
@@ -64,10 +64,10 @@ def summed(rows: DataFrame, by: list[str], order: list[str], values: dict[str, C
     """rows with each value's sum over the rows before."""
     told = placed(rows.withColumns({f"_v_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in values.items()}), by, order)
     names = {f"_v_{n}": n for n in values}
-    come = _come_in(told, by, {n: F.sum(n) for n in names}, {n: (0, lambda x, p: x + p) for n in names})
+    come = come_in(told, by, {n: F.sum(n) for n in names}, {n: (0, lambda x, p: x + p) for n in names})
     w = Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     local = told.withColumns({f"{n}_": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names})
-    out = _with(local, by, come)
+    out = with_come_in(local, by, come)
     return out.withColumns({own: F.col(f"{n}_") + F.col("_in")[n] for n, own in names.items()}).drop("_in", "_part", *names, *(f"{n}_" for n in names))
 
 
