@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved, shared_dir, shuffles_freed
+from quillspark.llm.common import remove, saved, shared_dir, shuffles_freed
+from quillspark.operators.ordered import come_in, with_come_in
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -113,27 +114,44 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Records are those that the chain of boundaries from a file's start reaches; a chain ends where no
     magic stands at the expected offset, so what follows damage in a file is not returned.
+    The archive is read once, into a table of segments, so the result doesn't depend on settings or executors at
+    a later time. No task holds a file: offsets and records are carried over its splits. Payloads of any length are one
+    value of a row, as records are. Other files in the folder that aren't text end up as no record. An empty folder of files gives no rows.
     """
     at = shared_dir(spark)
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    segments = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    segments = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_pos"))
+    # written once: however files are cut later, a segment keeps its number
+    segments.write.option("compression", "zstd").parquet(f"{at}/segments")
+    segments = spark.read.schema(segments.schema).parquet(f"{at}/segments")
     head = F.substring_index("value", END, 1)
     slim = segments.select(
-        "file", "split", "row", F.octet_length("value").cast("long").alias("bytes"),
+        "file", "_part", "_pos", F.octet_length("value").cast("long").alias("bytes"),
         F.when(F.contains("value", F.lit(END)), F.octet_length(head) + len(END) + F.expr("try_cast(" + r"regexp_extract(substring_index(value, '\r\n\r\n', 1), '(?i)(?:^|\r\n)Content-Length: *([0-9]+)', 1)" + " as bigint)") + len(END)).alias("needs"),
     )
-    order = Window.partitionBy("file").orderBy("split", "row")
-    ends = F.sum(F.col("bytes") + len(MAGIC)).over(order)
+    # offsets: sums within a split, on what the splits before it have
+    slim = saved(slim.withColumn("size", F.col("bytes") + len(MAGIC)), f"{at}/slim")
+    before = come_in(slim, ["file"], {"size": F.sum("size")}, {"size": (0, lambda x, p: x + p)})
+    within = Window.partitionBy("file", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.sum("size").over(within)
+    placed = with_come_in(slim.withColumn("end", ends), ["file"], before)
     # a file's first segment stands before its first magic
-    placed = saved(slim.withColumn("off", ends - F.col("bytes") - 2 * len(MAGIC)).withColumn("succ", F.col("off") + len(MAGIC) + F.col("needs")), f"{at}/candidates")
-    true = saved(chain(placed.filter("off >= 0").select("file", "split", "off", "succ"), at), f"{at}/chain")
-    # each segment belongs to the record begun last
-    marked = placed.join(true.select("file", "off", F.col("off").alias("begun")), ["file", "off"], "left")
-    marked = marked.withColumn("record", F.last("begun", ignorenulls=True).over(Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.withColumn("n", F.count("*").over(Window.partitionBy("file", "record")))
+    placed = placed.withColumn("off", F.col("end") + F.col("_in.size") - F.col("bytes") - 2 * len(MAGIC)).withColumn("succ", F.col("off") + len(MAGIC) + F.col("needs"))
+    placed = saved(placed.select("file", "_part", "_pos", "off", "succ"), f"{at}/candidates")
+    true = saved(chain(placed.filter("off >= 0").select("file", F.col("_part").alias("split"), "off", "succ"), at), f"{at}/chain")
+    # each segment belongs to the record begun last, in its split or in one before
+    marked = saved(placed.join(true.select("file", "off", F.col("off").alias("begun")), ["file", "off"], "left"), f"{at}/marked")
+    begun = come_in(marked, ["file"], {"begun": F.max("begun")}, {"begun": (None, lambda x, p: F.coalesce(p, x))})
+    marked = with_come_in(marked.withColumn("own", F.max("begun").over(within)), ["file"], begun).withColumn("record", F.coalesce("own", "_in.begun"))
+    parts = marked.select("file", F.col("_pos").alias("row"), "off", "record")
+    several = parts.filter("record is not null").groupBy("file", "record").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     # only what isn't a record by itself needs to be told: cut records, and what no chain reaches
-    odd = saved(parts.filter("record is null or n > 1").select("row", "off", "record", F.lit(True).alias("odd")), f"{at}/odd")
+    cut_up = parts.join(several, ["file", "record"]).select("row", "off", "record")
+    odd = saved(parts.filter("record is null").select("row", "off", "record").union(cut_up).withColumn("odd", F.lit(True)), f"{at}/odd")
     odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    segments = segments.select("value", "file", F.col("_pos").alias("row"))
+    for name in ("slim", "candidates", "chain", "marked"):
+        remove(spark, f"{at}/{name}")
     # a file's first segment stands before its first magic, and is empty or no record
     found = segments.filter(F.contains("value", F.lit(END))).join(odd, "row", "left_anti").select("file", "value")
     cut = segments.join(odd.filter("record is not null"), "row").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v")).select("file", F.array_join("v.value", MAGIC).alias("value"))

@@ -54,6 +54,27 @@ def test_hostile_archives_come_back_whole(spark):
     assert [i for i in got if got[i].record_type == "revisit"] == [903] and got[903].refers_to == "<urn:x-page:902>"
 
 
+def test_archives_are_whole_whatever_the_settings(spark):
+    """Splits of one size while the table is made, of others when it is collected; extra columns with clashing names; long payloads."""
+    rows = [(k, "u", "p" * (k * 53 % 1500) + (warc.MAGIC + "Content-Length: 1\r\n\r\nq\r\n\r\n") * (k % 3), 1, "x", 2) for k in range(300)] + [(999, "u", "z" * 300_000, 1, "x", 2)]
+    path = f"{shared_dir(spark)}/b"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, _pos int, value string, size int").repartition(3), path)
+    want = {r[0]: r[2] for r in rows}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        table = warc.read(spark, path)
+        for size in ("9000", "31000", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {warc_id(r): r for r in table.collect()}
+            assert len(got) == 301 and all(r.payload == want[i] for i, r in got.items() if r.record_type == "response")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def warc_id(row):
+    return int(re.search(r"x-page:(\d+)", row.record_id)[1])
+
+
 def test_archive_query_on_odd_tables(spark, tmp_path):
     long = "y" * 150
     spark.createDataFrame([(5, "u", long), (3, "u", long), (3, "u", long), (1, None, None), (2, "u", "short"), (4, "u", "short")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
