@@ -408,3 +408,51 @@ def test_licences_that_the_fit_lacks_are_unknown_and_the_scan_equals_its_restate
         assert [(x.paragraph, x.family, x.confirmed, round(x.probability, 3), round(x.similarity, 6)) for x in got[k]] == restated(t), t[:100]
     right = [any(x.confirmed and x.family == f for x in got[len(strange) + k]) for k, (f, _) in enumerate(licences.statements()[::5]) if f not in (licences.NONE, licences.UNKNOWN)]
     assert np.mean(right) >= 0.95
+
+
+def test_the_wrapper_decides_without_names(spark, sf):
+    """Of hosts with three pages and more, pages give the same text when all boxes are plain div."""
+    pages = spark.read.parquet(sf.replace("0.001", "0.01") + "/pages.parquet")
+    named = {r.page_id: (r.url, r.text) for r in wrapper.extract(pages).collect()}
+    # boxes are all div, of one class
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(article|main|nav|footer|aside|header|section)\b[^>]*>", "<$1div>"), 'class="[^"]*"', 'class="q"')
+    plain = {r.page_id: r.text for r in wrapper.extract(pages.withColumn("html", bare)).collect()}
+    host = lambda url: re.sub(r"^https?://([^/]*).*", r"\1", url)
+    size: dict = {}
+    for url, _ in named.values():
+        size[host(url)] = size.get(host(url), 0) + 1
+    large = [k for k, (url, _) in named.items() if size[host(url)] >= 3]
+    assert len(large) > 200 and sum(plain[k] == named[k][1] for k in large) >= 0.95 * len(large)
+
+
+def test_long_pages_end():
+    """20,000 blocks by turns, and as many boxes of different kinds, in seconds and little memory."""
+    import time
+    import tracemalloc
+
+    one = wrapper.read_page("<html><body><article><h2>a</h2><p>b</p></article></body></html>")[0]
+    turns = "".join(f"<h2>t{k}</h2><p>x {k}</p>" for k in range(20_000))
+    boxes = "".join(f"<div class='k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}'><p>x {k}</p></div><section><span>y</span>z{k}</section>" for k in range(5_000))
+    other = wrapper.read_page(f"<html><body><article>{boxes[300:]}</article></body></html>")[0]
+    for body, exemplar, want in ((turns, one, 40_000), (boxes, other, 10_000)):
+        tracemalloc.start()
+        began = time.process_time()
+        text = wrapper.main_text(f"<html><body><article>{body}</article></body></html>", exemplar, ())
+        spent, (_, most) = time.process_time() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert text.count("\n") + 1 == want and spent < 40 and most < 200e6
+
+
+def test_names_in_an_article_drop_nothing():
+    body = '<article><h1>T</h1><p class="alert">One <span class="social">two</span> three</p><div class="reactions">four</div><div class="related">five</div><p class="comment">six</p></article>'
+    assert wrapper.main_text(f"<html><body><nav>menu</nav>{body}<footer>end</footer></body></html>") == "T\nOne two three\nfour\nfive\nsix"
+
+
+def test_pages_of_odd_tables(spark):
+    """Repeated rows, ties, nulls, clashing columns, hosts of one page."""
+    page = "<html><body><nav>a b</nav><article><p>text {}</p></article></body></html>"
+    rows = [(1, "http://h/1", page.format(1), "x", 1)] * 3 + [(1, "http://h/1", page.format(2), "x", 1), (None, None, None, None, None), (2, "http://g/", page.format(3), "x", 1), (3, "u", "", "", 0)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string, exemplar int")
+    got = sorted(((r.page_id, r.text) for r in wrapper.extract(frame).collect()), key=str)
+    assert got == sorted([(1, "text 1")] * 3 + [(1, "text 2"), (None, ""), (2, "text 3"), (3, "")], key=str)
+    assert wrapper.extract(frame.limit(0)).count() == 0
