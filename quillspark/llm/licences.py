@@ -98,6 +98,8 @@ _COMMON = r"(?i)licen[cs]|copyright|rights\s+reserved|warrant|redistribut|permis
 #: A paragraph with none of these is none of a licence's. Names that the common words miss (MIT, ISC, EPL) count as they are written: in small letters they can be words.
 ANCHORS = _COMMON + "|(?-i:" + "|".join(sorted({rf"\b{re.match('[A-Za-z]+', n)[0]}(?:\b|v?[0-9])" for own in NAMES.values() for n in own if not re.search(_COMMON, n)})) + ")"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: What parts paragraphs; and a line break within a sentence, with what marks a comment or quotation on the next line.
+UNIT, SOFT = r"\n|(?<=[.!?])\s+", r"(?<![.!?:;\s])[ \t]*\r?\n[ \t]*(?:(?:#+|//+|\*+|;+|--|>+)[ \t]+)?(?=[\"'(A-Za-z])"
 
 
 def _grams(text: str) -> list[str]:
@@ -172,14 +174,20 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     return families, full, b / heat, least
 
 
-def templates() -> dict[str, list[list[str]]]:
-    """Of each family, the grams of its names without what any licence's name may have, and the two-word grams of its sentences."""
+def name_templates() -> dict[str, list[list[str]]]:
+    """Of each family, the grams of its names without what any licence's name may have."""
     out: dict[str, list[list[str]]] = {}
     for family, names in NAMES.items():
         for name in names:
             own = [g for g in _grams(name) if not set(g.split()) <= GENERIC]
             if own not in out.setdefault(family, []):
                 out[family].append(own)
+    return out
+
+
+def templates() -> dict[str, list[list[str]]]:
+    """Of each family, the grams of its names and the two-word grams of its sentences."""
+    out = name_templates()
     for family, own in SENTENCES.items():
         if family != NONE:
             out.setdefault(family, []).extend([g for g in _grams(x) if " " in g] for x in own)
@@ -192,9 +200,10 @@ def _literal(value: object, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_alike: float = 0.6) -> DataFrame:
-    """One row per input row: doc_id, paragraphs (array of paragraph, family, probability, similarity, confirmed).
+    """One row per input row: doc_id, paragraphs (array of paragraph, family, probability, similarity, confirmed, also).
 
-    Paragraphs are sentences and lines, of any length; only those with an anchor word that aren't classed "none" are
+    Paragraphs are sentences and lines, of any length, then sentences that go on over line breaks (joined by spaces, without what
+    marks comments); also has other families whose whole names a confirmed paragraph has; only those with an anchor word that aren't classed "none" are
     listed. The family is "unknown" where the model says so, or below the calibrated least probability. similarity
     is the largest share of a template's grams found in the paragraph, over the family's templates (a name without words that
     any licence's name may have, or a sentence); it confirms a known family from least_alike on. Null and empty texts
@@ -205,12 +214,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     # one array of weights per slot, so one access finds a gram's weights for all families
     table = _literal([[round(float(x), 4) for x in col] for col in weights.T], "array<array<float>>")
     known = _literal(by_family, "map<string,array<array<bigint>>>")
+    titles = _literal({f: [own for own in found if own] for f, found in {f: [sorted(map(_long, g)) for g in found] for f, found in name_templates().items()}.items()}, "map<string,array<array<bigint>>>")
     names = _literal(families, "array<string>")
     start = _literal([float(x) for x in biases], "array<double>")
 
     text = F.col(text_col)
-    lines = F.split(text, r"\n|(?<=[.!?])\s+")
-    marked = F.when(text.rlike(ANCHORS), F.filter(lines, lambda p: p.rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
+    lines = F.split(text, UNIT)
+    # sentences that go on over line breaks, besides
+    wrapped = F.array_except(F.split(F.regexp_replace(text, SOFT, " "), UNIT), lines)
+    marked = F.when(text.rlike(ANCHORS), F.filter(F.concat(lines, F.when(text.rlike(SOFT), wrapped).otherwise(F.array().cast("array<string>"))), lambda p: p.rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
     words = F.transform(marked, lambda p: F.struct(p.alias("p"), F.regexp_extract_all(F.lower(p), F.lit(WORD), 0).alias("w")))
     pairs = F.transform(words, lambda x: F.struct(x["p"].alias("p"), x["w"].alias("w"), F.array_distinct(F.zip_with(F.slice(x["w"], 1, F.greatest(F.size(x["w"]) - 1, F.lit(0))), F.slice(x["w"], 2, F.greatest(F.size(x["w"]), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("two")))
     slots = F.transform(pairs, lambda x: F.struct(
@@ -227,14 +239,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         (1 / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - x["top"]))).alias("pr"),
     ))
     alike = F.transform(F.filter(named, lambda x: x["f"] != NONE), lambda x: F.struct(
-        x["p"].alias("p"), x["f"].alias("f"), x["pr"].alias("pr"),
+        x["p"].alias("p"), x["two"].alias("two"), x["f"].alias("f"), x["pr"].alias("pr"),
         F.coalesce(F.array_max(F.transform(F.try_element_at(known, x["f"]), lambda s: F.size(F.array_intersect(s, x["two"])) / F.size(s))), F.lit(0.0)).alias("sim"),
     ))
     found = F.transform(alike, lambda x: F.struct(
         x["p"].alias("paragraph"), F.when(x["pr"] >= least, x["f"]).otherwise(UNKNOWN).alias("family"), x["pr"].alias("probability"),
-        x["sim"].alias("similarity"), ((x["f"] != UNKNOWN) & (x["pr"] >= least) & (x["sim"] >= least_alike)).alias("confirmed"),
+        x["sim"].alias("similarity"), ((x["f"] != UNKNOWN) & (x["pr"] >= least) & (x["sim"] >= least_alike)).alias("confirmed"), x["two"].alias("two"),
+    ))
+    # other families of which a whole name stands in a confirmed paragraph: a choice of licences
+    whole = lambda x: F.map_keys(F.map_filter(titles, lambda f, own: (f != x["family"]) & F.exists(own, lambda s: F.size(F.array_except(s, x["two"])) == 0)))
+    found = F.transform(found, lambda x: F.struct(
+        *(x[c].alias(c) for c in ("paragraph", "family", "probability", "similarity", "confirmed")), F.when(x["confirmed"], F.array_sort(whole(x))).otherwise(F.array().cast("array<string>")).alias("also"),
     ))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(found, F.array().cast("array<struct<paragraph:string,family:string,probability:double,similarity:double,confirmed:boolean>>")).alias("paragraphs"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(found, F.array().cast("array<struct<paragraph:string,family:string,probability:double,similarity:double,confirmed:boolean,also:array<string>>>")).alias("paragraphs"))
 
 
 def _long(gram: str) -> int:

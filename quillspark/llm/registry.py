@@ -126,7 +126,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("paragraphs", lambda x: x["confirmed"])
     return found.select(
         "doc_id", F.size("paragraphs").alias("n_paragraphs"), F.size(sure).alias("n_confirmed"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(sure, lambda x: F.array_append(x["also"], x["family"]))))), ",").alias("families"),
         F.exists("paragraphs", lambda x: x["family"] == licences.UNKNOWN).alias("has_unknown"),
         F.round(F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)), 4).alias("probability"),
     )

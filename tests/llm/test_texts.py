@@ -381,7 +381,9 @@ def restated(text):
     """What the scan should say, line by line, in plain Python."""
     families, weights, biases, least = licences.model()
     out = []
-    for p in re.split(r"\n|(?<=[.!?])\s+", text or ""):
+    units = re.split(licences.UNIT, text or "")
+    units += [p for p in dict.fromkeys(re.split(licences.UNIT, re.sub(licences.SOFT, " ", text or ""))) if p not in units]
+    for p in units:
         if not re.search(licences.ANCHORS.replace("(?i)", "(?i:", 1).replace("|(?-i:", ")|(?:", 1), p):
             continue
         grams = licences._grams(p)
@@ -456,3 +458,49 @@ def test_pages_of_odd_tables(spark):
     got = sorted(((r.page_id, r.text) for r in wrapper.extract(frame).collect()), key=str)
     assert got == sorted([(1, "text 1")] * 3 + [(1, "text 2"), (None, ""), (2, "text 3"), (3, "")], key=str)
     assert wrapper.extract(frame.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "MIT": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so.""",
+    "BSD": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:
+# Redistributions of source code must retain the above copyright notice,
+# this list of conditions and the following disclaimer.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the
+Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.""",
+    "Apache": """ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an as is basis,
+ * without warranties or conditions of any kind, either express or
+ * implied.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_wrapped_licence_texts_and_choices(spark):
+    texts = [(k, t) for k, t in enumerate(WRAPPED.values())] + [(50, "Licensed under the MIT License or the Apache License, Version 2.0."), (51, "Available under the GNU GPL or MPL-2.0."), (52, "Licensed under the GNU Lesser General Public License."), (53, "He walked\nto the pub that has a licence\nto sell beer.")]
+    got = {r.doc_id: r.paragraphs for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, family in enumerate(WRAPPED):
+        assert {p.family for p in got[k] if p.confirmed} == {family}, family
+    both = lambda k: {f for p in got[k] if p.confirmed for f in (p.family, *p.also)}
+    assert both(50) == {"MIT", "Apache"} and both(51) == {"GPL", "MPL"} and both(52) == {"LGPL"} and both(53) == set()
+    for k, t in texts:
+        assert [(x.paragraph, x.family, x.confirmed, round(x.probability, 3), round(x.similarity, 6)) for x in got[k]] == restated(t), t[:100]
+
+
+def test_licences_of_odd_tables(spark, odd, none):
+    rows = licences.scan(odd.withColumn("paragraphs", F.lit(1))).collect()
+    assert len(rows) == odd.count() and all(r.paragraphs == [] for r in rows) and sum(r.doc_id is None for r in rows) == 2
+    twice = spark.createDataFrame([(1, "Licensed under MIT."), (1, "Licensed under MIT."), (None, "Licensed under MIT.")], "doc_id long, text string")
+    assert [[p.family for p in r.paragraphs] for r in licences.scan(twice).collect()] == [["MIT"]] * 3 and licences.scan(none).count() == 0
