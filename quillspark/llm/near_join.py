@@ -1,8 +1,9 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set of shingle hashes is XOR-ed, one bit per shingle, into a sketch of B blocks of
-256 bits. Flipping one bit per element, two sketches differ in at most as many bits as the sets
-differ in elements. Sets of sizes x and y with Jaccard similarity at least p / q differ in
+2^64 bits, of which few are set; a block is held as the XOR of a random number for each set bit, so blocks that differ are hardly ever
+equal by chance, however many documents there are. Flipping one bit per element, two sketches differ in at most as many bits as the sets
+differ in elements. Shorter whole sketches, which are compared bit by bit, are held beside the blocks. Sets of sizes x and y with Jaccard similarity at least p / q differ in
 D <= (x + y)(q - p) / (q + p) elements, so with B = D + 1 + s blocks at least s + 1 blocks are
 equal (pigeonhole). Documents of a size band and the next are joined on equal blocks.
 
@@ -34,7 +35,7 @@ from quillspark.llm.components import components
 CHUNK = 1024
 #: Shingles of a group of components that one unit holds, about.
 HELD = 1 << 19
-_BIT = mix64(np.arange(1000, 1256, dtype=np.uint64))
+_SEED = np.uint64(0x5851F42D4C957F2D)
 
 
 class Bands:
@@ -66,7 +67,7 @@ class Bands:
         of the lower band, so it tells which of the two sketches it is of.
         """
         own, keys, whole = self.of(len(members)), [np.zeros(0, np.uint64)], []
-        high, bit = members >> np.uint64(32), _BIT[(members & np.uint64(255)).astype(np.int64)]
+        high, bit = members >> np.uint64(32), mix64(members ^ _SEED)
         for low in (own - 1, own):
             d = self.differ(self.bound(low + 1) - 1 + self.bound(low + 2) - 1) if low >= 0 else 0
             if not d:
