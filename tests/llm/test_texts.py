@@ -211,6 +211,24 @@ def test_blocks_cut_as_one(spark):
     assert one == several and all(one[3 * k][2] for k in range(40))
 
 
+def test_decontamination_of_odd_tables(spark, odd, none):
+    """Nulls, repeated rows, long texts, columns with names that are used inside; one block of items and many."""
+    rows = odd.withColumns({"_spans": F.lit("mine"), "_cut": F.lit(1), "row": F.lit(2), "n_cut": F.lit(9)})
+    words = [f"w{k}" for k in range(90)]
+    items = [(1, " ".join(words[5:20])), (None, " ".join(words[40:52])), (2, None), (3, ""), (4, " ".join(f"l{k}" for k in range(4990, 5000))), (4, "x y")]
+    table = spark.createDataFrame([(*r, "t") for r in items], "item_id long, text string, block string")
+    found = {}
+    for chars in (1_000_000, 40):
+        out = decontaminate(rows, table, block_chars=chars)
+        assert sorted(out.columns) == sorted([*rows.columns, "dropped"]) and decontaminate(none, table, block_chars=chars).count() == 0
+        cut = sorted(((r.doc_id, r.text, r.n_cut, r.dropped, r._spans) for r in out.collect()), key=str)
+        hits = sorted(((r.doc_id, r.n_words, [(s.start, s.end) for s in r.spans], r["items"]) for r in matches(rows, table, block_chars=chars).collect()), key=str)
+        found[chars] = cut, hits
+    assert found[1_000_000] == found[40] and len(found[40][0]) == odd.count()
+    # by hand: words 5 to 19 of item 1, and 40 to 51 of the item without an id, in each copy
+    assert (1, 90, [(5, 20), (40, 52)], [1]) in found[40][1] and sum(h[2:] == ([(5, 20), (40, 52)], [1]) for h in found[40][1]) == 5
+
+
 def test_no_items_no_hits(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.spans for r in matches(odd, empty).collect())
