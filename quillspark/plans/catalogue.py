@@ -829,3 +829,18 @@ def env_precedence(spark, sf_dir):
     lines = t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" S"), F.col("p_size").cast("string"), F.lit(" = '"), "p_name", F.lit("'")).alias("value"))
     own = t(spark, sf_dir, "nation").select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
     return files.settings(lines, order=["p_partkey"], environment=own)
+
+
+@query("""
+SELECT 'part_' || p_partkey AS input, 'part_' || p_partkey || '_' || k AS page, (k = 0 AND p_partkey % 5 = 0)::INT AS errors, p_partkey % 2 AS batch FROM part, (VALUES (0), (1)) v(k)""")
+def inbox_review(spark, sf_dir):
+    """A drop folder reviewed from files to findings, first half of its files, then all: the second run takes the new ones."""
+    from quillspark.plans.pipelines import review_inbox, runs
+
+    k, folder = F.col("p_partkey"), f"{shared_dir(spark)}/inbox"
+    text = F.concat(F.when(k % 5 == 0, "x 빈 칸 ").otherwise(""), "p_name", F.lit("\f"), "p_type")
+    found = t(spark, sf_dir, "part").select(F.concat(F.lit("part "), k.cast("string"), F.lit(".png")).alias("name"), F.encode(text, "UTF-8").alias("content"), k)
+    for part in (found.filter(k % 2 == 0), found):
+        review_inbox(spark, part.select("name", "content"), folder)
+    rows = runs.Stage(spark, folder, "reviewed", "input").rows()
+    return rows.select("input", "page", F.size(F.filter("lint", lambda x: x["severity"] == "error")).alias("errors"), "batch")

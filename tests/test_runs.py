@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.calls import asked, in_order
 from quillspark.operators import dots, review
-from quillspark.plans import runs
+from quillspark.plans import pipelines, runs
 from quillspark.sources import files, sinks
 
 
@@ -162,3 +162,55 @@ def test_dots_are_asked_for_in_a_pool(spark, service):
     pages = spark.createDataFrame([(1, text.format("")), (2, text.format("slow")), (3, "plain")], "k int, t string")
     got = {r.k: r for r in dots.restore(pages, "k", "t", service, deadline=1.0).collect()}
     assert got[1].patched.startswith("0.3̇ =") and got[2].error == "no answer in 1 s" and got[2].patched == text.format("slow") and got[3].error is None
+
+
+@pytest.fixture
+def scripted(tmp_path):
+    """Services that leave a file for each call; the judge suggests a case for each page, and can be down."""
+
+    def touch(kind, what):
+        open(f"{tmp_path}/{kind}-{abs(hash(what))}-{time.time_ns()}", "w").close()
+
+    class Reader:
+        def pages(self, name, content):
+            touch("read", name)
+            return content.decode().split("|")
+
+    class Judge:
+        def json(self, system, user, temperature=None):
+            touch("judge", user)
+            if (tmp_path / "down").exists():
+                raise SystemError("the machine is gone")
+            case = {"id": "c", "input": "same input", "must": ["x"]}
+            return {"findings": [{"severity": "warn", "explanation": "why", "suggested_case": case}]}
+
+    def calls(kind):
+        return len(list(tmp_path.glob(f"{kind}-*")))
+
+    return Reader, Judge, calls, tmp_path
+
+
+def test_an_inbox_is_reviewed_once(spark, scripted):
+    reader, judge, calls, at = scripted
+    folder = f"file://{at}/run"
+    first = spark.createDataFrame([("a b.png", "x²+1|".encode()), ("c.png", "빈 칸 $\\\\weird$".encode())], "name string, content binary")
+    how = dict(ocr=reader, judge=judge, attempts=1)
+    # broken off before the judge: pages and speech stay
+    steps = pipelines.review_steps(**how)
+    killed = [*steps[:3], ("reviewed", lambda rows: rows.withColumn("x", F.raise_error(F.lit("killed"))))]
+    with pytest.raises(Exception):  # noqa: B017
+        runs.work_off(spark, folder, first.withColumn("input", F.when(F.col("name") == "c.png", "c").otherwise("a_b")), "input", killed)
+    assert calls("read") == 2 and calls("judge") == 0
+    got = pipelines.review_inbox(spark, first, folder, **how)
+    assert calls("read") == 2 and calls("judge") == 2 and got == {"inputs": 2, "errors": 3, "warnings": 2, "judge_errors": 1, "exit_code": 1}
+    assert pipelines.review_inbox(spark, first, folder, **how) == {"inputs": 0, "errors": 0, "warnings": 0, "judge_errors": 0, "exit_code": 0} and calls("judge") == 2
+    # another file; the case that all pages suggest is there once
+    more = first.union(spark.createDataFrame([("d.png", b"fine")], "name string, content binary"))
+    assert pipelines.review_inbox(spark, more, folder, **how)["inputs"] == 1 and calls("read") == 3
+    assert [(r.case_input, r.batch) for r in spark.read.parquet(f"{folder}/suggested").collect()] == [("same input", 0)]
+    report = "".join(r.piece for r in sorted(spark.read.parquet(f"{folder}/reports").filter("input = 'c'").collect(), key=lambda r: r.offset))
+    assert report.startswith("## c_0\n- lint [error]") and "- judge [warn] other: why" in report
+    # forced from speech on: recognition stays cached, the judge is down
+    (at / "down").touch()
+    again = pipelines.review_inbox(spark, more, folder, force="spoken", **how)
+    assert calls("read") == 3 and again["inputs"] == 3 and again["judge_errors"] == 4
