@@ -22,6 +22,9 @@ _PLAIN, _LINES, _ALL = "(?dU)", "(?dmU)", "(?dsU)"
 _BODY, _FRACTION, _MARKER, _NEW, _OWN = "\x00", "\x01", "\x02", "\x03", "\x04"
 _CONTROLS = r"[\x00-\x04]"
 _HANGUL = "[가-힣]"
+#: fx.RUN as Java tries it fast: its ASCII characters first, the many others only for characters beyond ASCII.
+_BEYOND = f"[[^\\x00-\\x7F]&&[{fx.DOT_ABOVE}{fx.ANY_SYMBOL}]]"
+_RUN = f"[[{fx.RUN_ASCII}]{_BEYOND}](?:[[{fx.RUN_ASCII} ]{_BEYOND}]*[[{fx.RUN_ASCII}]{_BEYOND}])?"
 
 
 def joined(*parts: Column | str) -> Column:
@@ -164,12 +167,13 @@ def wrapped_run(run: Column, between: Column) -> Column:
 
     def wrap(core: Column) -> Column:
         graded = F.right(between, F.lit(1)).rlike(_HANGUL) & core.rlike(rf"{_PLAIN}\A(?:{fx.GRADE_RANGE})\z")
-        said = F.when(core.rlike(fx.ENGLISH_WORD) & core.rlike(cf.NOT_ASCII + fx.SIGNALS["symbol"]), replaced(run, fx.SAID_IN_PROSE)).otherwise(run)
+        said = F.when(core.rlike(cf.NOT_ASCII + fx.SIGNALS["symbol"]), replaced(run, fx.SAID_IN_PROSE)).otherwise(run)
         ends = F.regexp_extract(run, r"\A[ .,:]*", 0), F.regexp_extract(run, r"[ .,:]*\z", 0)
         spoken = let(F.when(~graded, _read(core)), lambda r: F.when(r.isNull(), run).otherwise(joined(ends[0], r["before"], "$", printed(r["formula"]), "$", r["behind"], ends[1])))
-        return F.when((F.btrim(core, F.lit("·⋅… ")) != "") & cf.looks_math(core), spoken).otherwise(said)
+        return F.when(core.rlike(fx.ENGLISH_WORD), said).when((F.btrim(core, F.lit("·⋅… ")) != "") & cf.looks_math(core), spoken).otherwise(run)
 
-    return let(F.btrim(run, F.lit(" .,:")), wrap)
+    # letters alone are neither mathematics nor symbols that are said
+    return F.when(run.rlike("[^A-Za-z .,]"), let(F.btrim(run, F.lit(" .,:")), wrap)).otherwise(run)
 
 
 # --- prose -----------------------------------------------------------------------------------------
@@ -204,7 +208,7 @@ def prose(part: Column) -> Column:
         part = gated(part, lambda t, w=word: t.contains(w), lambda t, w=word, to=said: F.regexp_replace(t, rf"{_PLAIN}(?<![\p{{L}}\p{{N}}_]){w}(?![A-Za-z])\s*", to))
     part = gated(part, lambda t: t.rlike(r"\\|[\^_]\{"), _plain)
     part = F.regexp_replace(part, _LINES + fx.INNER_MARKER, f"$1{_MARKER}$2{_MARKER}")
-    return F.replace(let(part, lambda t: sub(t, fx.RUN, wrapped_run)), F.lit(_MARKER), F.lit(""))
+    return F.replace(let(part, lambda t: sub(t, _RUN, wrapped_run)), F.lit(_MARKER), F.lit(""))
 
 
 # --- whole texts --------------------------------------------------------------------------------------
