@@ -12,6 +12,7 @@ from quillspark.functions.providers import Chat, NoChat, Ocr, RuleSpeech, Speech
 from quillspark.operators import dots, lint, normalize, review, speech
 from quillspark.plans import runs
 from quillspark.sources import files, sinks
+from quillspark.tables import saved, shared_dir
 
 
 def read_aloud(pages: DataFrame, id_col: str, text_col: str, ssml: bool = False, restore_dots: bool = True, **services: object) -> DataFrame:
@@ -70,9 +71,10 @@ def review_inbox(spark: SparkSession, found: DataFrame, folder: str, force: str
     Two files with one stem are one input, as their pages' names are. What broke off is taken up where a stage's manifest ends; force names the
     step from which on all is done again (pages: recognition too). A run without new files reads manifests alone.
     """
-    inputs = found.withColumn("input", cf.safe_stem(files.stem_of(F.col("name"))))
+    # names are dealt and read once, apart from what the files hold
+    names = saved(found.select("name").distinct().withColumn("input", cf.safe_stem(files.stem_of(F.col("name")))), f"{shared_dir(spark)}/names")
     before = runs.Stage(spark, folder, "reviewed", "input").batches()
-    stages = runs.work_off(spark, folder, inputs, "input", review_steps(**services), force, batch)
+    stages = runs.work_off(spark, folder, found.join(names, "name"), "input", review_steps(**services), force, batch, names)
     told = stages["reviewed"]
     fresh = [k for k in told.batches() if k not in before]
     if not fresh:
@@ -81,6 +83,7 @@ def review_inbox(spark: SparkSession, found: DataFrame, folder: str, force: str
     findings = F.concat(F.transform("lint", lambda x: x["severity"]), F.transform("judge", lambda x: x["severity"]))
     of = lambda kind: F.coalesce(F.sum(F.size(F.filter(findings, lambda s: s == kind))), F.lit(0))
     counts = sinks.counted(rows.drop("batch"), f"{folder}/reviews/batch={fresh[-1]}", {"errors": of("error"), "warnings": of("warn"), "judge_errors": F.count("judge_error"), "pages": F.count("*")})
+    rows = spark.read.schema(rows.drop("batch").schema).parquet(f"{folder}/reviews/batch={fresh[-1]}")  # what follows reads what was written
     cut = review.report_pieces(rows, "input", "page")
     sinks.table(cut, f"{folder}/reports/batch={fresh[-1]}")
     proposed = rows.select("input", "page", F.explode("judge").alias("f")).filter("f.suggested_case is not null")

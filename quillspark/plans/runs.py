@@ -13,9 +13,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.tables import children, exists
+from quillspark.tables import children, exists, removed, saved, shared_dir
 
 Step = Callable[[DataFrame], DataFrame]
+#: Inputs in a task of a step, at least and at most: texts of a few bytes can take long, so a task's bytes don't tell its work.
+LEAST, MOST = 500, 10_000
+
+
+def dealt(rows: DataFrame, key: str, inputs: int) -> DataFrame:
+    """rows of a known number of inputs, dealt over as many tasks as the inputs make, however few bytes they have."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by another value than the key, or what joined by the key would be kept as it is dealt
+    return rows.repartition(max(min(-(-inputs // LEAST), usual), -(-inputs // MOST), 1), F.xxhash64(key))
 
 
 class Stage:
@@ -58,19 +67,22 @@ class Stage:
         return data.withColumn("batch", F.col("batch").cast("long")).join(done, [self.key, "batch"])
 
 
-def work_off(spark: SparkSession, folder: str, inputs: DataFrame, key: str, steps: list[tuple[str, Step]], force: str | None = None, batch: int | None = None) -> dict[str, Stage]:
+def work_off(spark: SparkSession, folder: str, inputs: DataFrame, key: str, steps: list[tuple[str, Step]], force: str | None = None, batch: int | None = None, keys: DataFrame | None = None) -> dict[str, Stage]:
     """Takes inputs through named steps, each from the table of the one before; a step sees only inputs that it has no result for.
 
     Every row of a step's result has the key. force names a step from which on all inputs are worked off again. Inputs that gave
-    no rows count as done. An input's batch number differs between stages if runs were broken off; its rows don't.
+    no rows count as done. keys are the inputs' keys, where they are had for less than by reading the inputs. An input's batch number differs between stages if runs were broken off; its rows don't.
     """
     stages: dict[str, Stage] = {}
-    before, forced = inputs, False
+    before, forced, at = inputs, False, shared_dir(spark)
+    # which inputs there are, and which of them a stage has yet to do, are tables: else each use of them would read the inputs anew
+    keys = saved((inputs if keys is None else keys).select(key).distinct(), f"{at}/keys")
     for name, step in steps:
         stages[name] = stage = Stage(spark, folder, name, key)
         forced = forced or name == force
-        todo = stage.open(inputs.select(key).distinct(), forced)
-        if not todo.isEmpty():
-            stage.commit(todo, step(before.join(todo, key, "left_semi")), batch)
+        todo = saved(stage.open(keys, forced), f"{at}/todo_{name}")
+        if n := todo.count():
+            stage.commit(todo, step(dealt(before.join(todo, key, "left_semi"), key, n)), batch)
         before = stage.rows().drop("batch") if stage.batches() else before.limit(0)
+    removed(spark, at)
     return stages

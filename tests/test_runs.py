@@ -214,3 +214,21 @@ def test_an_inbox_is_reviewed_once(spark, scripted):
     (at / "down").touch()
     again = pipelines.review_inbox(spark, more, folder, force="spoken", **how)
     assert calls("read") == 3 and again["inputs"] == 3 and again["judge_errors"] == 4
+
+
+def test_inputs_of_few_bytes_are_dealt_over_tasks(spark, tmp_path):
+    """A step's tasks follow its inputs, not their bytes, and the inputs are read once for their keys and once for the first step."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        reads.add(1)
+        return f"i{x}"
+
+    inputs = spark.range(2000, numPartitions=1).select(read.asNondeterministic()("id").alias("input"))
+    step = lambda rows: rows.withColumn("task", F.spark_partition_id())
+    stages = runs.work_off(spark, str(tmp_path / "run"), inputs, "input", [("one", step), ("two", lambda rows: step(rows.drop("task")))])
+    for s in stages.values():
+        assert s.rows().count() == 2000 and s.rows().select("task").distinct().count() == 4
+    assert reads.value == 4000
+    assert runs.dealt(spark.range(10), "id", 60_000).rdd.getNumPartitions() == 6 and runs.dealt(spark.range(10), "id", 3).rdd.getNumPartitions() == 1
