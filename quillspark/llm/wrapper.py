@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -252,101 +253,96 @@ def _tree_of(text: str) -> Folded:
     return path[0]
 
 
-#: Pairs of children that are compared at once; of longer lists, children that are the k-th with their label are.
-COMPARED = 1 << 14
-
-
-def _candidates(x: Folded, y: Folded) -> tuple[list[tuple[Folded, Folded]], list[Folded], list[Folded], list[tuple[int, int]] | None]:
-    """For two nodes: children at either end that are built alike, in pairs; the children between them; and of these the pairs (i, k) to compare, None for all."""
-    a, b, n, sure = x.children, y.children, min(len(x.children), len(y.children)), []
-    low = 0
-    while low < n and a[low].built == b[low].built:
-        sure.append((a[low], b[low]))
-        low += 1
-    high = 0
-    while high < n - low and a[-1 - high].built == b[-1 - high].built:
-        sure.append((a[-1 - high], b[-1 - high]))
-        high += 1
-    a, b = a[low : len(a) - high], b[low : len(b) - high]
-    if len(a) * len(b) <= COMPARED:
-        return sure, a, b, None
-    seen: dict[str, list[int]] = defaultdict(list)
-    for i, c in enumerate(a):
-        seen[c.label].append(i)
-    at: dict[str, int] = defaultdict(int)
-    pairs = []
-    for k, d in enumerate(b):
-        if at[d.label] < len(seen.get(d.label, ())):
-            pairs.append((seen[d.label][at[d.label]], k))
-            at[d.label] += 1
-    return sure, a, b, pairs
-
-
-def _in_order(a: list[Folded], b: list[Folded], pairs: list[tuple[int, int]]) -> list[tuple[Folded, Folded]]:
-    """The longest chain of pairs that keeps the order in both lists."""
-    ends: list[int] = []
-    chain: list[int] = []
-    back: list[int] = []
-    for at, (i, _) in enumerate(pairs):
-        k = bisect_left(ends, i)
-        back.append(chain[k - 1] if k else -1)
-        ends[k : k + 1], chain[k : k + 1] = [i], [at]
-    out, at = [], chain[-1] if chain else -1
-    while at >= 0:
-        out.append((a[pairs[at][0]], b[pairs[at][1]]))
-        at = back[at]
-    return out
+def _ends(a: list[Folded], b: list[Folded]) -> tuple[int, int]:
+    """How many children at the beginning, and then at the end, of both lists are built alike."""
+    n = min(len(a), len(b))
+    low = next((k for k in range(n) if a[k].built != b[k].built), n)
+    high = next((k for k in range(n - low) if a[-1 - k].built != b[-1 - k].built), n - low)
+    return low, high
+
+
+def _heaviest(weights: list[np.ndarray], left: list[int], right: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """The greatest weight of pairs (i, k) that keep the order in both lists, and these pairs; i and k weigh weights[left[i]][right[k]].
+
+    Of the table of best weights every so many rows are kept, and those between are made again on the way back: memory grows as n times the root of m.
+    """
+    m, n = len(left), len(right)
+
+    def below(score: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(n + 1, np.int32)
+        np.maximum.accumulate(np.maximum(score[1:], score[:-1] + weights[left[i]][right]), out=out[1:])
+        return out
+
+    step = isqrt(m) + 1
+    score, kept = np.zeros(n + 1, np.int32), []
+    for i in range(m):
+        if i % step == 0:
+            kept.append(score)
+        score = below(score, i)
+    pairs, k = [], n
+    for first in range((m - 1) // step * step, -1, -step) if m else ():
+        block = [kept[first // step]]
+        for i in range(first, min(first + step, m)):
+            block.append(below(block[-1], i))
+        i = len(block) - 1
+        while i and k:
+            if block[i][k] == block[i - 1][k]:
+                i -= 1
+            elif block[i][k] == block[i][k - 1]:
+                k -= 1
+            else:
+                pairs.append((first + i - 1, k - 1))
+                i, k = i - 1, k - 1
+    return int(score[n]), pairs
 
 
 def _align(exemplar: str, page: str) -> dict[int, int]:
-    """Simple tree matching of two folded trees: page node -> exemplar node, by number. Trees that are built alike match as they are."""
+    """Simple tree matching of two folded trees: page node -> exemplar node, by number. Trees that are built alike match as they are.
+
+    Lists of any length are matched by one rule, whose time grows with the product of the lengths. What two nodes have in
+    common depends on how they are built alone, so like pairs are compared once.
+    """
     a, b = tree_of(exemplar), tree_of(page)
     if a.label != b.label:
         return {}
-    # pairs of like nodes below like parents, parents first; so children are matched before them
-    pending, order, seen = [(a, b)], [], {(a.number, b.number)}
+    # pairs of like nodes below like parents; smaller ones are matched before those they are in
+    pending, order, seen = [(a, b)], [], {(a.built, b.built)}
     while pending:
         x, y = pending.pop()
         if x.built == y.built:
             continue
-        found = _candidates(x, y)
-        order.append((x, y, found))
-        _, left, right, pairs = found
-        for c, d in ((c, d) for c in left for d in right) if pairs is None else ((left[i], right[k]) for i, k in pairs):
-            if c.label == d.label and (c.number, d.number) not in seen:
-                seen.add((c.number, d.number))
-                pending.append((c, d))
-    best: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(c: Folded, d: Folded) -> int:
-        return c.size if c.built == d.built else best[c.number, d.number][0] if c.label == d.label else 0
-
-    for x, y, (sure, left, right, some) in sorted(order, key=lambda pair: -pair[0].number):
-        if some is not None:
-            pairs = _in_order(left, right, some)
-            best[x.number, y.number] = (1 + sum(weight(c, d) for c, d in sure + pairs), sure + pairs)
-            continue
-        m, n = len(left), len(right)
-        score = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + weight(left[i - 1], right[j - 1]))
-        pairs, i, j = [], m, n
-        while i and j:
-            if score[i][j] == score[i - 1][j]:
-                i -= 1
-            elif score[i][j] == score[i][j - 1]:
-                j -= 1
-            else:
-                pairs.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-        best[x.number, y.number] = (1 + sum(c.size for c, _ in sure) + score[m][n], sure + pairs)
+        low, high = _ends(x.children, y.children)
+        left, right = x.children[low : len(x.children) - high], y.children[low : len(y.children) - high]
+        kinds = {c.built: c for c in left}
+        like: dict[str, dict[int, Folded]] = defaultdict(dict)
+        for d in right:
+            like[d.label][d.built] = d
+        order.append((x, y, low, high, left, right, kinds, like))
+        for c in kinds.values():
+            for d in like.get(c.label, {}).values():
+                if (c.built, d.built) not in seen:
+                    seen.add((c.built, d.built))
+                    pending.append((c, d))
+    best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    for x, y, low, high, left, right, kinds, like in sorted(order, key=lambda pair: pair[0].size):
+        number_of: dict[int, int] = {}
+        own = np.array([number_of.setdefault(d.built, len(number_of)) for d in right], np.int64)
+        weights, row_of = [], {}
+        for c in kinds.values():
+            row_of[c.built] = len(weights)
+            weights.append(np.zeros(len(number_of), np.int32))
+            for d in like.get(c.label, {}).values():
+                weights[-1][number_of[d.built]] = c.size if c.built == d.built else best[c.built, d.built][0]
+        most, pairs = _heaviest(weights, [row_of[c.built] for c in left], own)
+        m, n = len(x.children), len(y.children)
+        sure = [(k, k) for k in range(low)] + [(m - 1 - k, n - 1 - k) for k in range(high)]
+        best[x.built, y.built] = (1 + sum(x.children[i].size for i, _ in sure) + most, sure + [(low + i, low + k) for i, k in pairs])
     out: dict[int, int] = {}
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         out[y.number] = x.number
-        todo += zip(x.children, y.children, strict=True) if x.built == y.built else best[x.number, y.number][1]
+        todo += zip(x.children, y.children, strict=True) if x.built == y.built else ((x.children[i], y.children[k]) for i, k in best[x.built, y.built][1])
     return out
 
 

@@ -143,6 +143,38 @@ def test_simple_tree_matching():
     assert len(to) == len(a.split("\n"))  # all of the exemplar; the new section has no partner
 
 
+def test_lists_of_any_length_match_by_one_rule():
+    """As many nodes as the plain table of simple tree matching finds, in lists of 40 and of 400 boxes."""
+
+    def most(x, y):
+        if x.label != y.label:
+            return 0
+        row = [0] * (len(y.children) + 1)
+        for c in x.children:
+            ahead = [0]
+            for k, d in enumerate(y.children):
+                ahead.append(max(row[k + 1], ahead[k], row[k] + known((c.built, c), (d.built, d))))
+            row = ahead
+        return 1 + row[-1]
+
+    seen = {}
+
+    def known(x, y):
+        if (x[0], y[0]) not in seen:
+            seen[x[0], y[0]] = most(x[1], y[1])
+        return seen[x[0], y[0]]
+
+    def page(n, by):
+        return wrapper.read_page("<body>" + "".join(f"<div>{'<section>s</section>' * (k * by % 3 == 0)}{'<figure>f</figure>' * (k * by % 7 < 3)}<article>{'<main>m</main>' * (k * by % 5 == 1)}</article></div>{'<section>z</section>' * (k * by % 11 < 9)}" for k in range(1, n)) + "</body>")[0]
+
+    for n in (40, 400):
+        a, b = page(n, 1), page(n, 3)
+        to = wrapper.align(a, b)
+        x, y = wrapper.tree_of(a), wrapper.tree_of(b)
+        assert len(to) == len(set(to.values())) == known((x.built, x), (y.built, y))
+        assert n < 400 or len(x.children[1 if x.children[0].tag != "body" else 0].children) > 128
+
+
 def test_pages_of_the_table(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").join(registry.op7_html(spark, sf), "page_id").collect():
         inner = re.search(r"<article[^>]*>(.*?)(</article>|$)", r.html, re.DOTALL)[1]
