@@ -327,3 +327,40 @@ def test_passages_around_a_common_quotation_are_found(spark):
             want[topic * 100 + k] = (before, before + 60)
     got = {r.doc_id: (r.start_word, r.end_word) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Rows of the tables that passages are found by, by name."""
+    from quillspark.llm import passages as module
+
+    rows, before = {}, module.saved
+
+    def saved(df, path):
+        out = before(df, path)
+        rows[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "saved", saved)
+    return rows
+
+
+def test_texts_of_their_own_leave_few_rows(spark, tables):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{rng.random()}" for _ in range(300))) for i in range(200)]
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+    assert sum(tables.values()) < len(rows)  # not a row for each window or token
+
+
+def test_each_passage_has_one_of_its_rarest_tokens():
+    from quillspark.llm.passages import rarest
+
+    rng, t, p, q = np.random.default_rng(23), 46, 80, 100
+    for n in (46, 60, 91, 91, 150, 300) * 40:
+        common, known = rng.integers(1, 30, n), np.ones(n, bool)
+        size = int(rng.integers(t, n + 1))
+        at = int(rng.integers(0, n - size + 1)) + np.arange(size)
+        # what the other stretch lacks are the rarest
+        has = np.zeros(n, bool)
+        has[at[np.argsort(common[at], kind="stable")[(q - p) * size // (p + q) :]]] = True
+        assert has[rarest(common, known, t, p, q)].any()
