@@ -352,6 +352,42 @@ def test_texts_of_their_own_leave_few_rows(spark, tables):
     assert sum(tables.values()) < len(rows)  # not a row for each window or token
 
 
+def test_only_chunks_that_may_help_are_visited(spark, tables, monkeypatch):
+    # every chunk has the block, one other at most what a stretch lacks a passage for
+    from quillspark.llm import passages as module
+
+    rng, rows = random.Random(31), []
+    fresh = lambda n: [f"v{rng.random()}" for _ in range(n)]
+    block = fresh(60)
+    for i in range(0, 40, 2):
+        passage = [*block, *fresh(30)]
+        rows += [(i + k, " ".join([*fresh(20), *passage, *fresh(20)])) for k in (0, 1)]
+    monkeypatch.setattr(module, "CHUNK", 3)
+    got = {r.doc_id: (r.start_word, r.end_word, r.other_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x[:2] for i, x in got.items()} == {i: (20, 110) for i in range(40)}
+    assert tables["visits"] <= 3 * len(rows)
+
+
+def test_visits_beyond_the_rounds_are_made(spark, monkeypatch):
+    # what a stretch lacks, other chunks have only in part, but for one
+    from quillspark.llm import passages as module
+
+    rng, rows = random.Random(32), []
+    fresh = lambda n: [f"v{rng.random()}" for _ in range(n)]
+    block = [fresh(45) for _ in range(3)]
+    for i in range(0, 48, 2):
+        passages = [[*fresh(6), *b, *fresh(6)] for b in block]
+        rows.append((i, " ".join([*fresh(20), *passages[0], *fresh(20), *passages[1], *fresh(20)])))
+        rows.append((i + 1, " ".join([*fresh(30), *passages[1], *fresh(20), *passages[2], *fresh(30), *passages[0]])))
+    monkeypatch.setattr(module, "CHUNK", 2)
+    monkeypatch.setattr(module, "VISIT_BYTES", 1)
+    got = defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add((r.start_word, r.end_word, r.other_id))
+    want = {i: {(20, 77, i + 1), (97, 154, i + 1)} for i in range(0, 48, 2)}
+    assert got == want | {i + 1: {(30, 87, i), (194, 251, i)} for i in range(0, 48, 2)}
+
+
 def test_each_passage_has_one_of_its_rarest_tokens():
     from quillspark.llm.passages import rarest
 
